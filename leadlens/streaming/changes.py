@@ -9,7 +9,7 @@ the output is idempotent. ``current_state`` folds the versions into the standing
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.session import drop_path, is_file, scratch
@@ -20,6 +20,26 @@ TOMBSTONE = "clear"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def pack_id(c: Column) -> Column:
+    """An identifier in about half the bytes: UUIDs and other even runs of lower-case hex digits as the bytes they spell."""
+    return (
+        F.when(c.rlike("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.concat(F.lit(b"\x01"), F.unhex(F.translate(c, "-", ""))))
+        .when(c.rlike("^(?:[0-9a-f]{2})+$"), F.concat(F.lit(b"\x02"), F.unhex(c)))
+        .otherwise(F.concat(F.lit(b"\x00"), F.encode(c, "UTF-8")))
+    )
+
+
+def unpack_id(c: Column) -> Column:
+    """The identifier that ``pack_id`` packed."""
+    kind, rest = F.hex(F.substring(c, 1, 1)), F.substr(c, F.lit(2))
+    spelled = F.lower(F.hex(rest))
+    return (
+        F.when(kind == "01", F.regexp_replace(spelled, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+        .when(kind == "02", spelled)
+        .otherwise(F.decode(rest, "UTF-8"))
+    )
+
+
 def clean_action(c: Column) -> Column:
     """The action without outer blanks and letter case."""
     return F.lower(F.regexp_replace(c, r"^[\s\p{Z}\p{Cc}\p{Cf}]+|[\s\p{Z}\p{Cc}\p{Cf}]+$", ""))
@@ -57,7 +77,9 @@ def standing(events: DataFrame, *extra: str) -> DataFrame:
 
 def standing_votes(events: DataFrame, *extra: str) -> DataFrame:
     """Batch form: the same result as the stream, for use inside other operators."""
-    return standing(latest_events(valid_changes(events, *extra), *extra), *extra)
+    packed = valid_changes(events, *extra).withColumns({c: pack_id(F.col(c)) for c in ("event_id", "actor_id", "product_id")})
+    latest = latest_events(packed, *extra).withColumn("event_id", unpack_id(F.col("event_id")))
+    return standing(latest, *extra).withColumns({c: unpack_id(F.col(c)) for c in ("actor_id", "product_id")})
 
 
 def apply_changes(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -66,7 +88,8 @@ def apply_changes(stream: DataFrame, out: str, checkpoint: str) -> None:
     May be called again with the same folders when more has arrived: the state goes on from where
     it was. A batch that failed half-way is written again under its own version.
     """
-    entries = valid_changes(stream).groupBy("event_id").agg(_latest_version())
+    packed = valid_changes(stream).withColumns({c: pack_id(F.col(c)) for c in ("event_id", "actor_id", "product_id")})
+    entries = packed.groupBy("event_id").agg(_latest_version())
 
     def upsert(batch: DataFrame, version: int) -> None:
         batch.select("event_id", "v.*").write.mode("overwrite").parquet(f"{out}/version={version}")
@@ -82,7 +105,8 @@ def current_state(spark: SparkSession, out: str) -> DataFrame:
     """The standing votes after all versions in ``out``."""
     upserts = spark.read.parquet(out)
     newest = F.max_by(F.struct("received_at", "created_at", "actor_id", "product_id", "action"), F.col("version")).alias("v")
-    return standing(upserts.groupBy("event_id").agg(newest).select("event_id", "v.*"))
+    events = upserts.groupBy("event_id").agg(newest).select(unpack_id(F.col("event_id")).alias("event_id"), "v.*")
+    return standing(events).withColumns({c: unpack_id(F.col(c)) for c in ("actor_id", "product_id")})
 
 
 def replay(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -98,7 +122,9 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> Dat
         folder, name = path.rstrip("/").rsplit("/", 1)
         reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
         stream = reader.option("pathGlobFilter", name).parquet(folder) if is_file(spark, path) else reader.parquet(path)
-        empty = valid_changes(spark.createDataFrame([], schema)).select("event_id", "received_at", "created_at", "actor_id", "product_id", "action")
+        empty = valid_changes(spark.createDataFrame([], schema)).select(
+            *[pack_id(F.col(c)).alias(c) if c.endswith("_id") else c for c in ("event_id", "received_at", "created_at", "actor_id", "product_id", "action")]
+        )
         empty.write.parquet(f"{home}/out/version=-1")
         apply_changes(stream, f"{home}/out", f"{home}/state")
     finally:
