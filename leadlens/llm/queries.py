@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadlens.functions.contributor import with_contributor
-from leadlens.llm import capping
+from leadlens.llm import capping, consensus, lookalike
 from leadlens.session import table
+from leadlens.streaming import changes
 
 
 def owned_leads(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -22,9 +24,53 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return capping.capped(leads, "batch_no", "contributor", "score", "ordinal").where("not kept").select("ordinal")
 
 
+def titled(leads: DataFrame) -> DataFrame:
+    """Leads that have a title or a url."""
+    return leads.where("coalesce(trim(title), '') <> '' or coalesce(trim(url), '') <> ''")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of leads whose title or reason looks the same but is another string."""
+    leads = titled(table(spark, d, "leads").select("ordinal", "title", "reason", "url"))
+    found = lookalike.pairs(leads, "ordinal", ["title", "reason"])
+    return found.select("field", F.col("a").alias("ordinal_a"), F.col("b").alias("ordinal_b"))
+
+
+def p3_unified(spark: SparkSession, d: str) -> DataFrame:
+    """Title and reason of every lead in their canonical form."""
+    leads = table(spark, d, "leads").select("ordinal", "title", "reason")
+    return lookalike.unified(leads, "ordinal", ["title", "reason"]).select("field", F.col("id").alias("ordinal"), "canonical")
+
+
+def fitted(spark: SparkSession, d: str) -> consensus.Consensus:
+    votes = changes.standing_votes(table(spark, d, "feedback_events"), "reason")
+    return consensus.Consensus(votes, "actor_id", "product_id", "action", "reason")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Products with at least three standing votes that are passed, with the reason."""
+    found = fitted(spark, d).items().where("votes >= 3 and verdict = 'pass'")
+    return found.select(F.col("item").alias("product_id"), "reason")
+
+
+def p5_items(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict, reason, confidence and agreement of every product."""
+    return fitted(spark, d).items().withColumnRenamed("item", "product_id")
+
+
+def p5_actors(spark: SparkSession, d: str) -> DataFrame:
+    """Kind and trust of every actor."""
+    return fitted(spark, d).annotators().withColumnRenamed("annotator", "actor_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p3_found": p3_found,
+        "p3_unified": p3_unified,
+        "p5_found": p5_found,
+        "p5_items": p5_items,
+        "p5_actors": p5_actors,
     }
 
 
