@@ -32,6 +32,7 @@ BARE_PASS = CLASSES
 TYPES = {
     "careful": (0.9, 0.85, 0.85),
     "fair": (0.75, 0.65, 0.6),
+    "lenient": (0.93, 0.4, 0.55),
     "random": (0.5, 0.5, 1 / 6),
     "always likes": (0.97, 0.03, 1 / 6),
     "always passes": (0.03, 0.97, 1 / 6),
@@ -39,7 +40,7 @@ TYPES = {
 }
 #: Pseudo-counts that tie a matrix to its beginning.
 PRIOR = 40.0
-ROUNDS = 6
+ROUNDS = 8
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.functions.contributor import with_contributor
-from leadlens.llm import capping, consensus, lookalike
+from leadlens.llm import capping, consensus, lookalike, sampling, tokenize
 from leadlens.session import table
 from leadlens.streaming import changes
 
@@ -63,14 +63,42 @@ def p5_actors(spark: SparkSession, d: str) -> DataFrame:
     return fitted(spark, d).annotators().withColumnRenamed("annotator", "actor_id")
 
 
+def p2_sampler(spark: SparkSession, d: str) -> sampling.Sampler:
+    return sampling.Sampler(table(spark, d, "leads"), table(spark, d, "sample_targets"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the targets that leads cannot fill."""
+    return p2_sampler(spark, d).report().where("gap > 0").select("category", "source_type")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell with what it should have, what there is and what stays missing."""
+    return p2_sampler(spark, d).report()
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The sample: ids with the cell each stands for."""
+    return p2_sampler(spark, d).sample()
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenize.encoded(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_report": p2_report,
+        "p2_sample": p2_sample,
         "p3_found": p3_found,
         "p3_unified": p3_unified,
         "p5_found": p5_found,
         "p5_items": p5_items,
         "p5_actors": p5_actors,
+        "p8_ids": p8_ids,
     }
 
 
