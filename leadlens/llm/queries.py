@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.functions.contributor import with_contributor
-from leadlens.llm import capping, consensus, lookalike, sampling, tokenize
+from leadlens.llm import capping, consensus, leakage, lookalike, sampling, sentences, tokenize
 from leadlens.session import table
 from leadlens.streaming import changes
 
@@ -87,6 +87,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encoded(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold about half or more of an evaluation passage."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "passage")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every document with their places."""
+    return sentences.sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -99,6 +109,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_items": p5_items,
         "p5_actors": p5_actors,
         "p8_ids": p8_ids,
+        "p9_found": p9_found,
+        "p10_found": p10_found,
     }
 
 
