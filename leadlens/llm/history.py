@@ -151,28 +151,30 @@ class History:
             first = first.join(older, "key", "left").withColumn("least", F.least("least", F.coalesce("older", "least"))).drop("older")
         first = materialise(first, "first")
         same = materialise(exact.join(first, "key").where("id > least").select("id").distinct(), "same")
-        fresh = rows.join(same, "id", "left_anti")
-
-        bands = fresh.select("id", F.inline("bands")).select("key", "id", "word")
-        starts = fresh.select("id", F.inline("starts")).select("key", "id", "next", "cut")
-        every_band, every_start = bands, starts
+        # only the first row of a title can be a new repeat here, so copies need not be taken out before
+        bands = rows.select("id", F.inline("bands")).select("key", "id", "word")
+        starts = rows.select("id", F.inline("starts")).select("key", "id", "next", "cut")
+        every_band, cut, full = bands, starts.where("cut"), starts.where("not cut")
         if self.made:
-            every_band = bands.unionByName(self._read("bands", _BANDS).join(bands.select("key").distinct(), "key", "left_semi"))
-            every_start = starts.unionByName(self._read("starts", _STARTS))
-        several = every_band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
-        spelled = every_band.join(several, "key").withColumn("variant", F.explode(_variants(F.col("word")))).select("key", "variant", "id")
+            every_band = bands.unionByName(self._read("bands", _BANDS))
+            cut, full = cut.unionByName(self._read("starts", _STARTS).where("cut")), full.unionByName(self._read("starts", _STARTS).where("not cut"))
+        spread = every_band.groupBy("key").agg(F.min(F.xxhash64("word")).alias("a"), F.max(F.xxhash64("word")).alias("b"), F.max("id").alias("newest"))
+        since = rows.agg(F.min("id")).first()[0] if self.made else None
+        several = materialise(spread.where("a <> b").where(f"newest >= {since}" if since is not None else "true").select("key"), "several")
+        spelled = every_band.join(several, "key").groupBy("key", "word").agg(F.min("id").alias("id"))
+        spelled = materialise(spelled.withColumn("variant", F.explode(_variants(F.col("word")))).select("key", "variant", "id"), "variants")
         near = spelled.join(spelled.groupBy("key", "variant").agg(F.min("id").alias("least")), ["key", "variant"]).where("id > least").select("id")
 
-        cut = every_start.where("cut").select("key", F.col("id").alias("cut_id"), F.col("next").alias("part"))
-        met = every_start.where("not cut").join(cut, "key").where("startswith(next, part)")
-        longer = met.select(F.greatest("id", "cut_id").alias("id"))
-        repeats = near.union(longer).distinct()
-        found = materialise(same.union(repeats.join(fresh.select("id"), "id", "left_semi")).distinct(), "repeats")
+        cut = materialise(cut.groupBy("key", F.col("next").alias("part")).agg(F.min("id").alias("cut_id")), "cut")
+        met = full.join(cut, "key").where("startswith(next, part)")
+        longer = met.select(F.explode(F.array(F.when(F.col("id") > F.col("cut_id"), F.col("id")), F.when(F.col("cut_id") > F.col("id"), F.col("cut_id")))).alias("id"))
+        repeats = near.union(longer.where("id is not null")).distinct()
+        found = materialise(same.union(repeats.join(rows.select("id"), "id", "left_semi")).distinct(), "repeats")
         if not last:
-            kept = found.join(rows.select("id"), "id")
+            fresh = materialise(rows.join(found, "id", "left_anti"), "fresh")
             self._append("exact", first.select("key", F.col("least").alias("id")))
-            self._append("bands", bands.join(kept, "id", "left_anti").select("key", "id", "word"))
-            self._append("starts", starts.join(kept, "id", "left_anti").select("key", "id", "next", "cut"))
+            self._append("bands", fresh.select("id", F.inline("bands")).select("key", "id", "word"))
+            self._append("starts", fresh.select("id", F.inline("starts")).select("key", "id", "next", "cut"))
         self.step += 1
         return found
 

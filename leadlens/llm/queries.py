@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.functions.contributor import with_contributor
-from leadlens.llm import capping, consensus, history, leakage, lookalike, sampling, sentences, tokenize
-from leadlens.session import table
+from leadlens.llm import capping, consensus, history, leakage, lookalike, matching, sampling, sentences, tokenize
+from leadlens.session import materialise, table
 from leadlens.streaming import changes
 
 
@@ -99,7 +99,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Calls in which p4_found feeds the batches to the index.
-P4_CALLS = 3
+P4_CALLS = 2
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -118,6 +118,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return functools.reduce(lambda a, b: a.union(b), found).select(F.col("id").alias("ordinal"))
 
 
+def products(spark: SparkSession, d: str) -> DataFrame:
+    leads = titled(owned_leads(spark, d, "ordinal", "id", "source", "category", "title", "reason", "url"))
+    return matching.clusters(leads.select(F.col("ordinal").alias("row"), "id", F.col("contributor").alias("owner"), "category", "title", "reason", "url"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of lead ids of different contributors that describe one product."""
+    return matching.pairs(materialise(products(spark, d), "products"))
+
+
+def p7_products(spark: SparkSession, d: str) -> DataFrame:
+    """Every lead id with the product it describes."""
+    return products(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -130,6 +145,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_items": p5_items,
         "p5_actors": p5_actors,
+        "p7_found": p7_found,
+        "p7_products": p7_products,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
         "p10_found": p10_found,
