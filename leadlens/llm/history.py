@@ -15,6 +15,7 @@ pairs are formed; copies of one title enter the bands once.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,16 +92,20 @@ def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(domains)
-        pair = pa.struct([("key", pa.int64()), ("word", pa.string())])
-        triple = pa.struct([("key", pa.int64()), ("next", pa.string()), ("cut", pa.bool_())])
+
+        def nested(groups: list[list[tuple]], names: list[str], types: list[pa.DataType]) -> pa.ListArray:
+            offsets = pa.array(list(itertools.accumulate(map(len, groups), initial=0)), pa.int32())
+            columns = list(zip(*itertools.chain.from_iterable(groups))) or [()] * len(names)
+            return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names))
+
         for batch in batches:
             found = [keys.of(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                    pa.array([[{"key": k, "word": w} for k, w in f[1]] for f in found], pa.list_(pair)),
-                    pa.array([[{"key": k, "next": w, "cut": c} for k, w, c in f[2]] for f in found], pa.list_(triple)),
+                    nested([f[1] for f in found], ["key", "word"], [pa.int64(), pa.string()]),
+                    nested([f[2] for f in found], ["key", "next", "cut"], [pa.int64(), pa.string(), pa.bool_()]),
                 ],
                 names=["id", "exact", "bands", "starts"],
             )

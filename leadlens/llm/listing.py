@@ -73,13 +73,18 @@ def _site(name: str) -> tuple[str, str]:
 
 def undressed(title: str, site: str | None) -> tuple[str, bool]:
     """(lower-case title without site name, repost marks and tags; whether it was cut off)."""
-    x = plain(title).lower().strip().replace("w/ ", "with ")
+    x = plain(title).lower().strip()
+    if "w/ " in x:
+        x = x.replace("w/ ", "with ")
     cut = False
     low, key = _site(site) if site else ("", "")
     while True:
         before = x
-        x = _TAIL.sub("", _LEAD.sub("", x))
-        if (m := _CUT.search(x)) and m.start() > 0:
+        if x[:1] in "nru[【":
+            x = _LEAD.sub("", x)
+        if x[-1:] in ")]】" or "#" in x:
+            x = _TAIL.sub("", x)
+        if x[-1:] in ".… " and (m := _CUT.search(x)) and m.start() > 0:
             x, cut = x[: m.start()], True
         if low:
             parts = list(_SPLIT.finditer(x))
