@@ -26,7 +26,7 @@ FAN_IN = 16
 def _best(pdf: pd.DataFrame) -> pd.DataFrame:
     """The heap of each (batch, contributor): the smallest ordinals, as many as the cell may keep."""
     pdf = pdf.sort_values("_id", kind="stable")
-    rank = pdf.groupby(["_batch", "_owner"], sort=False).cumcount()
+    rank = pdf.groupby(["_batch", "_owner"], sort=False, dropna=False).cumcount()
     return pdf[rank.to_numpy() < pdf["_room"].to_numpy()]
 
 
@@ -60,8 +60,14 @@ def capped(
     rises with the input). Rows of a null contributor count as rows of the batch and are kept; a
     null batch is a batch of its own. Rows with one identifier, batch, contributor and score share
     one verdict if they tie at the cap: the ones that fit are those first found. An empty table
-    gives an empty result. Other columns, whatever their names, come through unchanged.
+    gives an empty result. Other columns, whatever their names, come through unchanged; a column
+    ``kept`` is replaced.
     """
+    rows = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "kept"]).alias("_all"),
+        F.col(batch).alias("_g"), F.col(contributor).alias("_c"), F.col(score).cast("double").alias("_s"), F.col(identifier).cast("long").alias("_i"),
+    )
+    batch, contributor, score, identifier = "_g", "_c", "_s", "_i"
     known = rows.select(
         F.col(batch).alias("_batch"),
         F.col(contributor).alias("_owner"),
@@ -96,8 +102,6 @@ def capped(
         & F.col("cells._block").eqNullSafe(F.col("rows._block"))
     )
     placed = keyed.alias("rows").join(cells.alias("cells"), same, "left").select("rows.*", "_room")
-    if "_room" in rows.columns:
-        raise ValueError("_room is a reserved column name")
 
     cut = placed.where("_room > 0").select(
         F.col(batch).alias("_batch"), F.col(contributor).alias("_owner"), F.col(identifier).cast("long").alias("_id"), "_room"
@@ -114,5 +118,5 @@ def capped(
     return (
         placed.join(heap, member, "left")
         .withColumn("kept", F.col("_room").isNull() | F.col("_fit").isNotNull())
-        .drop("_score", "_block", "_room", "_hb", "_ho", "_hi", "_fit")
+        .select("_all.*", "kept")
     )

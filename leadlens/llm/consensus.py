@@ -160,7 +160,7 @@ class Consensus:
     def _sums(self, stats: DataFrame) -> dict[str, np.ndarray]:
         """Counts per (type, class, label), type shares and class shares: a fixed number of figures."""
         cells = [F.sum(F.col(q) * F.col(p)).alias(f"{q}{p}") for q in self.qs for p in self.ps]
-        matrix, prior = np.zeros((self.m, self.k, self.k)), np.ones(self.k)
+        matrix, prior = np.zeros((self.m, self.k, self.k)), np.array([self.k - 1.0] + [1.0] * (self.k - 1))
         for row in stats.join(self.types, "actor").groupBy("label").agg(*cells).collect():
             got = np.array([row[f"{q}{p}"] for q in self.qs for p in self.ps]).reshape(self.m, self.k)
             prior += got.sum(axis=0)
@@ -184,7 +184,8 @@ class Consensus:
         best = F.array_max(
             F.array(*[F.when(F.col("seen").bitwiseAND(1 << k) != 0, F.struct(F.col(self.ps[k]).alias("p"), F.lit(-k).alias("k"))) for k in range(1, self.k)])
         )
-        named = F.element_at(F.array(*[F.lit(r) for r in REASONS]), -best["k"])
+        known = F.lit(sum(1 << k for k in range(1, self.k)))
+        named = F.when(F.col("seen").bitwiseAND(known) != 0, F.element_at(F.array(*[F.lit(r) for r in REASONS]), -best["k"]))
         verdict = F.when(F.col("_pass") > F.col("p0"), "pass").otherwise("like")
         return (
             self.posterior().withColumn("_pass", passed).withColumn("verdict", verdict)
