@@ -43,19 +43,17 @@ def with_contributor(leads: DataFrame, source_dim: DataFrame, domain_dim: DataFr
     """``leads`` with column ``out``: the contributor's name as in ``source_dim``, null if there is none.
 
     A source that is given but means no known contributor gives null; only where it is missing,
-    empty or "unknown" does the host of ``url`` count. Rows keep their number.
+    empty or "unknown" does the host of ``url`` count. Rows keep their number, and their other
+    columns whatever these are called; a column ``out`` is replaced.
     """
-    keyed = leads.withColumns({
+    keyed = leads.select(F.struct(*[F.col(f"`{c}`") for c in leads.columns if c != out]).alias("_all"), "source", "url")
+    keyed = keyed.withColumns({
         "_cs": loose_key(F.col("source")), "_ch": F.concat(F.lit("@"), host_of(F.col("url"))), "_cd": F.concat(F.lit("@"), domain_key(F.col("source"))),
     }).withColumn("_missing", F.col("_cs").isNull() | F.col("_cs").isin(*NO_SOURCE))
-    keyed = keyed.withColumns({
-        "_ck": F.when(F.col("_missing"), F.col("_ch")).otherwise(F.col("_cs")), "_cd": F.when(~F.col("_missing"), F.col("_cd")),
-    }).drop("_cs", "_ch", "_missing")
+    keyed = keyed.select(
+        "_all", F.when(F.col("_missing"), F.col("_ch")).otherwise(F.col("_cs")).alias("_ck"), F.when(~F.col("_missing"), F.col("_cd")).alias("_cd")
+    )
     names = name_map(source_dim, domain_dim)
     by_key = names.withColumnsRenamed({"_k": "_ck", "_contributor": "_by_key"})
     by_domain = names.withColumnsRenamed({"_k": "_cd", "_contributor": "_by_domain"})
-    return (
-        keyed.join(by_key, "_ck", "left").join(by_domain, "_cd", "left")
-        .withColumn(out, F.coalesce("_by_key", "_by_domain"))
-        .drop("_ck", "_cd", "_by_key", "_by_domain")
-    )
+    return keyed.join(by_key, "_ck", "left").join(by_domain, "_cd", "left").select("_all.*", F.coalesce("_by_key", "_by_domain").alias(out))
