@@ -20,8 +20,8 @@ def first_nonempty(*columns: Column) -> Column:
 
 
 def clamp(c: Column, low: int, high: int) -> Column:
-    """Rounded half to even and kept within bounds."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.bround(c))).cast("int")
+    """Rounded half to even and kept within bounds; null counts as 0."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.bround(F.coalesce(c, F.lit(0))))).cast("int")
 
 
 def weighted(terms: dict[Column, float] | list[tuple[Column, float]], rounded: bool = True) -> Column:

@@ -33,10 +33,10 @@ def deduplicated(stream: DataFrame, key: str = "event_id", at: str = "received_a
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def daily_counts(stream: DataFrame, at: str = "created_at", delay: str = "30 days") -> DataFrame:
-    """Counts per day and action; on a stream, events later than the delay are left out."""
+def daily_counts(stream: DataFrame, at: str = "created_at", delay: str | None = "30 days") -> DataFrame:
+    """Counts per day and action; on a stream, events later than the delay are left out (None: the stream has its watermark)."""
     rows = stream.where(F.col(at).isNotNull())
-    rows = rows.withWatermark(at, delay) if stream.isStreaming else rows
+    rows = rows.withWatermark(at, delay) if stream.isStreaming and delay else rows
     return (
         rows.groupBy(F.window(at, "1 day"), clean_action(F.col("action")).alias("action"))
         .agg(F.count(F.lit(1)).alias("n"))
