@@ -35,7 +35,9 @@ QUOTES = ["“”", "‘’", "«»", "„“", "「」", "『』", '""', "''",
 FIRST_BRACKET = 8
 
 _CLOSERS = "\"'”’»›)\\]）］】」』〉》"
-_CLOSING = rf"[{_CLOSERS}]|“(?=[\s,.;:!?)]|$)"
+_HIDDEN = "\u00ad\u034f\u200b-\u200d\u2060-\u2064\ufe00-\ufe0f\ufeff"
+_CLOSING = rf"[{_CLOSERS}{_HIDDEN}]|“(?=[\s,.;:!?)]|$)|[*_]+(?=\s|$)"
+_SKIPPED = regex.compile(rf"[\s{_HIDDEN}]*")
 _HARD = "。！？｡।॥"
 _SOFT = ".!?؟۔…"
 _TERMINAL = regex.compile(rf"[{_HARD}{_SOFT}]+(?:{_CLOSING}|[^\S\n]»)*")
@@ -81,12 +83,9 @@ STEP, OUT = _compile()
 
 def _follows(text: str, at: int) -> tuple[str, bool]:
     """What comes at ``at``: "end", "start" of a sentence, "caseless" letter or "on"; and whether a blank is before it."""
-    n = len(text)
-    low = at
-    while at < n and text[at].isspace():
-        at += 1
-    blank = at > low
-    if at == n:
+    low, at = at, _SKIPPED.match(text, at).end()
+    blank = any(c.isspace() for c in text[low:at])
+    if at == len(text):
         return "end", True
     if _CASELESS.match(text, at):
         return "caseless", blank

@@ -70,6 +70,7 @@ CASES = [
     ("ฐานนี้เบา สวิตช์หนัก 48 กรัมและหนา 5.7 มิลลิเมตร", 2),
     ("هل يتسرب الماء؟ المقبض خفيف.", 2),
     ('{"a": "b. C", "d": 1.5}\r\n\r\n<div>x</div>', 2),
+    ("It is done.\u200b Next one.** Third \u2060part.\u2009\u200bLast.", 4),
     ("", 0), (" \n ", 0), (None, 0),
 ]
 
