@@ -95,9 +95,14 @@ def fingerprint(category: Column, text: Column, fallback: Column) -> Column:
     return F.concat(category, F.lit(":"), stable_hash(F.when(compact == "", fallback).otherwise(compact), 16))
 
 
-def like_count(c: Column) -> Column:
-    """Number at the beginning of a count such as ``1.2万``, ``3k`` or ``980``; 0 if there is none."""
-    number = F.regexp_extract(F.lower(c), r"(\d+(?:\.\d+)?)\s*(万|w|k)?", 1).try_cast("double")
-    unit = F.regexp_extract(F.lower(c), r"(\d+(?:\.\d+)?)\s*(万|w|k)?", 2)
+def like_value(c: Column) -> Column:
+    """The first number of a text, with its unit (万 and w: ten thousand, k: thousand) if it has one; 0 if there is none."""
+    pattern = r"(\d+(?:\.\d+)?)\s*(万|w|k)?"
+    number, unit = F.regexp_extract(F.lower(c), pattern, 1).try_cast("double"), F.regexp_extract(F.lower(c), pattern, 2)
     factor = F.when(unit.isin("万", "w"), 10_000).when(unit == "k", 1000).otherwise(1)
-    return F.coalesce((number * factor).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(number * factor, F.lit(0.0))
+
+
+def like_count(c: Column) -> Column:
+    """A count such as ``1.2万``, ``3k`` or ``980`` as a whole number."""
+    return like_value(c).cast("bigint")

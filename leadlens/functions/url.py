@@ -74,3 +74,25 @@ def image(c: Column) -> Column:
     full = F.when(F.startswith(c, F.lit("//")), F.concat(F.lit("https:"), c)).otherwise(c)
     bad = full.rlike(r"(?i)(placeholder|spacer|blank\.gif|favicon|1x1)")
     return F.when(full.rlike("(?i)^https?://") & ~bad, full).otherwise("")
+
+
+def join(base: Column, ref: Column) -> Column:
+    """A reference resolved against an absolute url; dot segments stay as they are."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    bare = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.when(bare == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(bare, "[^/]*$", ""))
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
+        .when(F.startswith(ref, F.lit("//")), F.concat(F.regexp_extract(base, r"^([^/]+:)", 1), ref))
+        .when(F.startswith(ref, F.lit("/")), F.concat(origin, ref))
+        .when(ref == "", base)
+        .when(ref.rlike("^[?]"), F.concat(bare, ref))
+        .when(ref.rlike("^#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
+        .otherwise(F.concat(folder, ref))
+    )
+
+
+def search(site: Column, text: Column) -> Column:
+    """A search url of a site; ``*`` and ``~`` as Python encodes them."""
+    encoded = F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.concat(site, encoded)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadlens.functions import text, url, values
+from leadlens.functions import identity, text, url, values
 from leadlens.operators import classify, joins
 from leadlens.plans.registry import query
 from leadlens.session import table
@@ -261,3 +261,39 @@ def job_matrix(spark: SparkSession, d: str) -> DataFrame:
     categories = table(spark, d, "sample_targets").select("category").distinct().withColumn("_k", F.lit(1))
     sources = table(spark, d, "source_dim").select("source").withColumn("_k", F.lit(1))
     return categories.join(sources, "_k").select("category", "source", F.row_number().over(Window.orderBy("source", "category")).cast("long").alias("ordinal"))
+
+
+_NAMED = (
+    "list_filter(list_transform(regexp_extract_all(coalesce({c}, ''), '([A-Za-z][A-Za-z0-9-]{{2,}})', 1), lambda w: {{'raw': w, 'word': lower(replace(w, '-', ''))}}), "
+    f"lambda p: length(p.word) >= 3 and p.word not in ({', '.join(repr(w) for w in identity.COMMON)}))"
+)
+_STYLISED = "(regexp_matches({r}, '[0-9]') or (regexp_matches({r}, '^.+[A-Z]') and {r} <> upper({r})) or {r} = upper({r}) or length({r}) >= 7)"
+
+
+@query(
+    "identity_keys",
+    f"""with n as (select ordinal, coalesce(nullif(category, ''), 'none') as category, {_NAMED.format(c='title')} as n, list_transform({_NAMED.format(c='product_identity')}, lambda p: p.word) as g0 from leads),
+    d as (select *, list_filter(g0, lambda x, i: list_position(g0, x) = i) as g from n),
+    m as (select *, n[1] as brand, list_filter(n, lambda p: p.word <> n[1].word)[1] as model from d)
+    select ordinal, array_to_string(list_filter([case when len(g) >= 2 then 'explicit:' || category || ':' || array_to_string(g[1:4], ':') end,
+      case when len(g) >= 2 then 'explicit-core:' || category || ':' || array_to_string(g[1:3], ':') end,
+      case when brand is not null and model is not null and (({_STYLISED.format(r='brand.raw')} and brand.raw <> upper(brand.raw)) or {_STYLISED.format(r='model.raw')}) then 'identity:' || category || ':' || brand.word || ':' || model.word end],
+      lambda k: k is not null), ' ') as keys from m""",
+)
+def identity_keys(spark: SparkSession, d: str) -> DataFrame:
+    found = identity.keys(values.nz(F.col("category"), "none"), F.col("title"), F.col("product_identity"))
+    return table(spark, d, "leads").select("ordinal", F.array_join(found, " ").alias("keys"))
+
+
+@query("identity_groups")
+def identity_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every identity key that several leads share, with their number and the first of them: an equi-join key, not pairs."""
+    found = identity.keys(values.nz(F.col("category"), "none"), F.col("title"), F.col("product_identity"))
+    each = table(spark, d, "leads").select("ordinal", F.explode(found).alias("key"))
+    return each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first")).where("n > 1")
+
+
+@query("like_counts", r"""select ordinal, cast(coalesce(try_cast(nullif(regexp_extract(lower(reason), '(\d+(?:\.\d+)?)\s*(万|w|k)?', 1), '') as double) *
+  case when regexp_extract(lower(reason), '(\d+(?:\.\d+)?)\s*(万|w|k)?', 2) in ('万', 'w') then 10000 when regexp_extract(lower(reason), '(\d+(?:\.\d+)?)\s*(万|w|k)?', 2) = 'k' then 1000 else 1 end, 0) - 0.0 as double) as n from leads""")
+def like_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "leads").select("ordinal", text.like_value(F.col("reason")).alias("n"))

@@ -404,3 +404,57 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
 @query("er_merge")
 def er_merge(spark: SparkSession, d: str) -> DataFrame:
     return resolved(spark, d)
+
+
+@query(
+    "cap_violations",
+    "select first_seen as day, category, count(*) as n from records where first_seen <> 'unknown' and category <> '' group by 1, 2 having count(*) > 5",
+)
+def cap_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Groups that break a cap: the check of a selection, as rows."""
+    rows = table(spark, d, "records").where("first_seen <> 'unknown' and category <> ''")
+    return rows.groupBy(F.col("first_seen").alias("day"), "category").agg(F.count(F.lit(1)).alias("n")).where("n > 5")
+
+
+@query(
+    "merged_tags",
+    "select ordinal, array_to_string(list_concat(a, list_filter(b, lambda x: not list_contains(a, x))[1:2]), ',') as tags from (select ordinal, coalesce(axes, [])[1:4] as a, [category, source_family, action_lane] as b from records)",
+)
+def merged_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Up to four labels and two more that are not among them; order and repeats stay."""
+    first = F.slice(F.coalesce("axes", F.array().cast("array<string>")), 1, 4)
+    rows = table(spark, d, "records").select("ordinal", first.alias("a"), F.array("category", "source_family", "action_lane").alias("b"))
+    more = F.expr("slice(filter(b, x -> not array_contains(a, x)), 1, 2)")
+    return rows.select("ordinal", F.array_join(F.concat("a", more), ",").alias("tags"))
+
+
+@query(
+    "row_key",
+    r"""select ordinal, coalesce(nullif(id, ''), nullif(substr(regexp_replace(lower(coalesce(url, '')), '[^a-z0-\x5c]+', '', 'g'), 1, 120), ''), nullif(substr(regexp_replace(lower(coalesce(title, '')), '[^a-z0-\x5c]+', '', 'g'), 1, 120), '')) as key from records""",
+)
+def row_key(spark: SparkSession, d: str) -> DataFrame:
+    """Identity of a row: id, else the key of its url, else that of its title."""
+    key = values.first_nonempty(F.col("id"), text.compat_key(F.col("url")), text.compat_key(F.col("title")))
+    return table(spark, d, "records").select("ordinal", key.alias("key"))
+
+
+@query(
+    "rotated_by_day",
+    "select source, ((n - dayofyear(date '2026-08-21')) % 28 + 28) % 28 as place from (select source, row_number() over (order by source) - 1 as n from source_dim)",
+)
+def rotated_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """A ring of sources that begins anew each day of the year."""
+    numbered = table(spark, d, "source_dim").select("source", (F.row_number().over(Window.orderBy("source")) - 1).cast("long").alias("n"))
+    offset = F.dayofyear(F.to_date(F.lit("2026-08-21")))
+    return numbered.select("source", F.pmod(F.col("n") - offset, F.lit(28)).cast("long").alias("place"))
+
+
+@query(
+    "interleaved",
+    """select ordinal, category, row_number() over (order by turn, category) as place from (select ordinal, category, row_number() over (partition by category order by score desc nulls last, ordinal) as turn
+    from records where category <> '') where turn <= 5""",
+)
+def interleaved(spark: SparkSession, d: str) -> DataFrame:
+    """The first five of every category in turns: a report of bounded size, numbered."""
+    turns = round_robin(spark, d).where("turn <= 5")
+    return turns.select("ordinal", "category", F.row_number().over(Window.orderBy("turn", "category")).cast("long").alias("place"))

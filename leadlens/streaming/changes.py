@@ -82,17 +82,11 @@ def standing_votes(events: DataFrame, *extra: str) -> DataFrame:
     return standing(latest, *extra).withColumns({c: unpack_id(F.col(c)) for c in ("actor_id", "product_id")})
 
 
-def apply_changes(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Run the change feed ``stream`` to its present end; writes versions of the changed entries to ``out``.
-
-    May be called again with the same folders when more has arrived: the state goes on from where
-    it was. A batch that failed half-way is written again under its own version.
-    """
-    packed = valid_changes(stream).withColumns({c: pack_id(F.col(c)) for c in ("event_id", "actor_id", "product_id")})
-    entries = packed.groupBy("event_id").agg(_latest_version())
+def write_versions(entries: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a stream of changed state entries to its present end; each micro-batch overwrites ``version=<batch id>``."""
 
     def upsert(batch: DataFrame, version: int) -> None:
-        batch.select("event_id", "v.*").write.mode("overwrite").parquet(f"{out}/version={version}")
+        batch.write.mode("overwrite").parquet(f"{out}/version={version}")
 
     query = (
         entries.writeStream.outputMode("update").trigger(availableNow=True)
@@ -101,6 +95,16 @@ def apply_changes(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def apply_changes(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Run the change feed ``stream`` to its present end; writes versions of the changed entries to ``out``.
+
+    May be called again with the same folders when more has arrived: the state goes on from where
+    it was. A batch that failed half-way is written again under its own version.
+    """
+    packed = valid_changes(stream).withColumns({c: pack_id(F.col(c)) for c in ("event_id", "actor_id", "product_id")})
+    write_versions(packed.groupBy("event_id").agg(_latest_version()).select("event_id", "v.*"), out, checkpoint)
+
+
 def current_state(spark: SparkSession, out: str) -> DataFrame:
     """The standing votes after all versions in ``out``."""
     upserts = spark.read.parquet(out)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leadlens.functions.values import nz
-from leadlens.streaming.changes import clean_action
+from leadlens.streaming.changes import clean_action, write_versions
 
 # The actions, and the reasons a pass must give one of.
 ACTIONS = ("like", "pass", "clear")
@@ -42,3 +46,31 @@ def daily_counts(stream: DataFrame, at: str = "created_at", delay: str | None =
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.to_date("window.start").alias("day"), "action", "n")
     )
+
+
+def rate_limited(stream: DataFrame, actor: str, at: str, limit: int, seconds: int = 86_400) -> DataFrame:
+    """Events within the first ``limit`` of their actor and period, counted as they arrive: keyed state holds one number.
+
+    A null actor or time is in no period and does not pass.
+    """
+    schema = stream.schema
+
+    def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else 0
+        for frame in frames:
+            yield frame.iloc[: max(0, limit - seen)].drop(columns="_period")
+            seen += len(frame)
+        state.update((min(seen, limit),))
+
+    keyed = stream.where(F.col(actor).isNotNull() & F.col(at).isNotNull()).withColumn("_period", F.floor(F.unix_timestamp(at) / seconds))
+    return keyed.groupBy(actor, "_period").applyInPandasWithState(admit, schema, "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def first_seen(stream: DataFrame, key: str, at: str, out: str, checkpoint: str) -> None:
+    """Keep the earliest time per key as versions of changed entries; ``first_seen_table`` folds them."""
+    write_versions(stream.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(at).alias(at)), out, checkpoint)
+
+
+def first_seen_table(spark: SparkSession, out: str, key: str, at: str) -> DataFrame:
+    """The earliest time per key after all versions."""
+    return spark.read.parquet(out).groupBy(key).agg(F.min(at).alias(at))

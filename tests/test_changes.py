@@ -87,3 +87,19 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     query = stream.writeStream.outputMode("append").format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("daily").columns == ["day", "action", "n"]
+
+
+def test_rate_limit_and_first_seen_streams(spark, tmp_path):
+    rows = [(f"e{i}", "ab"[i % 2], "p", "like", T0, T0 + timedelta(minutes=i), 1, "x") for i in range(40)] + [("n", None, "p", "like", T0, T0, 1, "x")]
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        spark.createDataFrame(rows[i * 20 : i * 20 + 21], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    reader = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1)
+    limited = feedback.rate_limited(reader.parquet(str(tmp_path / "in")), "actor_id", "received_at", 7)
+    query = limited.writeStream.outputMode("append").format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "r")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    counts = {r.actor_id: r["count"] for r in spark.table("limited").groupBy("actor_id").count().collect()}
+    assert counts == {"a": 7, "b": 7}
+    feedback.first_seen(reader.parquet(str(tmp_path / "in")), "actor_id", "received_at", f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {r.actor_id: r.received_at for r in feedback.first_seen_table(spark, f"{tmp_path}/out", "actor_id", "received_at").collect()}
+    assert got == {"a": T0, "b": T0 + timedelta(minutes=1)}

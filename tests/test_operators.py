@@ -26,6 +26,15 @@ def test_urls(spark):
     assert column(spark, ["a.b.example", "example"], url.suffixes) == [["a.b.example", "b.example"], ["example"]]
 
 
+def test_url_join_and_search(spark):
+    base = "https://a.example/x/y?q=1#f"
+    cases = {
+        "https://b/c": "https://b/c", "//i/1.png": "https://i/1.png", "/z": "https://a.example/z", "z": "https://a.example/x/z", "?k=2": "https://a.example/x/y?k=2", "#g": "https://a.example/x/y?q=1#g", "": base,
+    }
+    assert column(spark, list(cases), lambda c: url.join(F.lit(base), c)) == list(cases.values())
+    assert column(spark, ["a b*~/é"], lambda c: url.search(F.lit("s?q="), c)) == ["s?q=a+b%2A~%2F%C3%A9"]
+
+
 def test_text(spark):
     assert column(spark, ["<b>A</b> &amp;  B ", None], text.strip_html) == ["A & B", ""]
     assert column(spark, ["Red Dot Design Award: Bladeless Fan For Home Lighting", "Bladeless Fan Light"], text.title_tokens) == [["bladeles", "fan", "light"]] * 2
