@@ -77,12 +77,11 @@ class Keys:
         if len(words) > BAND_WORDS and not cut:
             bands = [(_signed((whole - h) ^ 0x5BD1E995), w) for w, h in set(zip(words, hashes)) if not w[0].isdigit()]
         n = len(words) - 1 if cut else len(words)
-        starts, running, prefix = [], base, {}
+        # a title cut off before "lid only" names the whole product, so accessories begin otherwise
+        starts, running, prefix = [], base + bool(listing.ACCESSORY.search(bare)), {}
         for i, h in enumerate(hashes):
             running = (running * 0x100000001B3 + h) & ((1 << 64) - 1)
             prefix[i + 1] = running
-        if not cut and listing.ACCESSORY.search(bare):  # a title cut off before "lid only" names the whole product
-            return exact, bands, []
         for m in [n] if cut else range(max(BAND_WORDS + 1, len(words) - CUT_WORDS), len(words) + 1):
             if m > BAND_WORDS:
                 starts.append((_signed(prefix[m]), words[m] if m < len(words) else "", cut))
