@@ -33,7 +33,7 @@ ALIGNED, ANCHORED, HELD = 0.7, 0.6, 0.45
 BLOCK = 20_000
 _SENTENCE = regex.compile(r"(?<=[.?!])\s+|(?<=[。？！])|\n+")
 _DROPPED = regex.compile(r"[^\p{L}\p{N}\p{Mn}\p{Mc}]+|[͏︀-️]")
-_ANCHOR = regex.compile(r"\p{Lu}[\p{Ll}\p{M}]+[\p{L}\p{M}]*|[\p{N}]+")
+_ANCHOR = regex.compile(r"(?:\p{Lu}\p{Ll}+)+|\p{N}+")
 
 
 @functools.cache
