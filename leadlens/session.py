@@ -67,4 +67,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once everything that reads it is written itself."""
+    for df in written:
+        if path := getattr(df, "shared_path", None):
+            drop_path(df.sparkSession, path)
+
+
+def small_rows(df: DataFrame, most: int = 100_000) -> list:
+    """The rows of a table that is small by definition, such as a dimension; a larger one is refused, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of at most {most} rows was expected")
+    return rows
