@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.functions.unify import loose_key, same_look
+from leadlens.functions.unify import loose_key, same_look_mostly_ascii
 
 #: Loose keys of values that mean "no source given".
 NO_SOURCE = ("unknown",)
@@ -13,13 +13,13 @@ NO_SOURCE = ("unknown",)
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a url without user, port, trailing dot and leading ``www.``; null if there is none."""
-    host = F.regexp_extract(F.trim(same_look(url)), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    host = F.regexp_extract(F.trim(same_look_mostly_ascii(url)), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
     return F.nullif(F.regexp_replace(F.lower(host), r"^(?:www\.)+|\.+$", ""), F.lit(""))
 
 
 def domain_key(c: Column) -> Column:
     """Key of a domain, with or without scheme, path or ``www.``."""
-    bare = F.lower(F.trim(same_look(c)))
+    bare = F.lower(F.trim(same_look_mostly_ascii(c)))
     bare = F.regexp_replace(bare, r"^[a-z][a-z0-9+.\-]*://", "")
     return F.nullif(F.regexp_replace(F.regexp_replace(bare, r"[/?#:].*$", ""), r"^(?:www\.)+|\.+$", ""), F.lit(""))
 

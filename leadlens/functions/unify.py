@@ -110,10 +110,17 @@ def spell_units(c: Column) -> Column:
     return c
 
 
+def same_look_mostly_ascii(c: Column) -> Column:
+    """``same_look`` for columns of mostly plain ASCII values, which it leaves alone."""
+    return F.when(c.rlike("^[ -~]*$"), c).otherwise(same_look(c))
+
+
 def loose_key(c: Column) -> Column:
     """The letters and digits of ``c``, lower-cased, without accents: equal for loose spellings of one name.
 
-    Null, empty and blank-only values, and values without letters or digits, give null.
+    Null, empty and blank-only values, and values without letters or digits, give null. Values of
+    plain ASCII and common CJK ideographs take a short way to the same key.
     """
+    plain = F.regexp_replace(F.lower(c), "[^a-z0-9\u4E00-\u9FFF]+", "")
     bare = F.regexp_replace(F.lower(fold_accents(same_look(c))), "[^\\p{L}\\p{N}]+", "")
-    return F.nullif(bare, F.lit(""))
+    return F.nullif(F.when(c.rlike("^[ -~\u4E00-\u9FFF]*$"), plain).otherwise(bare), F.lit(""))
