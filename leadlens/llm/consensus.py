@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.session import materialise
+from leadlens.session import materialise, release
 from leadlens.streaming.changes import clean_action, pack_id, unpack_id
 
 # The reasons a pass may have.
@@ -122,8 +122,9 @@ class Consensus:
         for _ in range(rounds):
             self.logs = _expected_logs(counts)
             stats = materialise(self._stats(self.posterior()), "stats")
-            self.types = materialise(self._types(stats), "types")
+            before, self.types = self.types, materialise(self._types(stats), "types")
             sums = self._sums(stats)
+            release(stats, *[before] * (before is not None))
             counts = PRIOR * begin + _alike(sums["matrix"])
             self.shares, self.prior = sums["shares"], sums["prior"]
         self.logs, self.mean = _expected_logs(counts), counts / counts.sum(axis=2, keepdims=True)

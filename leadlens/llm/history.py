@@ -24,11 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.llm import listing
-from leadlens.session import drop_path, materialise, scratch
+from leadlens.session import drop_path, materialise, release, scratch
 
 BUCKETS = 8
 #: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
 BAND_WORDS, CUT_WORDS = 2, 4
+_MASK = (1 << 64) - 1
 _EXACT = "key bigint, id bigint"
 _BANDS = "key bigint, id bigint, word string"
 _STARTS = "key bigint, id bigint, next string, cut boolean"
@@ -39,7 +40,7 @@ def _h(text: str) -> int:
 
 
 def _signed(n: int) -> int:
-    n &= (1 << 64) - 1
+    n &= _MASK
     return n - (1 << 64) if n >> 63 else n
 
 
@@ -69,22 +70,19 @@ class Keys:
         words = listing.without_site(listing.tokens(bare), owner)
         if listing.only_site(words, bare, owner):
             return exact, [], []
-        base = _h("o" + owner)
-        hashes = [self._word(w) for w in words]
+        base, known = self._word("\0" + owner), self.words
+        hashes = [known[w] if w in known else self._word(w) for w in words]
         whole = base + sum(hashes)
         exact.append(_signed(whole * 2 + 1 if cut else whole))
-        bands = []
-        if len(words) > BAND_WORDS and not cut:
+        count, bands, starts = len(words), [], []
+        if count > BAND_WORDS and not cut:
             bands = [(_signed((whole - h) ^ 0x5BD1E995), w) for w, h in set(zip(words, hashes)) if not w[0].isdigit()]
-        n = len(words) - 1 if cut else len(words)
         # a title cut off before "lid only" names the whole product, so accessories begin otherwise
-        starts, running, prefix = [], base + bool(listing.ACCESSORY.search(bare)), {}
-        for i, h in enumerate(hashes):
-            running = (running * 0x100000001B3 + h) & ((1 << 64) - 1)
-            prefix[i + 1] = running
-        for m in [n] if cut else range(max(BAND_WORDS + 1, len(words) - CUT_WORDS), len(words) + 1):
-            if m > BAND_WORDS:
-                starts.append((_signed(prefix[m]), words[m] if m < len(words) else "", cut))
+        running, least = base + listing.is_accessory(bare), max(BAND_WORDS + 1, count - (1 if cut else CUT_WORDS))
+        for m, h in enumerate(hashes, 1):
+            running = (running * 0x100000001B3 + h) & _MASK
+            if m >= least and (m == count - 1 or not cut):
+                starts.append((_signed(running), words[m] if m < count else "", cut))
         return exact, bands, starts
 
 
@@ -178,9 +176,12 @@ class History:
         found = materialise(same.union(repeats.join(rows.select("id"), "id", "left_semi")).distinct(), "repeats")
         if not last:
             fresh = materialise(rows.join(found, "id", "left_anti"), "fresh")
+            release(rows)
             self._append("exact", first.select("key", F.col("least").alias("id")))
             self._append("bands", fresh.select("id", F.inline("bands")).select("key", "id", "word"))
             self._append("starts", fresh.select("id", F.inline("starts")).select("key", "id", "next", "cut"))
+            release(fresh)
+        release(rows, first, same, several, spelled, cut)
         self.step += 1
         return found
 

@@ -110,9 +110,22 @@ def tokens(title: str) -> list[str]:
     return _TOKEN.findall(title)
 
 
+_HINTS = ("repl", "spare", "access", "only", "配件", "专用", "替换", "备用", "备件", "仅为")
+
+
+def is_accessory(title: str) -> bool:
+    """Whether a lower-case title offers an accessory or spare part."""
+    return any(h in title for h in _HINTS) and ACCESSORY.search(title) is not None
+
+
+@functools.lru_cache(4096)
+def _site_words(site: str) -> tuple[str, ...]:
+    return tuple(tokens(_site(site)[0]))
+
+
 def without_site(words: list[str], site: str | None) -> list[str]:
     """The words without those of the site's name, if all of them are there in whatever order."""
-    name = tokens(_site(site)[0]) if site else []
+    name = _site_words(site) if site else ()
     if not name or len(words) <= len(name) or any(n not in words for n in name):
         return words
     words = list(reversed(words))

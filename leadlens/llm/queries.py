@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions.contributor import with_contributor
 from leadlens.llm import capping, consensus, history, leakage, lookalike, matching, sampling, sentences, tokenize
-from leadlens.session import materialise, table
+from leadlens.session import materialise, small_rows, table
 from leadlens.streaming import changes
 
 
@@ -22,6 +22,7 @@ def owned_leads(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Ordinals of leads that the cap takes out."""
     leads = owned_leads(spark, d, "ordinal", "batch_no", "source", "url", "score").select("ordinal", "batch_no", "contributor", "score")
+    leads = materialise(leads, "owned")
     return capping.capped(leads, "batch_no", "contributor", "score", "ordinal").where("not kept").select("ordinal")
 
 
@@ -105,7 +106,7 @@ P4_CALLS = 2
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Leads that repeat an earlier page or post: all batches, fed in order to the growing index."""
     leads = titled(owned_leads(spark, d, "ordinal", "batch_no", "source", "title", "url")).select("ordinal", "batch_no", "contributor", "title", "url")
-    domains = {r.domain.lower(): r.source for r in table(spark, d, "domain_dim").select("domain", "source").where("domain is not null").limit(100_000).collect()}
+    domains = {r.domain.lower(): r.source for r in small_rows(table(spark, d, "domain_dim").select("domain", "source").where("domain is not null"))}
     quantiles = [i / P4_CALLS for i in range(1, P4_CALLS)]
     cuts = table(spark, d, "leads").agg(F.percentile_approx("batch_no", quantiles).alias("q")).first().q or []
     edges = [None, *sorted(set(cuts)), None]
