@@ -169,11 +169,11 @@ def event_validity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "health_counts",
-    "select lower(trim(action)) as action, count(*) as n, max(received_at) as latest from feedback_events where lower(trim(action)) in ('like', 'pass', 'clear') group by 1",
+    "select lower(trim(action)) as action, count(*) as n, epoch_us(max(received_at)) as latest_us from feedback_events where lower(trim(action)) in ('like', 'pass', 'clear') group by 1",
 )
 def health_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "feedback_events").withColumn("action", F.lower(F.trim("action"))).where(F.col("action").isin(*feedback.ACTIONS))
-    return rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.max("received_at").alias("latest"))
+    return rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.max("received_at")).alias("latest_us"))
 
 
 @query("daily_action_counts", "select cast(created_at as date) as day, lower(trim(action)) as action, count(*) as n from feedback_events where created_at is not null group by 1, 2")
