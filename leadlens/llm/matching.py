@@ -74,7 +74,7 @@ def read(title: str | None, reason: str | None, url: str | None, lower: list[str
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    """Columns row, id, owner, category and what ``read`` gives; rows without a row number count lower-case words."""
+    """Columns row, id, owner, category and what ``read`` gives; rows without a row number count the uses of a word with a small initial and with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower: Counter[str] = Counter()
@@ -83,9 +83,10 @@ def _parsed(rows: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
 
         def counts() -> pa.RecordBatch:
-            n = len(lower)
-            uses = [pa.array(list(lower), pa.string()), pa.array(list(lower.values()), pa.int64()), pa.array([upper[w] for w in lower], pa.int64())]
-            columns = [pa.nulls(n, t) for t in types[:8]] + uses
+            # words that are never small here too: another task may have them small, and the sums are over all rows
+            words = list(lower.keys() | upper.keys())
+            uses = [pa.array(words, pa.string())] + [pa.array([c[w] for w in words], pa.int64()) for c in (lower, upper)]
+            columns = [pa.nulls(len(words), t) for t in types[:8]] + uses
             lower.clear()
             upper.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)

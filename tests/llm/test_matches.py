@@ -119,3 +119,14 @@ def test_matching(spark):
     assert got == {(a, b) for a in members for b in members if a < b and members[a] != members[b]}
     assert found.groupBy("id_a", "id_b").count().where(F.col("count") > 1).count() == 0
     assert matching.clusters(spark.createDataFrame([], LISTING)).count() == 0
+
+
+def test_matching_does_not_depend_on_the_partitions(spark):
+    titles = ["GegaPuha 650 ml, a mug", "Mug: Gegapuha 0.65 l", "the gegapuha", "GEGAPUHA (650ml)", "Gegapuha mug, 650 ml", "a mug", "Gegapuha", "A mug: Gegapuha", "x", "y", "z", "w"]
+    rows = [(i, f"i{i:03}", f"owner {i}", "cup", t, None, None, "x") for i, t in enumerate(titles)]
+    one, twelve = (
+        {(r.id_a, r.id_b) for r in matching.pairs(matching.clusters(spark.createDataFrame(spark.sparkContext.parallelize(rows, n), LISTING))).collect()} for n in (1, 12)
+    )
+    assert one == twelve
+    named = ["i000", "i001", "i002", "i003", "i004", "i006", "i007"]
+    assert ("i000", "i001") in one and one <= {(a, b) for a in named for b in named if a < b}
