@@ -1,8 +1,9 @@
 """Problem 4: check new rows for repeats against everything accepted earlier.
 
 The index in the shared folder holds, partitioned by a hash of the key, exact keys (page, title) and
-band keys of every accepted row; a new batch only joins its own keys with it and then appends the
-keys of the rows it accepted. A title's signature is the multiset of its words, and its bands are
+band keys; a new batch only joins its own keys with it and then appends its exact keys and the bands
+of every title that is new, also where its row was a repeat (of a page), so that the results do not
+depend on where a batch ends. A title's signature is the multiset of its words, and its bands are
 that signature with one word left out: two titles that differ in one word share a band. (Bands of
 minwise hashes over so few words either miss such pairs or put all titles of one wording into a
 bucket.) Titles that share a band are repeats if the words left out are one letter or one exchange
@@ -58,18 +59,20 @@ class Keys:
             self.words[w] = _h("w" + w)
         return self.words[w]
 
-    def of(self, title: str | None, url: str | None, owner: str | None) -> tuple[list[int], list[tuple[int, str]], list[tuple[int, str, bool]]]:
-        """(exact keys, bands with the word left out, beginnings with the next word and whether the title is cut off)."""
+    def of(self, title: str | None, url: str | None, owner: str | None) -> tuple[list[int], list[tuple[int, str]], list[tuple[int, str, bool]], int | None]:
+        """(exact keys, bands with the word left out, beginnings with the next word and whether the title is cut off, key of the title in its order).
+
+        Titles of one last key have the same bands and beginnings; it is null where there are none."""
         exact: list[int] = []
         page = listing.page_key(url, self.domains)
         if page:
             exact.append(_signed(_h("p" + page)))
         if not title or not owner:
-            return exact, [], []
+            return exact, [], [], None
         bare, cut = listing.undressed(title, owner)
         words = listing.without_site(listing.tokens(bare), owner)
         if listing.only_site(words, bare, owner):
-            return exact, [], []
+            return exact, [], [], None
         base, known = self._word("\0" + owner), self.words
         hashes = [known[w] if w in known else self._word(w) for w in words]
         whole = base + sum(hashes)
@@ -83,11 +86,11 @@ class Keys:
             running = (running * 0x100000001B3 + h) & _MASK
             if m >= least and (m == count - 1 or not cut):
                 starts.append((_signed(running), words[m] if m < count else "", cut))
-        return exact, bands, starts
+        return exact, bands, starts, _signed(running ^ cut) if bands or starts else None
 
 
 def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, domains: dict[str, str]) -> DataFrame:
-    """``(id, exact, bands, starts)`` of every row that has a title or a url."""
+    """``(id, exact, bands, starts, title)`` of every row that has a title or a url."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(domains)
@@ -105,12 +108,13 @@ def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, do
                     pa.array([f[0] for f in found], pa.list_(pa.int64())),
                     nested([f[1] for f in found], ["key", "word"], [pa.int64(), pa.string()]),
                     nested([f[2] for f in found], ["key", "next", "cut"], [pa.int64(), pa.string(), pa.bool_()]),
+                    pa.array([f[3] for f in found], pa.int64()),
                 ],
-                names=["id", "exact", "bands", "starts"],
+                names=["id", "exact", "bands", "starts", "title"],
             )
 
     wanted = rows.select(F.col(identifier).cast("long").alias("id"), title, url, owner)
-    return wanted.mapInArrow(run, "id bigint, exact array<bigint>, bands array<struct<key:bigint,word:string>>, starts array<struct<key:bigint,next:string,cut:boolean>>")
+    return wanted.mapInArrow(run, "id bigint, exact array<bigint>, bands array<struct<key:bigint,word:string>>, starts array<struct<key:bigint,next:string,cut:boolean>>, title bigint")
 
 
 def _variants(word: Column) -> Column:
@@ -143,8 +147,8 @@ class History:
     def accept(self, rows: DataFrame, last: bool = False) -> DataFrame:
         """``(id)`` of the rows that repeat a row accepted earlier or one of smaller id among themselves.
 
-        ``rows`` comes from ``keyed``; it may hold one batch or several. The keys of the others are
-        appended, unless no more batches follow (``last``). Null and empty titles and urls give no
+        ``rows`` comes from ``keyed``; it may hold one batch or several. Its exact keys and the bands
+        and beginnings of titles that the index has not yet are appended, unless no more batches follow (``last``). Null and empty titles and urls give no
         keys; an empty batch gives an empty result.
         """
         rows = materialise(rows, "keys")
@@ -175,12 +179,17 @@ class History:
         repeats = near.union(longer.where("id is not null")).distinct()
         found = materialise(same.union(repeats.join(rows.select("id"), "id", "left_semi")).distinct(), "repeats")
         if not last:
-            fresh = materialise(rows.join(found, "id", "left_anti"), "fresh")
+            titles = rows.where("title is not null").groupBy(F.col("title").alias("key")).agg(F.min("id").alias("id"))
+            if self.made:
+                titles = titles.join(self._read("titles", _EXACT).select("key"), "key", "left_anti")
+            titles = materialise(titles, "titles")
+            fresh = materialise(rows.join(titles.select("id"), "id", "left_semi"), "fresh")
             release(rows)
             self._append("exact", first.select("key", F.col("least").alias("id")))
             self._append("bands", fresh.select("id", F.inline("bands")).select("key", "id", "word"))
             self._append("starts", fresh.select("id", F.inline("starts")).select("key", "id", "next", "cut"))
-            release(fresh)
+            self._append("titles", titles)
+            release(fresh, titles)
         release(rows, first, same, several, spelled, cut)
         self.step += 1
         return found

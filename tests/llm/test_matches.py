@@ -52,6 +52,25 @@ def test_repeats_do_not_depend_on_the_batches(spark):
     assert history.History(spark).accept(empty).count() == 0
 
 
+def test_titles_of_repeated_pages_stay_in_the_index(spark):
+    title = "Pellova Zuhodima 850 ml Steel Travel Mug"
+    rows = [
+        (1, "Home – Quiet Object", "https://a.example/p/y1", SHOP), (2, title, "https://a.example/p/y1?utm_source=f", SHOP),
+        (3, title.replace("dima", "dmia"), "https://a.example/p/y3", SHOP), (4, title, "https://a.example/p/y4", SHOP),
+        (5, "Home – Quiet Object", "https://a.example/p/y5", SHOP), (6, "Pellova Kedarupo 650 ml Bamboo Desk...", "https://a.example/p/y5", SHOP),
+        (7, "Pellova Kedarupo 650 ml Bamboo Desk Lamp", "https://a.example/p/y7", SHOP),
+        (8, "Home – Quiet Object", "https://a.example/p/y8", SHOP), (9, "Pellova Kedarupo 650 ml Lamp Desk Bamboo", "https://a.example/p/y8", SHOP),
+        (10, "Pellova Kedarupo 650 ml Lamp...", "https://a.example/p/y10", SHOP), *((o, None, f"https://a.example/p/y{o}", SHOP) for o in range(11, 17)),
+    ]
+    for calls in (1, 2, 3, 16):
+        index, found, step = history.History(spark), set(), -(-len(rows) // calls)
+        for i in range(0, len(rows), step):
+            part = spark.createDataFrame(rows[i : i + step], "ordinal long, title string, url string, owner string")
+            found |= {r.id for r in index.accept(history.keyed(part, "ordinal", "title", "url", "owner", {})).collect()}
+        index.drop()
+        assert found == {2, 3, 4, 6, 7, 9, 10}, calls
+
+
 def test_within_one():
     assert all(listing.within_one(a, b) for a, b in [("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("ab", "axb"), ("abc", "axc")])
     assert not any(listing.within_one(a, b) for a, b in [("abcd", "badc"), ("abc", "a"), ("abc", "xyc")])
