@@ -116,8 +116,9 @@ def clusters(rows: DataFrame) -> DataFrame:
 
     ``rows`` needs row, id, owner, category, title, reason and url. Listings without id or owner,
     accessories, and listings without a name that a second source uses are in no cluster. A listing
-    without a size joins its name's product only if the name has one size. Repeated rows change
-    nothing.
+    without a size joins its name's product if the name has one size; a name of which no listing
+    states a size is one product. If the name has several sizes, a listing without one could be of
+    any of them and is in no cluster. Repeated rows change nothing.
     """
     parsed = materialise(_parsed(rows), "parsed")
     main = parsed.where("row is not null and id is not null and owner is not null and not accessory")
@@ -162,12 +163,12 @@ def clusters(rows: DataFrame) -> DataFrame:
     step = (F.col("size") > F.lag("size").over(by_size) * TOLERANCE).cast("int")
     measures = measures.withColumn("_step", F.coalesce(step, F.lit(0)))
     measures = measures.withColumn("group", F.sum("_step").over(by_size)).drop("_step")
-    single = measures.groupBy("name").agg(F.min(F.struct("kind", "group")).alias("low"), F.max(F.struct("kind", "group")).alias("high")).where("low = high")
+    span = measures.groupBy("name").agg(F.min(F.struct("kind", "group")).alias("low"), F.max(F.struct("kind", "group")).alias("high"))
     placed = voted.withColumn("size", F.round("size", 1)).join(measures, ["name", "kind", "size"], "left")
-    placed = placed.join(single.select("name", "low"), "name", "left")
+    placed = placed.join(span, "name", "left").where("kind is not null or low is null or low = high")
     kind, group = F.coalesce("kind", "low.kind"), F.when(F.col("kind").isNull(), F.col("low.group")).otherwise(F.col("group"))
     product = F.concat_ws(":", "name", kind, group)
-    return placed.where(group.isNotNull()).select("id", "owner", product.alias("product")).distinct()
+    return placed.select("id", "owner", product.alias("product")).distinct()
 
 
 def pairs(found: DataFrame) -> DataFrame:

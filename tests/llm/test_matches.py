@@ -149,3 +149,10 @@ def test_matching_does_not_depend_on_the_partitions(spark):
     assert one == twelve
     named = ["i000", "i001", "i002", "i003", "i004", "i006", "i007"]
     assert ("i000", "i001") in one and one <= {(a, b) for a in named for b in named if a < b}
+
+
+def test_names_without_any_size_are_products(spark):
+    titles = ["GegaPuha charger, 65 W", "Charger: Gegapuha", "GEGAPUHA", "Zuhodima mug, 650 ml", "Mug: Zuhodima, 850 ml", "Zuhodima", "Mug: Zuhodima 0.65 l", "Tavomiri", "Tavomiri 20 cm"]
+    rows = [(i, f"i{i:03}", f"owner {i}", "x", t, None, None, "x") for i, t in enumerate(titles)]
+    found = matching.pairs(matching.clusters(spark.createDataFrame(rows, LISTING)))
+    assert {(r.id_a, r.id_b) for r in found.collect()} == {("i000", "i001"), ("i000", "i002"), ("i001", "i002"), ("i003", "i006"), ("i007", "i008")}
