@@ -38,6 +38,24 @@ def jaccard_pairs(rows: DataFrame, identifier: str, block: str, tokens: Column,
     return scored.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def blank_pairs(rows: DataFrame, identifier: str, block: str, tokens: Column, threshold: float, least: int = 2) -> DataFrame:
+    """As ``jaccard_pairs``, between representatives of which one or both have a null or empty block: a blank block goes with any."""
+    rows = rows.withColumn(block, F.coalesce(block, F.lit("")))
+    sets = classes(rows, identifier, block, tokens).where(F.col(identifier) == F.col("rep")).where(F.size("tokens") >= least)
+    sets = materialise(sets.select(F.col("rep").alias("id"), (F.col(block) == "").alias("blank"), "tokens"), "sets")
+    each = sets.select("id", "blank", F.explode("tokens").alias("token"))
+    rare = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(rare, "token").groupBy("id", "blank").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ordered"))
+    size = F.size("ordered")
+    prefix = F.slice("ordered", F.lit(1), (size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int"))
+    heads = ordered.select("id", "blank", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
+    left, right = heads.where("blank").select("token", F.col("id").alias("_x")), heads.select("token", F.col("id").alias("_y"))
+    candidates = left.join(right, "token").where("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("_ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("_tb"))
+    scored = candidates.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("_ta"), F.col("_tb")))
+    return scored.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
 def gestalt_pairs(candidates: DataFrame, a: str, b: str, threshold: float, lengths: float = 0.72, least: int = 8) -> DataFrame:
     """Candidate pairs whose texts match by gestalt ratio; the cheap length filters run before the Python function."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))

@@ -334,6 +334,30 @@ def near_dup_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return neardup.jaccard_pairs(rows, "ordinal", "category", text.title_tokens(F.col("title")), 0.6).select("a", "b")
 
 
+_ALL_SETS = f"(select ordinal, coalesce(category, '') as category, list_sort(list_distinct({catalog._TITLE_TOKENS})) as t from leads)"
+
+
+@query("near_dup_classes", f"select ordinal, case when len(t) >= 2 then min(ordinal) over (partition by category, t) else ordinal end as class from {_ALL_SETS}")
+def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every lead with the smallest ordinal of its category and token set, which stands for it in near_dup_jaccard and near_dup_blank.
+
+    A blank category is one of its own here. Titles under two tokens stand for themselves.
+    """
+    rows = table(spark, d, "leads").withColumn("category", F.coalesce("category", F.lit("")))
+    found = neardup.classes(rows, "ordinal", "category", text.title_tokens(F.col("title")))
+    return found.select("ordinal", F.when(F.size("tokens") >= 2, F.col("rep")).otherwise(F.col("ordinal")).alias("class"))
+
+
+@query(
+    "near_dup_blank",
+    f"""with c as (select category, t, min(ordinal) as id from {_ALL_SETS} where len(t) >= 2 group by all)
+    select x.id as a, y.id as b from c x join c y on x.id < y.id and (x.category = '' or y.category = '') where len(list_intersect(x.t, y.t)) >= 0.6 * len(list_distinct(list_concat(x.t, y.t))) - 1e-9""",
+)
+def near_dup_blank(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that near_dup_jaccard leaves out: a blank category goes with any."""
+    return neardup.blank_pairs(table(spark, d, "leads"), "ordinal", "category", text.title_tokens(F.col("title")), 0.6).select("a", "b")
+
+
 @query("near_dup_gestalt")
 def near_dup_gestalt(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of at least 0.5 token overlap whose word strings match by gestalt ratio 0.9."""

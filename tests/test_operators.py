@@ -114,6 +114,19 @@ def test_jaccard_pairs_against_brute_force(spark):
         assert {(r.a, r.b) for r in made.collect()} == want
 
 
+def test_blank_blocks_and_classes_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", "", None]), [f"t{rng.randrange(9)}" for _ in range(rng.randrange(6))]) for i in range(120)]
+    made = spark.createDataFrame(rows, "id int, block string, tokens array<string>")
+    reps = {}
+    for i, block, tokens in rows:
+        reps.setdefault((block or "", tuple(sorted(set(tokens)))), i)
+    sets = [(i, b, set(t)) for (b, t), i in reps.items() if len(t) >= 2]
+    for threshold in (0.6, 1.0):
+        want = {(i, j) for i, b, s in sets for j, c, t in sets if i < j and not (b and c) and len(s & t) / len(s | t) >= threshold}
+        assert {(r.a, r.b) for r in neardup.blank_pairs(made, "id", "block", F.col("tokens"), threshold).collect()} == want
+
+
 def test_capped_selection_against_a_greedy_walk(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("de"), rng.choice("ABC"), rng.choice("xyz"), rng.choice([None, 1, 2, 3])) for i in range(200)]
