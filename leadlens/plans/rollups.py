@@ -360,12 +360,9 @@ def near_dup_blank(spark: SparkSession, d: str) -> DataFrame:
 
 @query("near_dup_gestalt")
 def near_dup_gestalt(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of at least 0.5 token overlap whose word strings match by gestalt ratio 0.9."""
-    rows = table(spark, d, "leads").where("category <> ''").select("ordinal", "category", text.title_tokens(F.col("title")).alias("t"))
-    near = neardup.jaccard_pairs(rows, "ordinal", "category", F.col("t"), 0.5).select("a", "b")
-    words = rows.select("ordinal", F.array_join("t", " ").alias("w"))
-    both = near.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
-    return neardup.gestalt_pairs(both, "wa", "wb", 0.9).select("a", "b", F.round("ratio", 6).alias("ratio"))
+    """Pairs whose word strings match by gestalt ratio 0.9, between the smallest ordinals of each category and word string; a blank category goes with any."""
+    rows = table(spark, d, "leads").select("ordinal", "category", F.array_join(text.title_tokens(F.col("title")), " ").alias("w"))
+    return neardup.gestalt_matches(rows, "ordinal", "category", "w").select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 @query("capped_selection")

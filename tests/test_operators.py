@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -127,6 +128,28 @@ def test_blank_blocks_and_classes_against_brute_force(spark):
         assert {(r.a, r.b) for r in neardup.blank_pairs(made, "id", "block", F.col("tokens"), threshold).collect()} == want
 
 
+def test_gestalt_matches_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = ["gegapuha tumbler", "gegapuhb tumbles", "tumbler gegapuha", "磁吸盖动态雕塑旋转环台灯", "磁吸盖动态雕塑旋转环桌灯", "aaaaaaaaaaaa", "aaaaaaaaaaab", "abababababab", "short", "", None]
+    for _ in range(90):
+        base = list(rng.choice(texts[:8]) if rng.random() < 0.5 else "".join(rng.choice("abc ") for _ in range(rng.randrange(8, 40))))
+        texts.append("".join(base))
+        for _ in range(2):
+            for _ in range(rng.randrange(1, 4)):
+                base[rng.randrange(len(base))] = rng.choice(["", "a", "x", "bc", "灯"])
+            texts.append("".join(base))
+    rows = [(i, rng.choice(["a", "b", "", None]), t) for i, t in enumerate(texts)]
+    least = {}
+    for i, block, t in rows:
+        if t and len(t) >= 8:
+            least.setdefault((block or "", t), i)
+    kept = sorted((i, b, t) for (b, t), i in least.items())
+    near = lambda s, t: min(len(s), len(t)) >= 0.72 * max(len(s), len(t)) and SequenceMatcher(None, s, t).ratio() >= 0.9
+    want = {(i, j) for i, b, s in kept for j, c, t in kept if i < j and (b == c or not (b and c)) and near(s, t)}
+    made = neardup.gestalt_matches(spark.createDataFrame(rows, "id int, block string, w string"), "id", "block", "w")
+    assert len(want) > 50 and sorted((r.a, r.b) for r in made.collect()) == sorted(want)
+
+
 def test_capped_selection_against_a_greedy_walk(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("de"), rng.choice("ABC"), rng.choice("xyz"), rng.choice([None, 1, 2, 3])) for i in range(200)]
