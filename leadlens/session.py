@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 #: Runtime settings; none of them depends on the size of the data.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,9 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset a temporary one is set on a local master, and a cluster is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="leadlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,17 +58,43 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def is_file(spark: SparkSession, path: str) -> bool:
     """Whether a path is one file."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, target = _file_system(spark, path)
     return files.exists(target) and files.getFileStatus(target).isFile()
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on whatever file system it lives on."""
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file."""
+    files, target = _file_system(spark, path)
+    out = files.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """Read a small file."""
+    files, target = _file_system(spark, path)
+    stream = files.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path on whatever file system it lives on."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -79,6 +114,13 @@ def release(*written: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def together(*jobs: Callable[[], T]) -> list[T]:
+    """The results of jobs that do not wait for each other, run at the same time."""
+    own = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(own(j)) for j in jobs]]
+
+
 def small_rows(df: DataFrame, most: int = 100_000) -> list:
     """The rows of a table that is small by definition, such as a dimension; a larger one is refused, never cut."""
     rows = df.limit(most + 1).collect()
