@@ -1,22 +1,28 @@
 """Problem 4: check new rows for repeats against everything accepted earlier.
 
-The index in the shared folder holds, partitioned by a hash of the key, exact keys (page, title) and
-band keys; a new batch only joins its own keys with it and then appends its exact keys and the bands
-of every title that is new, also where its row was a repeat (of a page), so that the results do not
-depend on where a batch ends. A title's signature is the multiset of its words, and its bands are
-that signature with one word left out: two titles that differ in one word share a band. (Bands of
-minwise hashes over so few words either miss such pairs or put all titles of one wording into a
-bucket.) Titles that share a band are repeats if the words left out are one letter or one exchange
-of neighbours apart; this is verified by a further key, the word with one letter left out. A
-title that was cut off is compared with the beginnings of the others.
-
-Every check takes the smallest id of a key, aggregated map-side, so no group is collected and no
-pairs are formed; copies of one title enter the bands once.
+The index is four tables in the shared folder, bucketed by key: exact keys (page, title), band keys,
+beginnings and titles. A new batch is shuffled to the buckets and probes them where they lie: the
+history is never shuffled or grouped, only keys that the batch also has leave the scan. Then the keys
+that the index has not yet are appended; a row that only repeats adds nothing. The index is found
+again by its path (``layout``), so it survives the session, and a batch that failed half-way may be
+given again: its keys are there under the same ids.
+
+A title's signature is the multiset of its words, and its bands are that signature with one word left
+out: two titles that differ in one word share a band. (Bands of minwise hashes over so few words
+either miss such pairs or put all titles of one wording into a bucket; README has the figures.) Titles
+that share a band are repeats if the words left out, which the band stores, are one letter or one
+exchange of neighbours apart; this is verified by a further key, the word with one letter left out.
+A title that was cut off is compared with the beginnings of the others.
+
+Every check takes the smallest id of a key, so no group is collected and no pairs are formed; copies
+of one title enter the bands once.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,15 +31,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.llm import listing
-from leadlens.session import drop_path, materialise, release, scratch
+from leadlens.session import drop_path, exists, materialise, read_text, release, scratch, together, write_text
 
-BUCKETS = 8
 #: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
 BAND_WORDS, CUT_WORDS = 2, 4
 _MASK = (1 << 64) - 1
-_EXACT = "key bigint, id bigint"
-_BANDS = "key bigint, id bigint, word string"
-_STARTS = "key bigint, id bigint, next string, cut boolean"
+#: Tables of the index.
+TABLES = {
+    "exact": "key bigint, id bigint",
+    "bands": "key bigint, id bigint, word string",
+    "starts": "key bigint, id bigint, next string, cut boolean",
+    "titles": "key bigint, id bigint",
+}
+#: Titles of a batch that a task remembers, so as to give their bands once.
+REMEMBERED = 1 << 18
 
 
 def _h(text: str) -> int:
@@ -89,32 +100,48 @@ class Keys:
         return exact, bands, starts, _signed(running ^ cut) if bands or starts else None
 
 
-def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, domains: dict[str, str]) -> DataFrame:
-    """``(id, exact, bands, starts, title)`` of every row that has a title or a url."""
+def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, domains: dict[str, str], batch: str | None = None) -> DataFrame:
+    """``(id, batch, exact, bands, starts, title)`` of every row.
+
+    Of rows with one title in a batch a task gives bands and beginnings to the first it meets, so that
+    copies of a title are combined before they are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(domains)
+        given: set[tuple[int | None, int]] = set()
 
         def nested(groups: list[list[tuple]], names: list[str], types: list[pa.DataType]) -> pa.ListArray:
             offsets = pa.array(list(itertools.accumulate(map(len, groups), initial=0)), pa.int32())
             columns = list(zip(*itertools.chain.from_iterable(groups))) or [()] * len(names)
             return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names))
 
-        for batch in batches:
-            found = [keys.of(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+        for part in batches:
+            found = [keys.of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
+            if len(given) > REMEMBERED:
+                given.clear()
+            for i, (number, f) in enumerate(zip(part.column(1).to_pylist(), found)):
+                if f[3] is not None:
+                    if (number, f[3]) in given:
+                        found[i] = (f[0], [], [], f[3])
+                    given.add((number, f[3]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    part.column(0),
+                    part.column(1),
                     pa.array([f[0] for f in found], pa.list_(pa.int64())),
                     nested([f[1] for f in found], ["key", "word"], [pa.int64(), pa.string()]),
                     nested([f[2] for f in found], ["key", "next", "cut"], [pa.int64(), pa.string(), pa.bool_()]),
                     pa.array([f[3] for f in found], pa.int64()),
                 ],
-                names=["id", "exact", "bands", "starts", "title"],
+                names=["id", "batch", "exact", "bands", "starts", "title"],
             )
 
-    wanted = rows.select(F.col(identifier).cast("long").alias("id"), title, url, owner)
-    return wanted.mapInArrow(run, "id bigint, exact array<bigint>, bands array<struct<key:bigint,word:string>>, starts array<struct<key:bigint,next:string,cut:boolean>>, title bigint")
+    number = F.col(batch).cast("long") if batch else F.lit(None).cast("long")
+    wanted = rows.select(F.col(identifier).cast("long").alias("id"), number.alias("batch"), title, url, owner)
+    return wanted.mapInArrow(
+        run, "id bigint, batch bigint, exact array<bigint>, bands array<struct<key:bigint,word:string>>, starts array<struct<key:bigint,next:string,cut:boolean>>, title bigint"
+    )
 
 
 def _variants(word: Column) -> Column:
@@ -128,71 +155,151 @@ def _variants(word: Column) -> Column:
 
 
 class History:
-    """An index of accepted rows that grows batch by batch."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.step = spark, path or scratch(spark, "history"), 0
-        self.made: dict[str, bool] = {}
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if not self.made.get(name):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(f"{schema}, step int, bucket int").parquet(f"{self.path}/{name}").drop("step", "bucket")
+    """An index of accepted rows that grows batch by batch and can be opened again by its ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        """``buckets`` counts for a new index only: one per core of the cluster or more; by default the session's shuffle partitions."""
+        self.spark, self.path = spark, path or scratch(spark, "history")
+        layout = f"{self.path}/layout"
+        if exists(spark, layout):
+            self.state = json.loads(read_text(spark, layout))
+        else:
+            self.state = {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "version": 0}
+            write_text(spark, layout, json.dumps(self.state))
+        self._attach()
+
+    def _attach(self) -> None:
+        tag = uuid.uuid4().hex
+        self.names = {t: f"history_{t}_{tag}" for t in TABLES}
+        for t, schema in TABLES.items():
+            where = f"{self.path}/v{self.state['version']}/{t}"
+            self.spark.sql(f"create table {self.names[t]} ({schema}) using parquet clustered by (key) into {self.state['buckets']} buckets location '{where}'")
+
+    def _detach(self) -> None:
+        for name in self.names.values():
+            self.spark.sql(f"drop table if exists {name}")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(self.names[name])
+
+    def _probe(self, name: str, keys: DataFrame) -> DataFrame:
+        """Rows of an index table whose key is among ``keys``: the keys go to the buckets, the table stays where it is."""
+        return self.table(name).join(keys.select("key").hint("shuffle_hash"), "key", "left_semi")
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        target = f"{self.path}/{name}/step={self.step}"
-        rows.withColumn("bucket", F.pmod("key", F.lit(BUCKETS)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(target)
-        self.made[name] = True
+        self._bucketed(rows).select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.insertInto(self.names[name])
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.state["buckets"], "key")
 
     def accept(self, rows: DataFrame, last: bool = False) -> DataFrame:
         """``(id)`` of the rows that repeat a row accepted earlier or one of smaller id among themselves.
 
-        ``rows`` comes from ``keyed``; it may hold one batch or several. Its exact keys and the bands
-        and beginnings of titles that the index has not yet are appended, unless no more batches follow (``last``). Null and empty titles and urls give no
-        keys; an empty batch gives an empty result.
+        ``rows`` comes from ``keyed``; it may hold one batch or several and is read several times. The
+        keys that the index has not yet are appended, unless no more batches follow (``last``). Null
+        and empty titles and urls give no keys; an empty batch gives an empty result.
         """
-        rows = materialise(rows, "keys")
         exact = rows.select("id", F.explode("exact").alias("key"))
-        first = exact.groupBy("key").agg(F.min("id").alias("least"))
-        if self.made:
-            older = self._read("exact", _EXACT).groupBy("key").agg(F.min("id").alias("older"))
-            first = first.join(older, "key", "left").withColumn("least", F.least("least", F.coalesce("older", "least"))).drop("older")
-        first = materialise(first, "first")
-        same = materialise(exact.join(first, "key").where("id > least").select("id").distinct(), "same")
-        # only the first row of a title can be a new repeat here, so copies need not be taken out before
-        bands = rows.select("id", F.inline("bands")).select("key", "id", "word")
-        starts = rows.select("id", F.inline("starts")).select("key", "id", "next", "cut")
-        every_band, cut, full = bands, starts.where("cut"), starts.where("not cut")
-        if self.made:
-            every_band = bands.unionByName(self._read("bands", _BANDS))
-            cut, full = cut.unionByName(self._read("starts", _STARTS).where("cut")), full.unionByName(self._read("starts", _STARTS).where("not cut"))
-        spread = every_band.groupBy("key").agg(F.min(F.xxhash64("word")).alias("a"), F.max(F.xxhash64("word")).alias("b"), F.max("id").alias("newest"))
-        since = rows.agg(F.min("id")).first()[0] if self.made else None
-        several = materialise(spread.where("a <> b").where(f"newest >= {since}" if since is not None else "true").select("key"), "several")
-        spelled = every_band.join(several, "key").groupBy("key", "word").agg(F.min("id").alias("id"))
-        spelled = materialise(spelled.withColumn("variant", F.explode(_variants(F.col("word")))).select("key", "variant", "id"), "variants")
-        near = spelled.join(spelled.groupBy("key", "variant").agg(F.min("id").alias("least")), ["key", "variant"]).where("id > least").select("id")
 
-        cut = materialise(cut.groupBy("key", F.col("next").alias("part")).agg(F.min("id").alias("cut_id")), "cut")
-        met = full.join(cut, "key").where("startswith(next, part)")
+        def firsts() -> DataFrame:
+            least = exact.groupBy("key").agg(F.min("id").alias("least"))
+            older = self._probe("exact", least).withColumnRenamed("id", "older")
+            return materialise(least.join(older, "key", "left"), "first")
+
+        def new_titles() -> DataFrame:
+            met = rows.where("title is not null").groupBy(F.col("title").alias("key")).agg(F.min("id").alias("id"))
+            known = self.table("titles").withColumnRenamed("id", "older")
+            # a title met earlier is left out; one of this very row is not, so that a batch may be given again
+            return materialise(met.join(known, "key", "left").where("older is null or older >= id").select("key", "id").distinct(), "titles")
+
+        first, titles = together(firsts, new_titles)
+        fresh = rows.where("size(bands) + size(starts) > 0").select(F.col("title").alias("key"), "bands", "starts").join(titles, "key")
+        bands = self._bucketed(fresh.select("id", F.inline("bands"))).groupBy("key", "word").agg(F.min("id").alias("id"))
+        starts = self._bucketed(fresh.select("id", F.inline("starts"))).groupBy("key", "next", "cut").agg(F.min("id").alias("id"))
+        bands, starts = together(lambda: materialise(bands, "bands"), lambda: materialise(starts, "starts"))
+
+        def variants() -> DataFrame:
+            every = bands.select("key", "id", "word").unionByName(self._probe("bands", bands))
+            spread = every.groupBy("key").agg(F.min(F.xxhash64("word")).alias("a"), F.max(F.xxhash64("word")).alias("b")).where("a <> b").select("key")
+            spelled = every.join(spread, "key").withColumn("variant", F.explode(_variants(F.col("word"))))
+            return materialise(spelled.select("key", "variant", "id"), "variants")
+
+        def beginnings() -> DataFrame:
+            return materialise(starts.select("key", "id", "next", "cut").unionByName(self._probe("starts", starts)), "begun")
+
+        spelled, begun = together(variants, beginnings)
+        near = spelled.join(spelled.groupBy("key", "variant").agg(F.min("id").alias("least")), ["key", "variant"]).where("id > least").select("id")
+        cut = begun.where("cut").groupBy("key", F.col("next").alias("part")).agg(F.min("id").alias("cut_id"))
+        met = begun.where("not cut").join(cut, "key").where("startswith(next, part)")
         longer = met.select(F.explode(F.array(F.when(F.col("id") > F.col("cut_id"), F.col("id")), F.when(F.col("cut_id") > F.col("id"), F.col("cut_id")))).alias("id"))
-        repeats = near.union(longer.where("id is not null")).distinct()
-        found = materialise(same.union(repeats.join(rows.select("id"), "id", "left_semi")).distinct(), "repeats")
+
+        def repeats() -> DataFrame:
+            same = exact.join(first.select("key", F.least("least", F.coalesce("older", "least")).alias("least")), "key").where("id > least").select("id")
+            # rows of the index that come up again here were told of when they came
+            close = near.union(longer.where("id is not null")).distinct().join(titles.select("id"), "id", "left_semi")
+            return materialise(same.union(close).distinct(), "repeats")
+
+        appends = [
+            lambda: self._append("exact", first.where("older is null").select("key", F.col("least").alias("id"))),
+            lambda: self._append("bands", bands),
+            lambda: self._append("starts", starts),
+        ]
+        found = together(repeats, *([] if last else appends))[0]
         if not last:
-            titles = rows.where("title is not null").groupBy(F.col("title").alias("key")).agg(F.min("id").alias("id"))
-            if self.made:
-                titles = titles.join(self._read("titles", _EXACT).select("key"), "key", "left_anti")
-            titles = materialise(titles, "titles")
-            fresh = materialise(rows.join(titles.select("id"), "id", "left_semi"), "fresh")
-            release(rows)
-            self._append("exact", first.select("key", F.col("least").alias("id")))
-            self._append("bands", fresh.select("id", F.inline("bands")).select("key", "id", "word"))
-            self._append("starts", fresh.select("id", F.inline("starts")).select("key", "id", "next", "cut"))
-            self._append("titles", titles)
-            release(fresh, titles)
-        release(rows, first, same, several, spelled, cut)
-        self.step += 1
+            self._append("titles", titles)  # last: a title that is there has its bands there
+        release(first, titles, bands, starts, spelled, begun)
         return found
 
+    def compact(self) -> None:
+        """Write every table anew with one sorted file a bucket, its keys once; the old files go when the new ones are named in ``layout``."""
+        old, before = self.names, self.state["version"]
+        whole = {t: self.table(t) for t in TABLES}
+        self.state = self.state | {"version": before + 1}
+        drop_path(self.spark, f"{self.path}/v{before + 1}")
+        self._attach()
+        for t, rows in whole.items():
+            keys = [c for c in rows.columns if c != "id"]
+            self._append(t, self._bucketed(rows).groupBy(*keys).agg(F.min("id").alias("id")))
+        write_text(self.spark, f"{self.path}/layout", json.dumps(self.state))
+        for name in old.values():
+            self.spark.sql(f"drop table if exists {name}")
+        drop_path(self.spark, f"{self.path}/v{before}")
+
+    def close(self) -> None:
+        """Forget the tables' names; the index stays."""
+        self._detach()
+
     def drop(self) -> None:
+        self._detach()
         drop_path(self.spark, self.path)
+
+
+def replay(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """``(id)`` of all repeats in a backlog of batches, fed in order to a new index.
+
+    Batches go in together while they are fewer rows than the history they are checked against, so the
+    history is read a logarithmic number of times. ``rows`` comes from ``keyed``, written, with batches
+    that rise with the id; rows of a null batch go first.
+    """
+    sizes = [(r.batch, r.n) for r in rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_first("batch")).toLocalIterator()]
+    index, found = History(spark), []
+    calls: list[list[int | None]] = []
+    history = pending = 0
+    for number, n in sizes:
+        if not calls or pending >= history:
+            calls.append([])
+            history, pending = history + pending, 0
+        calls[-1].append(number)
+        pending += n
+    for i, numbers in enumerate(calls):
+        known = [n for n in numbers if n is not None]
+        chosen = F.col("batch").between(known[0], known[-1]) if known else F.lit(False)
+        chosen = chosen | F.col("batch").isNull() if None in numbers else chosen
+        found.append(index.accept(rows.where(chosen), last=i == len(calls) - 1))
+    if not found:
+        return rows.select("id").where("false")
+    index.drop()
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions.contributor import with_contributor
 from leadlens.llm import capping, consensus, history, leakage, lookalike, matching, sampling, sentences, tokenize
-from leadlens.session import materialise, small_rows, table
+from leadlens.session import materialise, release, small_rows, table
 from leadlens.streaming import changes
 
 
@@ -99,24 +98,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-#: Calls in which p4_found feeds the batches to the index.
-P4_CALLS = 2
+def p4_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of all leads, written once."""
+    leads = titled(owned_leads(spark, d, "ordinal", "batch_no", "source", "title", "url")).select("ordinal", "batch_no", "contributor", "title", "url")
+    domains = {r.domain.lower(): r.source for r in small_rows(table(spark, d, "domain_dim").select("domain", "source").where("domain is not null"))}
+    return materialise(history.keyed(leads, "ordinal", "title", "url", "contributor", domains, "batch_no"), "keys")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Leads that repeat an earlier page or post: all batches, fed in order to the growing index."""
-    leads = titled(owned_leads(spark, d, "ordinal", "batch_no", "source", "title", "url")).select("ordinal", "batch_no", "contributor", "title", "url")
-    domains = {r.domain.lower(): r.source for r in small_rows(table(spark, d, "domain_dim").select("domain", "source").where("domain is not null"))}
-    quantiles = [i / P4_CALLS for i in range(1, P4_CALLS)]
-    cuts = table(spark, d, "leads").agg(F.percentile_approx("batch_no", quantiles).alias("q")).first().q or []
-    edges = [None, *sorted(set(cuts)), None]
-    index, found = history.History(spark), []
-    for low, high in zip(edges, edges[1:]):
-        part = leads.where(f"batch_no > {low}" if low is not None else "true").where(f"batch_no <= {high}" if high is not None else "true")
-        part = leads.where("batch_no is null").unionByName(part) if low is None and high is not None else part
-        keyed = history.keyed(part, "ordinal", "title", "url", "contributor", domains)
-        found.append(index.accept(keyed, last=high is None))
-    return functools.reduce(lambda a, b: a.union(b), found).select(F.col("id").alias("ordinal"))
+    keys = p4_keys(spark, d)
+    found = history.replay(spark, keys)
+    release(keys)
+    return found.select(F.col("id").alias("ordinal"))
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:
