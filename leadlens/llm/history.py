@@ -1,7 +1,7 @@
 """Problem 4: check new rows for repeats against everything accepted earlier.
 
-The index is four tables in the shared folder, bucketed by key: exact keys (page, title), band keys,
-beginnings and titles. A new batch is shuffled to the buckets and probes them where they lie: the
+The index is two tables in the shared folder, bucketed by key: exact keys (page, title) and parts of
+titles (bands, beginnings). A new batch is shuffled to the buckets and probes them where they lie: the
 history is never shuffled or grouped, only keys that the batch also has leave the scan. Then the keys
 that the index has not yet are appended; a row that only repeats adds nothing. The index is found
 again by its path (``layout``), so it survives the session, and a batch that failed half-way may be
@@ -35,14 +35,12 @@ from leadlens.session import drop_path, exists, materialise, read_text, release,
 
 #: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
 BAND_WORDS, CUT_WORDS = 2, 4
+#: Of a backlog, so many times the history's rows are checked at once.
+GROWTH = 3
 _MASK = (1 << 64) - 1
-#: Tables of the index.
-TABLES = {
-    "exact": "key bigint, id bigint",
-    "bands": "key bigint, id bigint, word string",
-    "starts": "key bigint, id bigint, next string, cut boolean",
-    "titles": "key bigint, id bigint",
-}
+#: Tables of the index; ``kind`` of a part is one of those below, ``word`` the word left out or the next one.
+TABLES = {"exact": "key bigint, id bigint", "parts": "key bigint, id bigint, kind tinyint, word string"}
+BAND, BEGINNING, CUT_OFF = 0, 1, 2
 #: Titles of a batch that a task remembers, so as to give their bands once.
 REMEMBERED = 1 << 18
 
@@ -70,78 +68,75 @@ class Keys:
             self.words[w] = _h("w" + w)
         return self.words[w]
 
-    def of(self, title: str | None, url: str | None, owner: str | None) -> tuple[list[int], list[tuple[int, str]], list[tuple[int, str, bool]], int | None]:
-        """(exact keys, bands with the word left out, beginnings with the next word and whether the title is cut off, key of the title in its order).
+    def of(self, title: str | None, url: str | None, owner: str | None) -> tuple[list[int], list[tuple[int, int, str]], int | None]:
+        """(exact keys, parts as (key, kind, word), key of the title in its order).
 
-        Titles of one last key have the same bands and beginnings; it is null where there are none."""
+        Titles of one last key have the same parts; it is null where there are none, else one of the exact keys."""
         exact: list[int] = []
         page = listing.page_key(url, self.domains)
         if page:
             exact.append(_signed(_h("p" + page)))
         if not title or not owner:
-            return exact, [], [], None
+            return exact, [], None
         bare, cut = listing.undressed(title, owner)
         words = listing.without_site(listing.tokens(bare), owner)
         if listing.only_site(words, bare, owner):
-            return exact, [], [], None
+            return exact, [], None
         base, known = self._word("\0" + owner), self.words
         hashes = [known[w] if w in known else self._word(w) for w in words]
         whole = base + sum(hashes)
         exact.append(_signed(whole * 2 + 1 if cut else whole))
-        count, bands, starts = len(words), [], []
+        count, parts = len(words), []
         if count > BAND_WORDS and not cut:
-            bands = [(_signed((whole - h) ^ 0x5BD1E995), w) for w, h in set(zip(words, hashes)) if not w[0].isdigit()]
+            parts = [(_signed((whole - h) ^ 0x5BD1E995), BAND, w) for w, h in set(zip(words, hashes)) if not w[0].isdigit()]
         # a title cut off before "lid only" names the whole product, so accessories begin otherwise
         running, least = base + listing.is_accessory(bare), max(BAND_WORDS + 1, count - (1 if cut else CUT_WORDS))
         for m, h in enumerate(hashes, 1):
             running = (running * 0x100000001B3 + h) & _MASK
             if m >= least and (m == count - 1 or not cut):
-                starts.append((_signed(running), words[m] if m < count else "", cut))
-        return exact, bands, starts, _signed(running ^ cut) if bands or starts else None
+                parts.append((_signed(running), CUT_OFF if cut else BEGINNING, words[m] if m < count else ""))
+        if not parts:
+            return exact, [], None
+        title_key = _signed(running ^ cut ^ 0x9E3779B97F4A7C15)
+        return [*exact, title_key], parts, title_key
 
 
 def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, domains: dict[str, str], batch: str | None = None) -> DataFrame:
-    """``(id, batch, exact, bands, starts, title)`` of every row.
+    """``(id, batch, exact, parts, title)`` of every row.
 
-    Of rows with one title in a batch a task gives bands and beginnings to the first it meets, so that
-    copies of a title are combined before they are shuffled.
+    Of rows with one title in a batch a task gives the parts to the first it meets, so that copies of
+    a title are combined before they are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(domains)
         given: set[tuple[int | None, int]] = set()
-
-        def nested(groups: list[list[tuple]], names: list[str], types: list[pa.DataType]) -> pa.ListArray:
-            offsets = pa.array(list(itertools.accumulate(map(len, groups), initial=0)), pa.int32())
-            columns = list(zip(*itertools.chain.from_iterable(groups))) or [()] * len(names)
-            return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names))
-
         for part in batches:
             found = [keys.of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
             if len(given) > REMEMBERED:
                 given.clear()
             for i, (number, f) in enumerate(zip(part.column(1).to_pylist(), found)):
-                if f[3] is not None:
-                    if (number, f[3]) in given:
-                        found[i] = (f[0], [], [], f[3])
-                    given.add((number, f[3]))
+                if f[2] is not None:
+                    if (number, f[2]) in given:
+                        found[i] = (f[0], [], f[2])
+                    given.add((number, f[2]))
+            offsets = pa.array(list(itertools.accumulate((len(f[1]) for f in found), initial=0)), pa.int32())
+            columns = list(zip(*itertools.chain.from_iterable(f[1] for f in found))) or [(), (), ()]
+            fields = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int8(), pa.string()))]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
                     pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                    nested([f[1] for f in found], ["key", "word"], [pa.int64(), pa.string()]),
-                    nested([f[2] for f in found], ["key", "next", "cut"], [pa.int64(), pa.string(), pa.bool_()]),
-                    pa.array([f[3] for f in found], pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["key", "kind", "word"])),
+                    pa.array([f[2] for f in found], pa.int64()),
                 ],
-                names=["id", "batch", "exact", "bands", "starts", "title"],
+                names=["id", "batch", "exact", "parts", "title"],
             )
 
     number = F.col(batch).cast("long") if batch else F.lit(None).cast("long")
     wanted = rows.select(F.col(identifier).cast("long").alias("id"), number.alias("batch"), title, url, owner)
-    return wanted.mapInArrow(
-        run, "id bigint, batch bigint, exact array<bigint>, bands array<struct<key:bigint,word:string>>, starts array<struct<key:bigint,next:string,cut:boolean>>, title bigint"
-    )
+    return wanted.mapInArrow(run, "id bigint, batch bigint, exact array<bigint>, parts array<struct<key:bigint,kind:tinyint,word:string>>, title bigint")
 
 
 def _variants(word: Column) -> Column:
@@ -200,54 +195,31 @@ class History:
         and empty titles and urls give no keys; an empty batch gives an empty result.
         """
         exact = rows.select("id", F.explode("exact").alias("key"))
-
-        def firsts() -> DataFrame:
-            least = exact.groupBy("key").agg(F.min("id").alias("least"))
-            older = self._probe("exact", least).withColumnRenamed("id", "older")
-            return materialise(least.join(older, "key", "left"), "first")
-
-        def new_titles() -> DataFrame:
-            met = rows.where("title is not null").groupBy(F.col("title").alias("key")).agg(F.min("id").alias("id"))
-            known = self.table("titles").withColumnRenamed("id", "older")
-            # a title met earlier is left out; one of this very row is not, so that a batch may be given again
-            return materialise(met.join(known, "key", "left").where("older is null or older >= id").select("key", "id").distinct(), "titles")
-
-        first, titles = together(firsts, new_titles)
-        fresh = rows.where("size(bands) + size(starts) > 0").select(F.col("title").alias("key"), "bands", "starts").join(titles, "key")
-        bands = self._bucketed(fresh.select("id", F.inline("bands"))).groupBy("key", "word").agg(F.min("id").alias("id"))
-        starts = self._bucketed(fresh.select("id", F.inline("starts"))).groupBy("key", "next", "cut").agg(F.min("id").alias("id"))
-        bands, starts = together(lambda: materialise(bands, "bands"), lambda: materialise(starts, "starts"))
-
-        def variants() -> DataFrame:
-            every = bands.select("key", "id", "word").unionByName(self._probe("bands", bands))
-            spread = every.groupBy("key").agg(F.min(F.xxhash64("word")).alias("a"), F.max(F.xxhash64("word")).alias("b")).where("a <> b").select("key")
-            spelled = every.join(spread, "key").withColumn("variant", F.explode(_variants(F.col("word"))))
-            return materialise(spelled.select("key", "variant", "id"), "variants")
-
-        def beginnings() -> DataFrame:
-            return materialise(starts.select("key", "id", "next", "cut").unionByName(self._probe("starts", starts)), "begun")
-
-        spelled, begun = together(variants, beginnings)
+        least = exact.groupBy("key").agg(F.min("id").alias("least"))
+        first = materialise(least.join(self._probe("exact", least).withColumnRenamed("id", "older"), "key", "left"), "first")
+        # a title met earlier is left out; one of this very row is not, so that a batch may be given again
+        titles = first.where("older is null or older >= least").select(F.col("key").alias("title"), F.col("least").alias("id"))
+        fresh = rows.where("size(parts) > 0").select("title", "parts").join(titles, "title").select("id", F.inline("parts"))
+        parts = self._bucketed(fresh).groupBy("key", "kind", "word").agg(F.min("id").alias("id"))
+        every = parts.select("*", F.lit(True).alias("new")).unionByName(self._probe("parts", parts).withColumn("new", F.lit(False)))
+        every = materialise(every, "parts")
+
+        bands = every.where(F.col("kind") == BAND)
+        spread = bands.groupBy("key").agg(F.min(F.xxhash64("word")).alias("a"), F.max(F.xxhash64("word")).alias("b")).where("a <> b").select("key")
+        spelled = bands.join(spread, "key").select("key", "id", F.explode(_variants(F.col("word"))).alias("variant"))
         near = spelled.join(spelled.groupBy("key", "variant").agg(F.min("id").alias("least")), ["key", "variant"]).where("id > least").select("id")
-        cut = begun.where("cut").groupBy("key", F.col("next").alias("part")).agg(F.min("id").alias("cut_id"))
-        met = begun.where("not cut").join(cut, "key").where("startswith(next, part)")
-        longer = met.select(F.explode(F.array(F.when(F.col("id") > F.col("cut_id"), F.col("id")), F.when(F.col("cut_id") > F.col("id"), F.col("cut_id")))).alias("id"))
-
-        def repeats() -> DataFrame:
-            same = exact.join(first.select("key", F.least("least", F.coalesce("older", "least")).alias("least")), "key").where("id > least").select("id")
-            # rows of the index that come up again here were told of when they came
-            close = near.union(longer.where("id is not null")).distinct().join(titles.select("id"), "id", "left_semi")
-            return materialise(same.union(close).distinct(), "repeats")
-
-        appends = [
-            lambda: self._append("exact", first.where("older is null").select("key", F.col("least").alias("id"))),
-            lambda: self._append("bands", bands),
-            lambda: self._append("starts", starts),
-        ]
-        found = together(repeats, *([] if last else appends))[0]
+        cut = every.where(F.col("kind") == CUT_OFF).groupBy("key", F.col("word").alias("part")).agg(F.min("id").alias("cut_id"))
+        met = every.where(F.col("kind") == BEGINNING).join(cut, "key").where("startswith(word, part)").where("id <> cut_id")
+        # rows of the index that come up again here were told of when they came
+        close = near.union(met.select(F.greatest("id", "cut_id"))).distinct().join(every.where("new").select("id").distinct(), "id", "left_semi")
+        same = exact.join(first.select("key", F.least("least", F.coalesce("older", "least")).alias("least")), "key").where("id > least").select("id")
+        jobs = [lambda: materialise(same.union(close).distinct(), "repeats")]
         if not last:
-            self._append("titles", titles)  # last: a title that is there has its bands there
-        release(first, titles, bands, starts, spelled, begun)
+            jobs.append(lambda: self._append("parts", every.where("new")))
+        found = together(*jobs)[0]
+        if not last:  # in this order: a title that is there has its parts there
+            self._append("exact", first.where("older is null").select("key", F.col("least").alias("id")))
+        release(first, every)
         return found
 
     def compact(self) -> None:
@@ -277,8 +249,8 @@ class History:
 def replay(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``(id)`` of all repeats in a backlog of batches, fed in order to a new index.
 
-    Batches go in together while they are fewer rows than the history they are checked against, so the
-    history is read a logarithmic number of times. ``rows`` comes from ``keyed``, written, with batches
+    Batches go in together while they are fewer than ``GROWTH`` times the rows of the history they are
+    checked against, so the history is read a logarithmic number of times. ``rows`` comes from ``keyed``, written, with batches
     that rise with the id; rows of a null batch go first.
     """
     sizes = [(r.batch, r.n) for r in rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_first("batch")).toLocalIterator()]
@@ -286,7 +258,7 @@ def replay(spark: SparkSession, rows: DataFrame) -> DataFrame:
     calls: list[list[int | None]] = []
     history = pending = 0
     for number, n in sizes:
-        if not calls or pending >= history:
+        if not calls or pending >= GROWTH * history:
             calls.append([])
             history, pending = history + pending, 0
         calls[-1].append(number)

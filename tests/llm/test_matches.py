@@ -86,7 +86,7 @@ def test_probe_does_not_shuffle_the_index(spark):
     index = history.History(spark, buckets=4)
     keys = history.keyed(spark.createDataFrame([(o, t, u, w, 0) for o, t, u, w, _ in TITLES], SCHEMA), "ordinal", "title", "url", "owner", {})
     index.accept(keys)
-    plan = index._probe("bands", spark.range(10).withColumnRenamed("id", "key"))._jdf.queryExecution().executedPlan().toString()
+    plan = index._probe("parts", spark.range(10).withColumnRenamed("id", "key"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
     index.drop()
 
