@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.functions.contributor import with_contributor
-from leadlens.llm import capping, consensus, history, leakage, lookalike, matching, sampling, sentences, tokenize
+from leadlens.llm import capping, consensus, history, leakage, lookalike, matching, oracle, sampling, sentences, tokenize
 from leadlens.session import materialise, release, small_rows, table
 from leadlens.streaming import changes
 
@@ -149,4 +149,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; tests compare the others with slow exact forms."""
+    return {"p1_found": oracle.P1_FOUND, "p2_found": oracle.P2_FOUND}

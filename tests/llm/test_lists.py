@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,14 +26,20 @@ def expected_drops(rows, share):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [1 << 16, 7])
-def test_capped_against_brute_force(spark, block, monkeypatch):
+def few_scores(rng):
+    return rng.choice([None, float("nan"), 0.0, -0.0, 1.5, 2.5])
+
+
+def many_scores(rng):
+    return rng.choice([rng.uniform(-3, 3), rng.uniform(0.5, 0.5000001), rng.gauss(0, 1e200), 5e-324, float("inf"), float("-inf"), None, 0.0])
+
+
+@pytest.mark.parametrize("block,fine,scores", [(1 << 16, 1 << 16, few_scores), (7, 4, few_scores), (1 << 16, 1 << 16, many_scores), (7, 4, many_scores)])
+def test_capped_against_brute_force(spark, block, fine, scores, monkeypatch):
     monkeypatch.setattr(capping, "BLOCK", block)
+    monkeypatch.setattr(capping, "FINE", fine)
     rng = random.Random(3)
-    rows = [
-        (i, rng.choice([1, 2, None]), rng.choice(["hot", "hot", "hot", "b", "c", None]), rng.choice([None, float("nan"), 0.0, -0.0, 1.5, 2.5]), "x", "y")
-        for i in range(600)
-    ]
+    rows = [(i, rng.choice([1, 2, None]), rng.choice(["hot", "hot", "hot", "b", "c", None]), scores(rng), "x", "y") for i in range(600)]
     got = capping.capped(spark.createDataFrame(rows, ROWS), "batch", "owner", "score", "ordinal", share=5)
     assert got.columns == ["ordinal", "batch", "owner", "score", "_room", "kept"]
     assert got.count() == 600
@@ -62,12 +69,26 @@ def test_sampler_reports_and_draws(spark):
     drawn = made.sample().collect()
     assert len({r.id for r in drawn}) == len(drawn)
     shares = Counter((r.category, r.source_type) for r in drawn)
-    assert abs(sum(shares.values()) - 100) <= 5
-    assert shares["lamp", "big_shop"] >= 2
-    assert 35 <= shares["cup", "big_shop"] <= 75 and 25 <= shares["cup", "small_shop"] <= 60
+    # the lamps and the vase that are missing go to the other cell of their shop
+    assert shares == {("cup", "big_shop"): 58, ("cup", "small_shop"): 40, ("lamp", "big_shop"): 3}
+    assert {k: r.drawn for k, r in report.items()} == {**shares, ("vase", "big_shop"): 0}
     assert sorted(r.id for r in drawn) == sorted(r.id for r in made.sample().collect())
 
 
+def test_raking_keeps_bounds_and_margins():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        rows, columns = (a.ravel() for a in np.indices((6, 5)))
+        wanted, have = rng.integers(0, 60, 30).astype(float), rng.integers(0, 400, 30)
+        least = np.minimum(wanted, have)
+        got = sampling.raked(wanted, least, have, [rows, columns])
+        assert (got >= least).all() and (got <= have).all()
+        if (have >= wanted).all():
+            assert (got == wanted).all()
+    plenty = sampling.raked(np.array([10.0, 20, 30, 40]), np.zeros(4), np.array([5, 999, 999, 999]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])])
+    assert np.bincount([0, 0, 1, 1], plenty).tolist() == [30, 70] and np.bincount([0, 1, 0, 1], plenty).tolist() == [40, 60]
+
+
 def test_sampler_empty(spark):
     targets = spark.createDataFrame([("cup", "shop", 10000, 3)], TARGETS)
     made = sampling.Sampler(spark.createDataFrame([], LEADS), targets)
