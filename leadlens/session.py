@@ -73,6 +73,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    """Make a folder, if it is not there."""
+    files, target = _file_system(spark, path)
+    files.mkdirs(target)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file."""
     files, target = _file_system(spark, path)
