@@ -1,11 +1,12 @@
 """Problem 4: check new rows for repeats against everything accepted earlier.
 
 The index is two tables in the shared folder, bucketed by key: exact keys (page, title) and parts of
-titles (bands, beginnings). A new batch is shuffled to the buckets and probes them where they lie: the
-history is never shuffled or grouped, only keys that the batch also has leave the scan. Then the keys
-that the index has not yet are appended; a row that only repeats adds nothing. The index is found
-again by its path (``layout``), so it survives the session, and a batch that failed half-way may be
-given again: its keys are there under the same ids.
+titles (bands, beginnings). The keys of a new batch are shuffled to the buckets once and appended there
+as a step of their own, those that the index has not yet; a row that only repeats adds nothing. The
+step is then joined with the earlier ones bucket by bucket: the history is never shuffled, and only
+its rows that share a key with the step leave the scan. The index is found again by its path
+(``layout``), so it survives the session; a batch that failed half-way may be given again, as its step
+is written anew.
 
 A title's signature is the multiset of its words, and its bands are that signature with one word left
 out: two titles that differ in one word share a band. (Bands of minwise hashes over so few words
@@ -27,11 +28,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlens.llm import listing
-from leadlens.session import drop_path, exists, materialise, read_text, release, scratch, together, write_text
+from leadlens.session import drop_path, exists, make_dir, materialise, read_text, scratch, together, write_text
 
 #: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
 BAND_WORDS, CUT_WORDS = 2, 4
@@ -39,7 +40,7 @@ BAND_WORDS, CUT_WORDS = 2, 4
 GROWTH = 3
 _MASK = (1 << 64) - 1
 #: Tables of the index; ``kind`` of a part is one of those below, ``word`` the word left out or the next one.
-TABLES = {"exact": "key bigint, id bigint", "parts": "key bigint, id bigint, kind tinyint, word string"}
+TABLES = {"exact": "key bigint, id bigint", "parts": "key bigint, title bigint, id bigint, kind tinyint, word string"}
 BAND, BEGINNING, CUT_OFF = 0, 1, 2
 #: Titles of a batch that a task remembers, so as to give their bands once.
 REMEMBERED = 1 << 18
@@ -104,22 +105,23 @@ class Keys:
 def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, domains: dict[str, str], batch: str | None = None) -> DataFrame:
     """``(id, batch, exact, parts, title)`` of every row.
 
-    Of rows with one title in a batch a task gives the parts to the first it meets, so that copies of
-    a title are combined before they are shuffled.
+    Of rows with one title in a batch a task gives the parts to the first it meets, and to one of a smaller
+    id that follows, so that copies of a title are combined before they are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(domains)
-        given: set[tuple[int | None, int]] = set()
+        given: dict[tuple[int | None, int], int] = {}
         for part in batches:
             found = [keys.of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
             if len(given) > REMEMBERED:
                 given.clear()
-            for i, (number, f) in enumerate(zip(part.column(1).to_pylist(), found)):
+            for i, (row, number, f) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), found)):
                 if f[2] is not None:
-                    if (number, f[2]) in given:
+                    if given.get((number, f[2]), row + 1) <= row:
                         found[i] = (f[0], [], f[2])
-                    given.add((number, f[2]))
+                    else:
+                        given[number, f[2]] = row
             offsets = pa.array(list(itertools.accumulate((len(f[1]) for f in found), initial=0)), pa.int32())
             columns = list(zip(*itertools.chain.from_iterable(f[1] for f in found))) or [(), (), ()]
             fields = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int8(), pa.string()))]
@@ -159,91 +161,94 @@ class History:
         if exists(spark, layout):
             self.state = json.loads(read_text(spark, layout))
         else:
-            self.state = {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "version": 0}
-            write_text(spark, layout, json.dumps(self.state))
+            self.state = {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "version": 0, "step": 0}
+            self._commit()
         self._attach()
 
+    def _commit(self, **changed: int) -> None:
+        self.state |= changed
+        write_text(self.spark, f"{self.path}/layout", json.dumps(self.state))
+
     def _attach(self) -> None:
         tag = uuid.uuid4().hex
         self.names = {t: f"history_{t}_{tag}" for t in TABLES}
         for t, schema in TABLES.items():
             where = f"{self.path}/v{self.state['version']}/{t}"
-            self.spark.sql(f"create table {self.names[t]} ({schema}) using parquet clustered by (key) into {self.state['buckets']} buckets location '{where}'")
+            make_dir(self.spark, where)
+            kept = f"partitioned by (step) clustered by (key) into {self.state['buckets']} buckets"
+            self.spark.sql(f"create table {self.names[t]} ({schema}, step int) using parquet {kept} location '{where}'")
+            self.spark.sql(f"alter table {self.names[t]} recover partitions")
 
-    def _detach(self) -> None:
+    def close(self) -> None:
+        """Forget the tables' names; the index stays."""
         for name in self.names.values():
             self.spark.sql(f"drop table if exists {name}")
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.table(self.names[name])
+    def drop(self) -> None:
+        self.close()
+        drop_path(self.spark, self.path)
 
-    def _probe(self, name: str, keys: DataFrame) -> DataFrame:
-        """Rows of an index table whose key is among ``keys``: the keys go to the buckets, the table stays where it is."""
-        return self.table(name).join(keys.select("key").hint("shuffle_hash"), "key", "left_semi")
+    def table(self, name: str) -> DataFrame:
+        """An index table as far as it is committed."""
+        return self.spark.table(self.names[name]).where(F.col("step") < self.state["step"])
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        self._bucketed(rows).select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.insertInto(self.names[name])
+    def _write(self, name: str, rows: DataFrame, step: int) -> None:
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        drop_path(self.spark, f"{self.path}/v{self.state['version']}/{name}/step={step}")  # of a call that broke off
+        rows.select(*columns, F.lit(step).alias("step")).write.insertInto(self.names[name])
 
     def _bucketed(self, rows: DataFrame) -> DataFrame:
         return rows.repartition(self.state["buckets"], "key")
 
-    def accept(self, rows: DataFrame, last: bool = False) -> DataFrame:
+    def accept(self, rows: DataFrame) -> DataFrame:
         """``(id)`` of the rows that repeat a row accepted earlier or one of smaller id among themselves.
 
-        ``rows`` comes from ``keyed``; it may hold one batch or several and is read several times. The
-        keys that the index has not yet are appended, unless no more batches follow (``last``). Null
+        ``rows`` comes from ``keyed``; it may hold one batch or several and is read three times. Null
         and empty titles and urls give no keys; an empty batch gives an empty result.
         """
+        step = self.state["step"]
         exact = rows.select("id", F.explode("exact").alias("key"))
-        least = exact.groupBy("key").agg(F.min("id").alias("least"))
-        first = materialise(least.join(self._probe("exact", least).withColumnRenamed("id", "older"), "key", "left"), "first")
-        # a title met earlier is left out; one of this very row is not, so that a batch may be given again
-        titles = first.where("older is null or older >= least").select(F.col("key").alias("title"), F.col("least").alias("id"))
-        fresh = rows.where("size(parts) > 0").select("title", "parts").join(titles, "title").select("id", F.inline("parts"))
-        parts = self._bucketed(fresh).groupBy("key", "kind", "word").agg(F.min("id").alias("id"))
-        every = parts.select("*", F.lit(True).alias("new")).unionByName(self._probe("parts", parts).withColumn("new", F.lit(False)))
-        every = materialise(every, "parts")
-
+        # what the index has is left out, but for keys of the very row, so that a batch may be given again
+        older = {t: self.table(t).select(F.col("key").alias("_key"), *([F.col("title").alias("_title")] if t == "parts" else []), F.col("id").alias("_id")) for t in TABLES}
+        first = exact.groupBy("key").agg(F.min("id").alias("id"))
+        first = self._bucketed(first).join(older["exact"].hint("shuffle_hash"), F.expr("key = _key and _id < id"), "left_anti")
+        parts = self._bucketed(rows.select("title", "id", F.inline("parts"))).groupBy("key", "title", "kind", "word").agg(F.min("id").alias("id"))
+        parts = parts.join(older["parts"].hint("shuffle_hash"), F.expr("key = _key and title = _title and _id < id"), "left_anti")
+        together(lambda: self._write("exact", first, step), lambda: self._write("parts", parts, step))
+
+        known = self.spark.table(self.names["exact"]).where(F.col("step") <= step).select("key", F.col("id").alias("least"))
+        same = self._bucketed(exact).hint("shuffle_hash").join(known, "key").where("id > least").select("id")
+        whole = self.spark.table(self.names["parts"]).where(F.col("step") <= step)
+        new = self.spark.table(self.names["parts"]).where(F.col("step") == step).select("key")
+        every = whole.join(new.hint("shuffle_hash"), "key", "left_semi")
+        # nothing is shuffled in these steps: the buckets hold whole keys
         bands = every.where(F.col("kind") == BAND)
         spread = bands.groupBy("key").agg(F.min(F.xxhash64("word")).alias("a"), F.max(F.xxhash64("word")).alias("b")).where("a <> b").select("key")
-        spelled = bands.join(spread, "key").select("key", "id", F.explode(_variants(F.col("word"))).alias("variant"))
-        near = spelled.join(spelled.groupBy("key", "variant").agg(F.min("id").alias("least")), ["key", "variant"]).where("id > least").select("id")
-        cut = every.where(F.col("kind") == CUT_OFF).groupBy("key", F.col("word").alias("part")).agg(F.min("id").alias("cut_id"))
-        met = every.where(F.col("kind") == BEGINNING).join(cut, "key").where("startswith(word, part)").where("id <> cut_id")
-        # rows of the index that come up again here were told of when they came
-        close = near.union(met.select(F.greatest("id", "cut_id"))).distinct().join(every.where("new").select("id").distinct(), "id", "left_semi")
-        same = exact.join(first.select("key", F.least("least", F.coalesce("older", "least")).alias("least")), "key").where("id > least").select("id")
-        jobs = [lambda: materialise(same.union(close).distinct(), "repeats")]
-        if not last:
-            jobs.append(lambda: self._append("parts", every.where("new")))
-        found = together(*jobs)[0]
-        if not last:  # in this order: a title that is there has its parts there
-            self._append("exact", first.where("older is null").select("key", F.col("least").alias("id")))
-        release(first, every)
+        spelled = bands.join(spread.hint("shuffle_hash"), "key").select("key", "id", "step", F.explode(_variants(F.col("word"))).alias("variant"))
+        # words of one band that share a variant are few: they differ in one letter
+        least = F.min("id").over(Window.partitionBy("key", "variant"))
+        near = spelled.withColumn("least", least).where("id > least").where(F.col("step") == step).select("id")
+        cut = every.where(F.col("kind") == CUT_OFF).groupBy("key", F.col("word").alias("part")).agg(F.min("id").alias("cut_id"), F.max("step").alias("cut_step"))
+        met = every.where(F.col("kind") == BEGINNING).join(cut.hint("shuffle_hash"), "key").where("startswith(word, part)")
+        later = [met.where(f"{a} > {b} and {s} = {step}").select(F.col(a).alias("id")) for a, b, s in (("id", "cut_id", "step"), ("cut_id", "id", "cut_step"))]
+        found = materialise(same.union(near).union(later[0]).union(later[1]).distinct(), "repeats")
+        self._commit(step=step + 1)
         return found
 
     def compact(self) -> None:
-        """Write every table anew with one sorted file a bucket, its keys once; the old files go when the new ones are named in ``layout``."""
-        old, before = self.names, self.state["version"]
-        whole = {t: self.table(t) for t in TABLES}
-        self.state = self.state | {"version": before + 1}
-        drop_path(self.spark, f"{self.path}/v{before + 1}")
+        """Write every table anew as one step, a file a bucket; the old files go when the new ones are named in ``layout``."""
+        old, version = self.names, self.state["version"]
+        whole = {t: self.table(t).drop("step") for t in TABLES}
+        self.state["version"] += 1
+        drop_path(self.spark, f"{self.path}/v{version + 1}")
         self._attach()
         for t, rows in whole.items():
             keys = [c for c in rows.columns if c != "id"]
-            self._append(t, self._bucketed(rows).groupBy(*keys).agg(F.min("id").alias("id")))
-        write_text(self.spark, f"{self.path}/layout", json.dumps(self.state))
+            self._write(t, self._bucketed(rows).groupBy(*keys).agg(F.min("id").alias("id")), 0)
+        self._commit(step=1)
         for name in old.values():
             self.spark.sql(f"drop table if exists {name}")
-        drop_path(self.spark, f"{self.path}/v{before}")
-
-    def close(self) -> None:
-        """Forget the tables' names; the index stays."""
-        self._detach()
-
-    def drop(self) -> None:
-        self._detach()
-        drop_path(self.spark, self.path)
+        drop_path(self.spark, f"{self.path}/v{version}")
 
 
 def replay(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -263,11 +268,11 @@ def replay(spark: SparkSession, rows: DataFrame) -> DataFrame:
             history, pending = history + pending, 0
         calls[-1].append(number)
         pending += n
-    for i, numbers in enumerate(calls):
+    for numbers in calls:
         known = [n for n in numbers if n is not None]
         chosen = F.col("batch").between(known[0], known[-1]) if known else F.lit(False)
         chosen = chosen | F.col("batch").isNull() if None in numbers else chosen
-        found.append(index.accept(rows.where(chosen), last=i == len(calls) - 1))
+        found.append(index.accept(rows.where(chosen)))
     if not found:
         return rows.select("id").where("false")
     index.drop()
