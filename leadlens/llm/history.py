@@ -32,15 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlens.llm import listing
-from leadlens.session import drop_path, exists, make_dir, materialise, read_text, scratch, together, write_text
+from leadlens.session import drop_path, exists, make_dir, materialise, read_text, release, scratch, together, write_text
 
 #: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
 BAND_WORDS, CUT_WORDS = 2, 4
 #: Of a backlog, so many times the history's rows are checked at once.
 GROWTH = 3
 _MASK = (1 << 64) - 1
-#: Tables of the index; ``kind`` of a part is one of those below, ``word`` the word left out or the next one.
-TABLES = {"exact": "key bigint, id bigint", "parts": "key bigint, title bigint, id bigint, kind tinyint, word string"}
+#: Tables of the index and the columns that make their folders; ``kind`` of a part is one of those below, ``word`` the word left out or the next one.
+TABLES = {"exact": "key bigint, id bigint", "parts": "key bigint, title bigint, id bigint, word string"}
+FOLDERS = {"exact": ("step",), "parts": ("step", "kind")}
 BAND, BEGINNING, CUT_OFF = 0, 1, 2
 #: Titles of a batch that a task remembers, so as to give their bands once.
 REMEMBERED = 1 << 18
@@ -72,7 +73,7 @@ class Keys:
     def of(self, title: str | None, url: str | None, owner: str | None) -> tuple[list[int], list[tuple[int, int, str]], int | None]:
         """(exact keys, parts as (key, kind, word), key of the title in its order).
 
-        Titles of one last key have the same parts; it is null where there are none, else one of the exact keys."""
+        Titles of one last key have the same parts; it is null where there are none."""
         exact: list[int] = []
         page = listing.page_key(url, self.domains)
         if page:
@@ -98,30 +99,29 @@ class Keys:
                 parts.append((_signed(running), CUT_OFF if cut else BEGINNING, words[m] if m < count else ""))
         if not parts:
             return exact, [], None
-        title_key = _signed(running ^ cut ^ 0x9E3779B97F4A7C15)
-        return [*exact, title_key], parts, title_key
+        return exact, parts, _signed(running ^ cut)
 
 
 def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, domains: dict[str, str], batch: str | None = None) -> DataFrame:
     """``(id, batch, exact, parts, title)`` of every row.
 
-    Of rows with one title in a batch a task gives the parts to the first it meets, and to one of a smaller
-    id that follows, so that copies of a title are combined before they are shuffled.
+    Of rows with one title a task gives the parts to the first it meets, and to one of a smaller id that
+    follows, so that copies of a title are combined before they are shuffled. Batches rise with the id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(domains)
-        given: dict[tuple[int | None, int], int] = {}
+        given: dict[int, int] = {}
         for part in batches:
             found = [keys.of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
             if len(given) > REMEMBERED:
                 given.clear()
-            for i, (row, number, f) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), found)):
+            for i, (row, f) in enumerate(zip(part.column(0).to_pylist(), found)):
                 if f[2] is not None:
-                    if given.get((number, f[2]), row + 1) <= row:
+                    if given.get(f[2], row + 1) <= row:
                         found[i] = (f[0], [], f[2])
                     else:
-                        given[number, f[2]] = row
+                        given[f[2]] = row
             offsets = pa.array(list(itertools.accumulate((len(f[1]) for f in found), initial=0)), pa.int32())
             columns = list(zip(*itertools.chain.from_iterable(f[1] for f in found))) or [(), (), ()]
             fields = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int8(), pa.string()))]
@@ -175,8 +175,9 @@ class History:
         for t, schema in TABLES.items():
             where = f"{self.path}/v{self.state['version']}/{t}"
             make_dir(self.spark, where)
-            kept = f"partitioned by (step) clustered by (key) into {self.state['buckets']} buckets"
-            self.spark.sql(f"create table {self.names[t]} ({schema}, step int) using parquet {kept} location '{where}'")
+            folders, kept = FOLDERS[t], f"clustered by (key) into {self.state['buckets']} buckets"
+            columns = ", ".join([schema, *(f"{c} int" for c in folders)])
+            self.spark.sql(f"create table {self.names[t]} ({columns}) using parquet partitioned by ({', '.join(folders)}) {kept} location '{where}'")
             self.spark.sql(f"alter table {self.names[t]} recover partitions")
 
     def close(self) -> None:
@@ -195,7 +196,7 @@ class History:
     def _write(self, name: str, rows: DataFrame, step: int) -> None:
         columns = [c.split()[0] for c in TABLES[name].split(", ")]
         drop_path(self.spark, f"{self.path}/v{self.state['version']}/{name}/step={step}")  # of a call that broke off
-        rows.select(*columns, F.lit(step).alias("step")).write.insertInto(self.names[name])
+        rows.withColumn("step", F.lit(step)).select(*columns, *FOLDERS[name]).write.insertInto(self.names[name])
 
     def _bucketed(self, rows: DataFrame) -> DataFrame:
         return rows.repartition(self.state["buckets"], "key")
@@ -213,25 +214,26 @@ class History:
         first = exact.groupBy("key").agg(F.min("id").alias("id"))
         first = self._bucketed(first).join(older["exact"].hint("shuffle_hash"), F.expr("key = _key and _id < id"), "left_anti")
         parts = self._bucketed(rows.select("title", "id", F.inline("parts"))).groupBy("key", "title", "kind", "word").agg(F.min("id").alias("id"))
-        parts = parts.join(older["parts"].hint("shuffle_hash"), F.expr("key = _key and title = _title and _id < id"), "left_anti")
+        parts = parts.join(older["parts"].hint("shuffle_hash"), F.expr("key = _key and title = _title and _id < id"), "left_anti").withColumn("kind", F.col("kind").cast("int"))
         together(lambda: self._write("exact", first, step), lambda: self._write("parts", parts, step))
 
         known = self.spark.table(self.names["exact"]).where(F.col("step") <= step).select("key", F.col("id").alias("least"))
-        same = self._bucketed(exact).hint("shuffle_hash").join(known, "key").where("id > least").select("id")
-        whole = self.spark.table(self.names["parts"]).where(F.col("step") <= step)
-        new = self.spark.table(self.names["parts"]).where(F.col("step") == step).select("key")
-        every = whole.join(new.hint("shuffle_hash"), "key", "left_semi")
-        # nothing is shuffled in these steps: the buckets hold whole keys
-        bands = every.where(F.col("kind") == BAND)
+        same = self._bucketed(exact).join(known.hint("shuffle_hash"), "key").where("id > least").select("id")
+        # nothing is shuffled in these steps, as the buckets hold whole keys; few rows of the history share a key with the step
+        new = self.spark.table(self.names["parts"]).where(F.col("step") == step)
+        met = materialise(self.table("parts").join(new.select("key").hint("shuffle_hash"), "key", "left_semi"), "met")
+        every = new.unionByName(met)
+        bands, begun = every.where(F.col("kind") == BAND), every.where(F.col("kind") == BEGINNING)
         spread = bands.groupBy("key").agg(F.min(F.xxhash64("word")).alias("a"), F.max(F.xxhash64("word")).alias("b")).where("a <> b").select("key")
-        spelled = bands.join(spread.hint("shuffle_hash"), "key").select("key", "id", "step", F.explode(_variants(F.col("word"))).alias("variant"))
+        spelled = bands.join(spread, "key").select("key", "id", "step", F.explode(_variants(F.col("word"))).alias("variant"))
         # words of one band that share a variant are few: they differ in one letter
         least = F.min("id").over(Window.partitionBy("key", "variant"))
         near = spelled.withColumn("least", least).where("id > least").where(F.col("step") == step).select("id")
         cut = every.where(F.col("kind") == CUT_OFF).groupBy("key", F.col("word").alias("part")).agg(F.min("id").alias("cut_id"), F.max("step").alias("cut_step"))
-        met = every.where(F.col("kind") == BEGINNING).join(cut.hint("shuffle_hash"), "key").where("startswith(word, part)")
-        later = [met.where(f"{a} > {b} and {s} = {step}").select(F.col(a).alias("id")) for a, b, s in (("id", "cut_id", "step"), ("cut_id", "id", "cut_step"))]
-        found = materialise(same.union(near).union(later[0]).union(later[1]).distinct(), "repeats")
+        pairs = begun.join(cut, "key").where("startswith(word, part)").where(f"id > cut_id and step = {step} or cut_id > id and cut_step = {step}")
+        later = pairs.select(F.greatest("id", "cut_id"))
+        found = materialise(same.union(near).union(later).distinct(), "repeats")
+        release(met)
         self._commit(step=step + 1)
         return found
 
@@ -243,7 +245,7 @@ class History:
         drop_path(self.spark, f"{self.path}/v{version + 1}")
         self._attach()
         for t, rows in whole.items():
-            keys = [c for c in rows.columns if c != "id"]
+            keys = [c for c in rows.columns if c != "id"]  # their kind among them
             self._write(t, self._bucketed(rows).groupBy(*keys).agg(F.min("id").alias("id")), 0)
         self._commit(step=1)
         for name in old.values():
