@@ -21,7 +21,6 @@ of one title enter the bands once.
 
 from __future__ import annotations
 
-import itertools
 import json
 import uuid
 from collections.abc import Iterator
@@ -32,15 +31,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlens.llm import listing
-from leadlens.session import drop_path, exists, make_dir, materialise, read_text, release, scratch, together, write_text
+from leadlens.session import drop_path, exists, make_dir, materialise, read_text, release, scratch, write_text
 
 #: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
 BAND_WORDS, CUT_WORDS = 2, 4
 #: Of a backlog, so many times the history's rows are checked at once.
 GROWTH = 3
 _MASK = (1 << 64) - 1
+#: Bits of a word's hash in the sum of a title's words, so that no title overflows it.
+_SUMMED = (1 << 46) - 1
 #: Tables of the index and the columns that make their folders; ``kind`` of a part is one of those below, ``word`` the word left out or the next one.
-TABLES = {"exact": "key bigint, id bigint", "parts": "key bigint, title bigint, id bigint, word string"}
+TABLES = {"exact": "key bigint, id bigint", "parts": "key bigint, id bigint, word string"}
+FOLDERS = {"exact": ("step",), "parts": ("step", "kind")}
+BAND, BEGINNING, CUT_OFF = 0, 1, 2
+#: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
+BAND_WORDS, CUT_WORDS = 2, 4
+#: Of a backlog, so many times the history's rows are checked at once.
+GROWTH = 3
+_MASK = (1 << 64) - 1
+#: Bits of a word's hash in the sum of a title's words, so that no title overflows it.
+_SUMMED = (1 << 46) - 1
+#: Tables of the index and the columns that make their folders; ``kind`` of a part is one of those below, ``word`` the word left out or the next one.
+TABLES = {"exact": "key bigint, id bigint", "parts": "key bigint, id bigint, word string"}
 FOLDERS = {"exact": ("step",), "parts": ("step", "kind")}
 BAND, BEGINNING, CUT_OFF = 0, 1, 2
 #: Titles of a batch that a task remembers, so as to give their bands once.
@@ -70,75 +82,71 @@ class Keys:
             self.words[w] = _h("w" + w)
         return self.words[w]
 
-    def of(self, title: str | None, url: str | None, owner: str | None) -> tuple[list[int], list[tuple[int, int, str]], int | None]:
-        """(exact keys, parts as (key, kind, word), key of the title in its order).
+    def of(self, title: str | None, url: str | None, owner: str | None) -> tuple[list[int], int | None, list[str] | None, int, bool]:
+        """(exact keys, key of the title in its order, its words, hash of owner and kind of offer, whether it is cut off).
 
-        Titles of one last key have the same parts; it is null where there are none."""
+        The title's key is one of the exact keys; it and the words are null where a title is too short to be compared but exactly."""
         exact: list[int] = []
         page = listing.page_key(url, self.domains)
         if page:
             exact.append(_signed(_h("p" + page)))
         if not title or not owner:
-            return exact, [], None
+            return exact, None, None, 0, False
         bare, cut = listing.undressed(title, owner)
         words = listing.without_site(listing.tokens(bare), owner)
         if listing.only_site(words, bare, owner):
-            return exact, [], None
+            return exact, None, None, 0, False
         base, known = self._word("\0" + owner), self.words
         hashes = [known[w] if w in known else self._word(w) for w in words]
         whole = base + sum(hashes)
         exact.append(_signed(whole * 2 + 1 if cut else whole))
-        count, parts = len(words), []
-        if count > BAND_WORDS and not cut:
-            parts = [(_signed((whole - h) ^ 0x5BD1E995), BAND, w) for w, h in set(zip(words, hashes)) if not w[0].isdigit()]
+        if len(words) <= BAND_WORDS + cut:
+            return exact, None, None, 0, False
         # a title cut off before "lid only" names the whole product, so accessories begin otherwise
-        running, least = base + listing.is_accessory(bare), max(BAND_WORDS + 1, count - (1 if cut else CUT_WORDS))
-        for m, h in enumerate(hashes, 1):
+        running = start = base + listing.is_accessory(bare)
+        for h in hashes:
             running = (running * 0x100000001B3 + h) & _MASK
-            if m >= least and (m == count - 1 or not cut):
-                parts.append((_signed(running), CUT_OFF if cut else BEGINNING, words[m] if m < count else ""))
-        if not parts:
-            return exact, [], None
-        return exact, parts, _signed(running ^ cut)
+        key = _signed(running ^ cut ^ 0x9E3779B97F4A7C15)
+        exact.append(key)
+        return exact, key, words, start & _SUMMED, cut
 
 
 def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, domains: dict[str, str], batch: str | None = None) -> DataFrame:
-    """``(id, batch, exact, parts, title)`` of every row.
-
-    Of rows with one title a task gives the parts to the first it meets, and to one of a smaller id that
-    follows, so that copies of a title are combined before they are shuffled. Batches rise with the id.
-    """
+    """``(id, batch, exact, title, words, start, cut)`` of every row, as ``Keys.of`` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(domains)
-        given: dict[int, int] = {}
         for part in batches:
-            found = [keys.of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
-            if len(given) > REMEMBERED:
-                given.clear()
-            for i, (row, f) in enumerate(zip(part.column(0).to_pylist(), found)):
-                if f[2] is not None:
-                    if given.get(f[2], row + 1) <= row:
-                        found[i] = (f[0], [], f[2])
-                    else:
-                        given[f[2]] = row
-            offsets = pa.array(list(itertools.accumulate((len(f[1]) for f in found), initial=0)), pa.int32())
-            columns = list(zip(*itertools.chain.from_iterable(f[1] for f in found))) or [(), (), ()]
-            fields = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int8(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["key", "kind", "word"])),
-                    pa.array([f[2] for f in found], pa.int64()),
-                ],
-                names=["id", "batch", "exact", "parts", "title"],
-            )
+            found = list(zip(*[keys.of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))])) or [()] * 5
+            types = (pa.list_(pa.int64()), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.bool_())
+            columns = [pa.array(c, t) for c, t in zip(found, types)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "batch", "exact", "title", "words", "start", "cut"])
 
     number = F.col(batch).cast("long") if batch else F.lit(None).cast("long")
     wanted = rows.select(F.col(identifier).cast("long").alias("id"), number.alias("batch"), title, url, owner)
-    return wanted.mapInArrow(run, "id bigint, batch bigint, exact array<bigint>, parts array<struct<key:bigint,kind:tinyint,word:string>>, title bigint")
+    return wanted.mapInArrow(run, "id bigint, batch bigint, exact array<bigint>, title bigint, words array<string>, start bigint, cut boolean")
+
+
+def parts_of(titles: DataFrame) -> DataFrame:
+    """``(id, key, kind, word)`` of titles with id, words, start and cut.
+
+    A band is the sum of all words but one, with the word left out; words that begin with a digit are
+    never left out, as another size is another post. A beginning goes up to some words before the
+    end, with the next word.
+    """
+    count, word = F.size("words"), F.col("words")
+    summed = titles.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit(_SUMMED))))
+    summed = summed.withColumn("whole", F.aggregate("hashes", F.col("start"), lambda a, h: a + h))
+    part = lambda key, kind, w: F.struct(key.alias("key"), kind.cast("int").alias("kind"), w.alias("word"))
+    left_out = F.array_distinct(F.zip_with("words", "hashes", lambda w, h: part(F.col("whole") - h, F.lit(BAND), w)))
+    bands = F.when(F.col("cut"), F.array().cast("array<struct<key:bigint,kind:int,word:string>>")).otherwise(F.filter(left_out, lambda p: ~p["word"].rlike("^[0-9]")))
+    first = F.greatest(F.lit(BAND_WORDS + 1), count - F.when(F.col("cut"), 1).otherwise(CUT_WORDS))
+    last = F.when(F.col("cut"), count - 1).otherwise(count)
+    begun = F.transform(
+        F.sequence(first, last),
+        lambda m: part(F.xxhash64("start", F.slice(word, F.lit(1), m)), F.when(F.col("cut"), CUT_OFF).otherwise(BEGINNING), F.coalesce(F.get(word, m), F.lit(""))),
+    )
+    return summed.select("id", F.inline(F.concat(bands, begun)))
 
 
 def _variants(word: Column) -> Column:
@@ -210,12 +218,12 @@ class History:
         step = self.state["step"]
         exact = rows.select("id", F.explode("exact").alias("key"))
         # what the index has is left out, but for keys of the very row, so that a batch may be given again
-        older = {t: self.table(t).select(F.col("key").alias("_key"), *([F.col("title").alias("_title")] if t == "parts" else []), F.col("id").alias("_id")) for t in TABLES}
-        first = exact.groupBy("key").agg(F.min("id").alias("id"))
-        first = self._bucketed(first).join(older["exact"].hint("shuffle_hash"), F.expr("key = _key and _id < id"), "left_anti")
-        parts = self._bucketed(rows.select("title", "id", F.inline("parts"))).groupBy("key", "title", "kind", "word").agg(F.min("id").alias("id"))
-        parts = parts.join(older["parts"].hint("shuffle_hash"), F.expr("key = _key and title = _title and _id < id"), "left_anti").withColumn("kind", F.col("kind").cast("int"))
-        together(lambda: self._write("exact", first, step), lambda: self._write("parts", parts, step))
+        older = self.table("exact").select(F.col("key").alias("_key"), F.col("id").alias("_id")).hint("shuffle_hash")
+        first = self._bucketed(exact.groupBy("key").agg(F.min("id").alias("id"))).join(older, F.expr("key = _key and _id < id"), "left_anti")
+        self._write("exact", first, step)
+        added = self.spark.table(self.names["exact"]).where(F.col("step") == step).select(F.col("key").alias("title"), "id")
+        fresh = rows.where("title is not null").select("title", "id", "words", "start", "cut").repartition(self.state["buckets"], "title")
+        self._write("parts", self._bucketed(parts_of(fresh.join(added.hint("shuffle_hash"), ["title", "id"], "left_semi"))), step)
 
         known = self.spark.table(self.names["exact"]).where(F.col("step") <= step).select("key", F.col("id").alias("least"))
         same = self._bucketed(exact).join(known.hint("shuffle_hash"), "key").where("id > least").select("id")
@@ -245,8 +253,7 @@ class History:
         drop_path(self.spark, f"{self.path}/v{version + 1}")
         self._attach()
         for t, rows in whole.items():
-            keys = [c for c in rows.columns if c != "id"]  # their kind among them
-            self._write(t, self._bucketed(rows).groupBy(*keys).agg(F.min("id").alias("id")), 0)
+            self._write(t, self._bucketed(rows).distinct(), 0)
         self._commit(step=1)
         for name in old.values():
             self.spark.sql(f"drop table if exists {name}")
