@@ -194,3 +194,8 @@ def sizes(text: str) -> list[tuple[str, float]]:
         if number > 0:
             out.append((kind, number * factor))
     return out
+
+
+def unmeasured(text: str) -> str:
+    """A text with a blank in place of every measure."""
+    return _SIZE.sub(" ", text)

@@ -1,19 +1,25 @@
 """Problem 7: listings of different sources that describe the same product.
 
-Method: title combination voting. The words of title and reason (and of the page's address) that can
-name a product are paired with the listing's size; a combination's score comes from its frequency
-over sources, its length and its average position, and every listing takes its best one. Clusters are
-verified (one size within a tolerance, no accessories) and merged where names stand for each other,
-as a model number and a model name do.
-
-A word can name a product if it is seldom written in lower case, is used by several sources and
-keeps to one category; brands and dress words fail the last, plain words the first. These figures
-are counted over all listings. Nothing is collected: each step is an aggregation or an equi-join, and
-pairs are only formed between listings of one product.
+Method: title combination voting. The tokens of title and reason (and of the page's address) that can
+name a product are combined with the listing's size and, two and two, with each other. A combination's
+score comes from its frequency, its length and its average position, and every listing takes its best
+one. Clusters are verified (one size within a tolerance, no accessories) and merged where pairs of
+names often stand together, as a model number and a model name do, and over any number of such steps.
+
+Tokens are words of the Latin alphabet, two of them side by side, and, of scripts without blanks, pairs
+of characters. A token can name a product if it is seldom written in lower case, is used by several
+sources and keeps to one category; brands and dress words fail the last, plain words the first. These
+figures are counted over all listings. A word that only one source uses counts for a commoner one if
+it has a letter too many or too few, or two neighbours exchanged, and category and size are the same. A listing
+that no word names is told by its pairs of characters and the short words of its title: of n that can
+name a product (those that stand with different names are words for a kind), the combinations of n and
+of n - 1. Nothing is collected: each step is an aggregation or an equi-join, and pairs are only formed
+between listings of one product.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,27 +36,33 @@ from leadlens.session import materialise, release
 TOLERANCE, ONE_CATEGORY, LOWER = 1.035, 0.65, 0.5
 #: Least share of a name's rows that also have the other name, for the two to be one.
 ALIAS = 0.25
-#: Least letters of a single word that names a product.
-SHORTEST = 6
+#: Ratio of the steps in which sizes are compared where names are.
+STEP = 1.12
+#: Least pairs of characters that name a product by themselves.
+SIGNS = 2
+#: Letters from which a word names a product by itself; shorter ones of the title count among the pairs of characters.
+LONG = 6
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*")
 _TWO = re.compile(r"(?<![A-Za-z0-9-])([A-Z][A-Za-z]{1,9}) (?=([A-Z][A-Za-z]{1,9})(?![A-Za-z0-9-]))")
 _MORE = re.compile(r"also sold|另有|see also|compared with|instead of", re.IGNORECASE)
 _SLUG = re.compile(r"[/-]([a-z]{5,})(?=-)")
+_DRESS = re.compile(r"【[^】]*】|\[[^\]]*\]")
+_RUN = re.compile(r"[\u3041-\u30ff\u3400-\u9fff\uac00-\ud7a3]{2,}")
 
 
 _FORMS: dict[str, tuple[bool, str, bool]] = {}
 
 
 def _form(word: str) -> tuple[bool, str, bool]:
-    """(whether its initial is small, the word without hyphens and capitals, whether it is long enough for a name)."""
+    """(whether its initial is small, the word without hyphens and capitals, whether it is a long one)."""
     if len(_FORMS) > 1 << 18:
         _FORMS.clear()
-    made = _FORMS[word] = (word[0].islower(), word.replace("-", "").lower(), len(word) >= SHORTEST)
+    made = _FORMS[word] = (word[0].islower(), word.replace("-", "").lower(), len(word) >= LONG)
     return made
 
 
-def read(title: str | None, reason: str | None, url: str | None, lower: list[str], upper: list[str]) -> tuple[list[str], str | None, float | None, bool]:
-    """(words that may name the product, dimension, size, whether it is an accessory).
+def read(title: str | None, reason: str | None, url: str | None, lower: list[str], upper: list[str]) -> tuple[list[str], str | None, float | None, bool, list[str]]:
+    """(words that may name the product, dimension, size, whether it is an accessory, pairs of characters).
 
     Words with a small initial go to ``lower``, the others to ``upper``, one of each spelling; words of the address begin with "/".
     """
@@ -60,7 +72,9 @@ def read(title: str | None, reason: str | None, url: str | None, lower: list[str
     kind, value = measures[0] if measures else (None, None)
     text = f"{head}\n{body}"
     names = dict.fromkeys([f"{a} {b}".lower() for a, b in _TWO.findall(text)])
-    for w in dict.fromkeys(_WORD.findall(text)):
+    titled = dict.fromkeys(_WORD.findall(head))
+    signs: dict[str, None] = {}
+    for w in titled | dict.fromkeys(_WORD.findall(body)):
         small, form, long = _FORMS.get(w) or _form(w)
         if small:
             lower.append(form)
@@ -68,9 +82,14 @@ def read(title: str | None, reason: str | None, url: str | None, lower: list[str
             upper.append(form)
             if long:
                 names[form] = None
+            elif w in titled and len(form) > 1:
+                signs[f"={form}"] = None
     for w in _SLUG.findall(url or ""):
         names[f"/{w}"] = None
-    return list(names), kind, value, listing.is_accessory(low_head) or listing.is_accessory(body[:24].lower())
+    if not head.isascii():
+        for run in _RUN.findall(listing.unmeasured(_DRESS.sub(" ", head))):
+            signs |= dict.fromkeys(run[i : i + 2] for i in range(len(run) - 1))
+    return list(names), kind, value, listing.is_accessory(low_head) or listing.is_accessory(body[:24].lower()), list(signs)
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
@@ -79,14 +98,14 @@ def _parsed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower: Counter[str] = Counter()
         upper: Counter[str] = Counter()
-        names = ["row", "id", "owner", "category", "names", "kind", "size", "accessory", "plain", "uses", "raised"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
+        names = ["row", "id", "owner", "category", "names", "kind", "size", "accessory", "signs", "plain", "uses", "raised"]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64()]
 
         def counts() -> pa.RecordBatch:
             # words that are never small here too: another task may have them small, and the sums are over all rows
             words = list(lower.keys() | upper.keys())
             uses = [pa.array(words, pa.string())] + [pa.array([c[w] for w in words], pa.int64()) for c in (lower, upper)]
-            columns = [pa.nulls(len(words), t) for t in types[:8]] + uses
+            columns = [pa.nulls(len(words), t) for t in types[:9]] + uses
             lower.clear()
             upper.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
@@ -97,8 +116,8 @@ def _parsed(rows: DataFrame) -> DataFrame:
             found = [read(*x, small, big) for x in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)))]
             lower.update(small)
             upper.update(big)
-            columns = [batch.column(i) for i in range(4)] + [pa.array([f[i] for f in found], types[4 + i]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(found), t) for t in types[8:])], names=names)
+            columns = [batch.column(i) for i in range(4)] + [pa.array([f[i] for f in found], types[4 + i]) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(found), t) for t in types[9:])], names=names)
             if len(lower) + len(upper) > 1 << 19:
                 yield counts()
         yield counts()
@@ -107,15 +126,70 @@ def _parsed(rows: DataFrame) -> DataFrame:
         F.col("row").cast("long").alias("row"), F.col("id").cast("string").alias("id"), "owner", loose_key(F.col("category")).alias("category"), "title", "reason", "url"
     )
     return wanted.mapInArrow(
-        run, "row bigint, id string, owner string, category string, names array<string>, kind string, size double, accessory boolean, plain string, uses bigint, raised bigint"
+        run, "row bigint, id string, owner string, category string, names array<string>, kind string, size double, accessory boolean, signs array<string>, plain string, uses bigint, raised bigint"
+    )
+
+
+def spellings(names: DataFrame) -> DataFrame:
+    """``(name, as)``: names of one source that have a letter too many or too few, or two neighbours exchanged, against a commoner name of their category and size.
+
+    Two such names share a form with one letter left out; of those the commonest is taken. Another letter
+    in a place makes another name.
+    """
+    letters = F.sequence(F.lit(1), F.length("name"))
+    left_out = F.transform(letters, lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substr("name", i + 1)))
+    forms = names.select("name", "n", "shared", "bits", F.col("category"), F.explode(F.array_distinct(F.concat(F.array("name"), left_out))).alias("form"))
+    forms = forms.withColumn("form", F.xxhash64("form", "category")).drop("category")
+    # names of one form are few: they differ in one letter
+    forms = forms.join(forms.groupBy("form").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("form"), "form")
+    other = forms.select("form", *[F.col(c).alias(f"_{c}") for c in ("name", "n", "shared", "bits")])
+    met = forms.where("not shared").join(other, "form").where("_name <> name and (bits = 0 or _bits = 0 or (bits & _bits) <> 0)")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    met = met.where((F.length("name") != F.length("_name")) | (letters("name") == letters("_name")))
+    met = met.where(F.struct("_shared", "_n", "_name") > F.struct("shared", "n", "name"))
+    return met.groupBy("name").agg(F.max(F.struct("_shared", "_n", "_name"))["_name"].alias("as"))
+
+
+def by_signs(main: DataFrame, voted: DataFrame, generic: DataFrame) -> DataFrame:
+    """``(id, owner, kind, size, name)`` of the listings without a name that share the combination of their pairs of characters, or all but one of them, with another source."""
+    rows = main.where("size(signs) > 0").join(voted.select("row", "name"), "row", "left").select("row", "id", "owner", "category", "kind", "size", "signs", "name")
+    each = rows.select("owner", "category", "name", F.explode("signs").alias("sign"))
+    one = lambda c: (F.min(F.xxhash64(c)), F.max(F.xxhash64(c)))
+    (low, high), named = one("owner"), [f(F.when(F.col("name").isNotNull(), F.xxhash64("name"))) for f in (F.min, F.max)]
+    counts = each.groupBy("sign", "category").agg(F.count(F.lit(1)).alias("n"), low.alias("low"), high.alias("high"), named[0].alias("a"), named[1].alias("b"))
+    whole = {"n": F.sum("n"), "top": F.max("n"), "low": F.min("low"), "high": F.max("high"), "a": F.min("a"), "b": F.max("b")}
+    kept = counts.groupBy("sign").agg(*[v.alias(k) for k, v in whole.items()]).where("low < high and (a is null or a = b)")
+    kept = kept.where(F.col("top") + 1 >= ONE_CATEGORY * F.col("n")).select("sign").join(generic.select(F.concat(F.lit("="), "plain").alias("sign")), "sign", "left_anti")
+    bare = rows.where("name is null").select("row", "id", "owner", "kind", "size", F.explode("signs").alias("sign")).join(kept, "sign")
+    bare = bare.groupBy("row").agg(
+        F.collect_set(F.xxhash64("sign")).alias("signs"), F.max(F.startswith("sign", F.lit("="))).alias("word"), *[F.first(c).alias(c) for c in ("id", "owner", "kind", "size")]
+    ).where((F.size("signs") >= SIGNS) | F.col("word"))
+    total = F.aggregate("signs", F.lit(0).cast("long"), lambda s, x: F.expr("0L") + s.bitwiseXOR(x))
+    less = F.when(F.size("signs") > SIGNS, F.transform("signs", lambda x: x.bitwiseXOR(F.col("whole")))).otherwise(F.array().cast("array<bigint>"))
+    bare = materialise(bare.withColumn("whole", total).withColumn("combination", F.explode(F.concat(F.array("whole"), less))), "signs")
+    met = bare.groupBy("combination").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high")
+    best = bare.join(met.select("combination", "n"), "combination").groupBy("row").agg(
+        F.max(F.struct("n", "combination"))["combination"].alias("combination"), *[F.first(c).alias(c) for c in ("id", "owner", "kind", "size")]
     )
+    return best.select("id", "owner", "kind", "size", F.concat(F.lit("+"), F.hex("combination")).alias("name"))
+
+
+def last_of(alias: DataFrame) -> DataFrame:
+    """``(name, as)`` with every chain followed to its end, in a logarithmic number of rounds; each name points to a commoner one, so there are no rings."""
+    alias = materialise(alias, "alias")
+    while True:
+        on = alias.select(F.col("name").alias("as"), F.col("as").alias("_next"))
+        if alias.join(on, "as", "left_semi").isEmpty():
+            return alias
+        before, alias = alias, materialise(alias.join(on, "as", "left").select("name", F.coalesce("_next", "as").alias("as")), "alias")
+        release(before)
 
 
 def clusters(rows: DataFrame) -> DataFrame:
     """``(id, owner, product)`` of every listing that shares its product with another.
 
     ``rows`` needs row, id, owner, category, title, reason and url. Listings without id or owner,
-    accessories, and listings without a name that a second source uses are in no cluster. A listing
+    accessories, and listings without a name that a second source uses, in a like spelling, are in no cluster. A listing
     without a size joins its name's product if the name has one size; a name of which no listing
     states a size is one product. If the name has several sizes, a listing without one could be of
     any of them and is in no cluster. Repeated rows change nothing.
@@ -125,37 +199,46 @@ def clusters(rows: DataFrame) -> DataFrame:
     generic = parsed.where("plain is not null").groupBy("plain").agg(F.sum("uses").alias("uses"), F.sum("raised").alias("raised"))
     # written first, so that the planner knows its size and need not shuffle the words
     generic = materialise(generic.where(F.col("uses") > LOWER * F.col("raised")).select("plain"), "generic")
-    words = main.select("row", "owner", "category", F.posexplode("names").alias("place", "name")).where("not startswith(name, '/')")
+    step = F.floor(F.log(F.col("size")) / F.lit(math.log(STEP))) + F.crc32(F.col("kind"))
+    bit = F.when(F.col("kind").isNotNull(), F.expr("shiftleft(1L, cast(pmod(_step, 63) as int))")).otherwise(F.lit(0).cast("long"))
+    words = main.withColumn("_step", step).select("row", "owner", "category", bit.alias("bit"), F.posexplode("names").alias("place", "name")).where("not startswith(name, '/')")
     part = F.split("name", " ")
     words = words.withColumns({"_a": part[0], "_b": F.get(part, F.lit(1))})
     for c in ("_a", "_b"):
         words = words.join(generic.withColumnRenamed("plain", c), c, "left_anti")
     by_category = words.groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("name"), "category").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("owner")).alias("low"), F.max(F.xxhash64("owner")).alias("high"), F.sum("place").alias("places")
+        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("owner")).alias("low"), F.max(F.xxhash64("owner")).alias("high"), F.sum("place").alias("places"), F.bit_or("bit").alias("bits")
     )
-    whole = {"n": F.sum("n"), "top": F.max("n"), "low": F.min("low"), "high": F.max("high"), "places": F.sum("places")}
-    names = by_category.groupBy("name").agg(*[v.alias(k) for k, v in whole.items()])
-    names = names.where("low < high").where(F.col("top") + 1 >= ONE_CATEGORY * F.col("n")).withColumn("place", F.col("places") / F.col("n"))
+    whole = {"n": F.sum("n"), "top": F.max("n"), "low": F.min("low"), "high": F.max("high"), "places": F.sum("places"), "bits": F.bit_or("bits")}
+    names = by_category.groupBy("name").agg(*[v.alias(k) for k, v in whole.items()], F.max(F.struct("n", "category"))["category"].alias("category"))
+    names = names.where(F.col("top") + 1 >= ONE_CATEGORY * F.col("n"))
+    names = materialise(names.withColumns({"place": F.col("places") / F.col("n"), "shared": F.col("low") < F.col("high")}), "names")
+    as_written = spellings(names.where("name rlike '^[a-z0-9]{6,}$'"))
+    known = names.join(as_written, "name", "left").withColumn("as", F.when(F.col("as").isNotNull(), F.col("as")).when(F.col("shared"), F.col("name")))
     score = F.log2(F.col("n") + 1) * F.length("name") / (F.col("place") + 2)
-    names = materialise(names.select("name", "n", score.alias("score")), "names")
+    known = materialise(known.where("as is not null").select("name", "as", "n", score.alias("score")), "known")
 
+    # combinations of one name and the size, and of two names
     sized = main.select("row", "id", "owner", "kind", "size", F.explode("names").alias("name"))
-    sized = sized.withColumn("name", F.translate("name", " /", "")).join(names, "name")
+    alone = ~F.col("name").rlike("[ /]")  # two words and words of an address are taken as they stand
+    sized = sized.withColumns({"alone": alone, "name": F.translate("name", " /", "")}).join(known, "name").where("alone or `as` = name").select("row", "id", "owner", "kind", "size", F.col("as").alias("name"), "n", "score")
     sized = materialise(sized, "sized")
     best = F.max(F.struct("score", "n", "name")).alias("best")
     voted = sized.groupBy("row").agg(best, F.collect_set("name").alias("all"), *[F.first(c).alias(c) for c in ("id", "owner", "kind", "size")])
-    voted = voted.withColumn("name", F.col("best.name"))
+    voted = materialise(voted.withColumn("name", F.col("best.name")), "votes")
+    signed = by_signs(main, voted, generic)
 
     # names that stand for each other: the rarer one takes the place of the commoner
     both = voted.where("size(all) > 1").select("all", F.explode("all").alias("name")).select("name", F.explode("all").alias("other")).where("name <> other")
     both = both.groupBy("name", "other").agg(F.count(F.lit(1)).alias("m"))
+    counts = known.where(F.col("name") == F.col("as")).select("name", "n")
     rank = lambda n, name: F.struct(F.col(n), F.col(name))
-    counts = names.select(F.col("name").alias("other"), F.col("n").alias("n_other"))
-    alias = both.join(names.select("name", "n"), "name").join(counts, "other").where(F.col("m") >= ALIAS * F.col("n")).where(rank("n_other", "other") > rank("n", "name"))
-    alias = alias.groupBy("name").agg(F.max(F.struct("m", "n_other", "other"))["other"].alias("as"))
-    voted = voted.join(alias, "name", "left").withColumn("name", F.coalesce("as", "name")).select("id", "owner", "kind", "size", "name")
-    voted = materialise(voted, "voted")
-    release(parsed, generic, names, sized)
+    alias = both.join(counts, "name").join(counts.select(F.col("name").alias("other"), F.col("n").alias("n_other")), "other")
+    alias = alias.where(F.col("m") >= ALIAS * F.col("n")).where(rank("n_other", "other") > rank("n", "name"))
+    alias = last_of(alias.groupBy("name").agg(F.max(F.struct("m", "n_other", "other"))["other"].alias("as")))
+    placed = voted.join(alias, "name", "left").withColumn("name", F.coalesce("as", "name")).select("id", "owner", "kind", "size", "name")
+    done, voted = voted, materialise(placed.union(signed), "voted")
+    release(parsed, generic, names, known, sized, done, alias)
 
     # one size within the tolerance
     measures = voted.where("kind is not null").select("name", "kind", F.round("size", 1).alias("size")).distinct()

@@ -196,3 +196,19 @@ def test_names_without_any_size_are_products(spark):
     rows = [(i, f"i{i:03}", f"owner {i}", "x", t, None, None, "x") for i, t in enumerate(titles)]
     found = matching.pairs(matching.clusters(spark.createDataFrame(rows, LISTING)))
     assert {(r.id_a, r.id_b) for r in found.collect()} == {("i000", "i001"), ("i000", "i002"), ("i001", "i002"), ("i003", "i006"), ("i007", "i008")}
+
+
+def test_names_in_other_scripts_and_misspelled_ones(spark):
+    titles = {
+        "i01": "小熊保温杯 650毫升", "i02": "【新品】小熊 保温杯 0.65升", "i03": "虎牌保温杯 650毫升", "i04": "小熊保温杯 350毫升",
+        "i11": "GegaPuha charger, 65 W", "i12": "Charger: GegaPhua", "i13": "GegaPoha charger", "i14": "Gegapuha",
+        "i21": "Limi mug, 300 ml", "i22": "Mug: Limi 0.3 l", "i23": "Limi mug, 500 ml",
+    }
+    rows = [(i, k, f"owner {i}", k[:2], t, None, None, "x") for i, (k, t) in enumerate(titles.items())]
+    found = {(r.id_a, r.id_b) for r in matching.pairs(matching.clusters(spark.createDataFrame(rows, LISTING))).collect()}
+    assert found == {("i01", "i02"), ("i11", "i12"), ("i11", "i14"), ("i12", "i14"), ("i21", "i22")}
+
+
+def test_aliases_are_followed_to_their_end(spark):
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "name string, as string")
+    assert {(r.name, r["as"]) for r in matching.last_of(chain).collect()} == {("a", "d"), ("b", "d"), ("c", "d"), ("x", "y")}
