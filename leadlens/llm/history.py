@@ -36,7 +36,7 @@ from leadlens.session import drop_path, exists, make_dir, materialise, read_text
 #: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
 BAND_WORDS, CUT_WORDS = 2, 4
 #: Of a backlog, so many times the history's rows are checked at once.
-GROWTH = 3
+GROWTH = 8
 _MASK = (1 << 64) - 1
 #: Bits of a word's hash in the sum of a title's words, so that no title overflows it.
 _SUMMED = (1 << 46) - 1
@@ -47,7 +47,7 @@ BAND, BEGINNING, CUT_OFF = 0, 1, 2
 #: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
 BAND_WORDS, CUT_WORDS = 2, 4
 #: Of a backlog, so many times the history's rows are checked at once.
-GROWTH = 3
+GROWTH = 8
 _MASK = (1 << 64) - 1
 #: Bits of a word's hash in the sum of a title's words, so that no title overflows it.
 _SUMMED = (1 << 46) - 1

@@ -14,7 +14,7 @@ it has a letter too many or too few, or two neighbours exchanged, and category a
 that no word names is told by its pairs of characters and the short words of its title: of n that can
 name a product (those that stand with different names are words for a kind), the combinations of n and
 of n - 1. Nothing is collected: each step is an aggregation or an equi-join, and pairs are only formed
-between listings of one product.
+between listings of one product. Aggregations carry hashes where they can, so that they need no sort.
 """
 
 from __future__ import annotations
@@ -138,29 +138,36 @@ def spellings(names: DataFrame) -> DataFrame:
     """
     letters = F.sequence(F.lit(1), F.length("name"))
     left_out = F.transform(letters, lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substr("name", i + 1)))
-    forms = names.select("name", "n", "shared", "bits", F.col("category"), F.explode(F.array_distinct(F.concat(F.array("name"), left_out))).alias("form"))
-    forms = forms.withColumn("form", F.xxhash64("form", "category")).drop("category")
-    # names of one form are few: they differ in one letter
-    forms = forms.join(forms.groupBy("form").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("form"), "form")
-    other = forms.select("form", *[F.col(c).alias(f"_{c}") for c in ("name", "n", "shared", "bits")])
-    met = forms.where("not shared").join(other, "form").where("_name <> name and (bits = 0 or _bits = 0 or (bits & _bits) <> 0)")
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    met = met.where((F.length("name") != F.length("_name")) | (letters("name") == letters("_name")))
-    met = met.where(F.struct("_shared", "_n", "_name") > F.struct("shared", "n", "name"))
-    return met.groupBy("name").agg(F.max(F.struct("_shared", "_n", "_name"))["_name"].alias("as"))
+    spelled = F.array_distinct(F.transform(F.concat(F.array("name"), left_out), lambda f: F.xxhash64(f, F.col("category"))))
+    forms = names.select(F.xxhash64("name").alias("_h"), F.explode(spelled).alias("form"))
+    met = forms.groupBy("form").agg(F.min("_h").alias("a"), F.max("_h").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b")
+    met = materialise(met, "forms")
+    # mostly two names have a form; of more, and they are few, all are taken
+    several = forms.join(met.where("k > 2").select("form"), "form")
+    pairs = met.where("k = 2").select("a", "b").union(several.select("form", F.col("_h").alias("a")).join(several.select("form", F.col("_h").alias("b")), "form").where("a <> b").select("a", "b"))
+    pairs = pairs.union(pairs.select("b", "a")).distinct()
+    full = names.select("name", "n", "shared", "bits", F.xxhash64("name").alias("_h"))
+    one = pairs.join(full.where("not shared").withColumnRenamed("_h", "a"), "a").join(full.select(*[F.col(c).alias(f"_{c}") for c in ("name", "n", "shared", "bits")], F.col("_h").alias("b")), "b")
+    sorted_ = lambda c: F.array_sort(F.split(c, ""))
+    one = one.where("bits = 0 or _bits = 0 or (bits & _bits) <> 0").where((F.length("name") != F.length("_name")) | (sorted_("name") == sorted_("_name")))
+    one = one.where(F.struct("_shared", "_n", "_name") > F.struct("shared", "n", "name"))
+    found = materialise(one.groupBy("name").agg(F.max(F.struct("_shared", "_n", "_name"))["_name"].alias("as")), "spellings")
+    release(met)
+    return found
 
 
 def by_signs(main: DataFrame, voted: DataFrame, generic: DataFrame) -> DataFrame:
-    """``(id, owner, kind, size, name)`` of the listings without a name that share the combination of their pairs of characters, or all but one of them, with another source."""
-    rows = main.where("size(signs) > 0").join(voted.select("row", "name"), "row", "left").select("row", "id", "owner", "category", "kind", "size", "signs", "name")
-    each = rows.select("owner", "category", "name", F.explode("signs").alias("sign"))
-    one = lambda c: (F.min(F.xxhash64(c)), F.max(F.xxhash64(c)))
-    (low, high), named = one("owner"), [f(F.when(F.col("name").isNotNull(), F.xxhash64("name"))) for f in (F.min, F.max)]
-    counts = each.groupBy("sign", "category").agg(F.count(F.lit(1)).alias("n"), low.alias("low"), high.alias("high"), named[0].alias("a"), named[1].alias("b"))
+    """``(id, owner, kind, size, name)`` of the listings without a name (not in ``voted``) that share the combination of their pairs of characters, or all but one of them, with another source."""
+    rows = main.where("size(signs) > 0").select("row", "id", "owner", "category", "kind", "size", "signs", "names")
+    word = F.get(F.filter("names", lambda n: ~F.startswith(n, F.lit("/"))), F.lit(0))  # the first long word, if there is one
+    each = rows.select(F.xxhash64("owner").alias("owner"), "category", F.when(word.isNotNull(), F.xxhash64(word)).alias("word"), F.explode("signs").alias("sign"))
+    counts = each.groupBy("sign", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.min("word").alias("a"), F.max("word").alias("b")
+    )
     whole = {"n": F.sum("n"), "top": F.max("n"), "low": F.min("low"), "high": F.max("high"), "a": F.min("a"), "b": F.max("b")}
     kept = counts.groupBy("sign").agg(*[v.alias(k) for k, v in whole.items()]).where("low < high and (a is null or a = b)")
     kept = kept.where(F.col("top") + 1 >= ONE_CATEGORY * F.col("n")).select("sign").join(generic.select(F.concat(F.lit("="), "plain").alias("sign")), "sign", "left_anti")
-    bare = rows.where("name is null").select("row", "id", "owner", "kind", "size", F.explode("signs").alias("sign")).join(kept, "sign")
+    bare = rows.select("row", "id", "owner", "kind", "size", F.explode("signs").alias("sign")).join(materialise(kept, "kept"), "sign").join(voted.select("row"), "row", "left_anti")
     bare = bare.groupBy("row").agg(
         F.collect_set(F.xxhash64("sign")).alias("signs"), F.max(F.startswith("sign", F.lit("="))).alias("word"), *[F.first(c).alias(c) for c in ("id", "owner", "kind", "size")]
     ).where((F.size("signs") >= SIGNS) | F.col("word"))
@@ -207,13 +214,15 @@ def clusters(rows: DataFrame) -> DataFrame:
     for c in ("_a", "_b"):
         words = words.join(generic.withColumnRenamed("plain", c), c, "left_anti")
     by_category = words.groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("name"), "category").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("owner")).alias("low"), F.max(F.xxhash64("owner")).alias("high"), F.sum("place").alias("places"), F.bit_or("bit").alias("bits")
+        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("owner")).alias("low"), F.max(F.xxhash64("owner")).alias("high"), F.sum("place").alias("places"), F.bit_or("bit").alias("bits"), F.max(~F.contains("name", F.lit(" "))).alias("alone")
     )
-    whole = {"n": F.sum("n"), "top": F.max("n"), "low": F.min("low"), "high": F.max("high"), "places": F.sum("places"), "bits": F.bit_or("bits")}
-    names = by_category.groupBy("name").agg(*[v.alias(k) for k, v in whole.items()], F.max(F.struct("n", "category"))["category"].alias("category"))
+    whole = {"n": F.sum("n"), "top": F.max("n"), "low": F.min("low"), "high": F.max("high"), "places": F.sum("places"), "bits": F.bit_or("bits"), "alone": F.max("alone")}
+    # the commonest category by its count and 40 bits of its hash, in one number
+    packed = F.shiftleft(F.least("n", F.lit((1 << 22) - 1)), 40) + F.xxhash64("category").bitwiseAND((1 << 40) - 1)
+    names = by_category.groupBy("name").agg(*[v.alias(k) for k, v in whole.items()], F.max(packed).bitwiseAND((1 << 40) - 1).alias("category"))
     names = names.where(F.col("top") + 1 >= ONE_CATEGORY * F.col("n"))
     names = materialise(names.withColumns({"place": F.col("places") / F.col("n"), "shared": F.col("low") < F.col("high")}), "names")
-    as_written = spellings(names.where("name rlike '^[a-z0-9]{6,}$'"))
+    as_written = spellings(names.where("alone and name rlike '^[a-z]{6,}$'"))
     known = names.join(as_written, "name", "left").withColumn("as", F.when(F.col("as").isNotNull(), F.col("as")).when(F.col("shared"), F.col("name")))
     score = F.log2(F.col("n") + 1) * F.length("name") / (F.col("place") + 2)
     known = materialise(known.where("as is not null").select("name", "as", "n", score.alias("score")), "known")
