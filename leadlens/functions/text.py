@@ -20,9 +20,32 @@ TITLE_NOISE = tuple(
     "red dot good if yanko dieline uncrate core77 designboom behance adobe inc pinterest facebook susifacebook search zcool 站酷 design award "
     "project the a an for of and with from this to in by home".split()
 )
+# Site names that may stand before a title, and what a title that is missing is called.
+SITE_PREFIXES = (
+    "pinterest", "behance", "instagram", "dezeen", "design milk", "yanko design", "core77", "designboom", "trendhunter", "the dieline",
+    "packaging of the world", "pentawards", "小红书", "抖音", "red dot", "good design award", "if设计奖", "dia 中国设计智造大奖", "a' design award",
+    "站酷", "普象网", "设计癖", "数英",
+)
+UNTITLED = "未命名产品"
+# Names of sites inside titles, and how sites end their titles.
+CORE_NOISE = (
+    "yanko design", "dieline", "uncrate", "core77", "designboom", "design milk", "behance", "adobe inc", "pinterest", "facebook", "susi", "if design",
+    "good design award",
+)
+SITE_SUFFIXES = (" :: Behance", " - DIELINE", " | Uncrate", " | Grommet")
+SITE_TAILS = ("Yanko Design", "Core77 Design Awards")
 _SPACE = r"[\s\p{Z}]+"
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode's compatibility form, by the JVM's own library; null stays null.
+
+    Spark takes what it calls by name as not deterministic, so put it into a column before a lambda uses it.
+    """
+    form = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).when(c.isNotNull(), form)
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, _SPACE, " "))
@@ -38,18 +61,18 @@ def strip_html(c: Column) -> Column:
     return squeeze(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")))
 
 
-def clean_title(c: Column, prefixes: list[str] = (), default: str = "") -> Column:
+def clean_title(c: Column, prefixes: tuple[str, ...] = SITE_PREFIXES, default: str = UNTITLED) -> Column:
     """Title without markup and without a leading site name followed by a separator."""
     out = strip_html(c)
     if prefixes:
-        names = "|".join("".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in p) for p in prefixes)
-        out = F.trim(F.regexp_replace(out, rf"(?i)^(?:{names})\s*[·:\-|]\s*", ""))
+        names = "|".join("".join("\\" + ch if ch.isascii() and not ch.isalnum() and ch != " " else ch for ch in p) for p in prefixes)
+        out = squeeze(F.regexp_replace(out, rf"(?i)^(?:{names})[\s\p{{Z}}]*[·:\-|][\s\p{{Z}}]*", ""))
     return F.when(out == "", default).otherwise(out) if default else out
 
 
 def normalize(c: Column) -> Column:
-    """Lower case without urls, noise substrings, punctuation and extra blanks."""
-    low = F.regexp_replace(F.lower(strip_html(c)), r"https?://\S+", " ")
+    """Clean lower-case title in compatibility form, without urls, noise substrings, punctuation and extra blanks."""
+    low = F.regexp_replace(nfkc(F.lower(clean_title(c))), r"https?://\S+", " ")
     low = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit(" ")), NOISE, low)
     return squeeze(F.regexp_replace(low, r"[^\p{L}\p{N}_]+", " "))
 
@@ -60,9 +83,29 @@ def content_tokens(c: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(*WEAK))
 
 
+def _plain_words(c: Column) -> Column:
+    return squeeze(F.regexp_replace(c, r"[^a-z0-9一-鿿]+", " "))
+
+
+def core_title(c: Column) -> Column:
+    """Lower-case words of a title in compatibility form: Latin letters, digits and Chinese characters, without the names of sites."""
+    low = F.lower(nfkc(F.coalesce(c, F.lit(""))))
+    return _plain_words(F.regexp_replace(low, rf"(?U)\b(?:{'|'.join(CORE_NOISE)})\b", " "))
+
+
+def candidate_title(c: Column) -> Column:
+    """A title without the site's name behind it, as a few sites write it; ``UNTITLED`` where nothing is left."""
+    out = F.trim(F.coalesce(c, F.lit("")))
+    for marker in SITE_SUFFIXES:
+        out = F.trim(F.substring_index(out, marker, 1))
+    for tail in SITE_TAILS:
+        out = F.regexp_replace(out, rf"(?i)\s+-\s+{tail}$", "")
+    return F.when(out == "", UNTITLED).otherwise(out)
+
+
 def title_tokens(c: Column) -> Column:
     """Words of a title without noise, with plural and -ing endings taken off."""
-    words = F.split(squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9一-鿿]+", " ")), " ")
+    words = F.split(_plain_words(F.lower(nfkc(F.coalesce(c, F.lit(""))))), " ")
     stem = lambda t: (
         F.when(t.endswith("ing") & (F.length(t) > 5), F.substring(t, F.lit(1), F.length(t) - 3))
         .when(t.endswith("ies") & (F.length(t) > 5), F.concat(F.substring(t, F.lit(1), F.length(t) - 3), F.lit("y")))
@@ -78,6 +121,12 @@ def compat_key(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-\x5c]+", ""), 1, 120)
 
 
+def row_keys(identifier: Column, url: Column, title: Column) -> Column:
+    """All keys of a row that are not empty: its id and the keys of url and title, whose scheme does not count."""
+    bare = lambda c: compat_key(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "https?://", ""))
+    return F.filter(F.array(F.coalesce(identifier, F.lit("")), bare(url), bare(title)), lambda k: k != "")
+
+
 def truncate(c: Column, n: int) -> Column:
     """At most ``n`` characters, the last an ellipsis if something was cut."""
     return F.when(F.length(c) > n, F.concat(F.rtrim(F.substring(c, 1, n - 1)), F.lit("…"))).otherwise(c)
@@ -88,11 +137,31 @@ def stable_hash(c: Column, length: int = 12) -> Column:
     return F.substring(F.sha1(c), 1, length)
 
 
-def fingerprint(category: Column, text: Column, fallback: Column) -> Column:
-    """Category and hash of the first eight content tokens; of the fallback where there are none."""
-    tokens = content_tokens(normalize(text))
-    compact = F.array_join(F.slice(tokens, 1, 8), "")
-    return F.concat(category, F.lit(":"), stable_hash(F.when(compact == "", fallback).otherwise(compact), 16))
+def joined(*columns: Column) -> Column:
+    """Values with a blank between them, null as ''."""
+    return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
+
+
+def _compact(c: Column) -> Column:
+    return F.array_join(F.slice(content_tokens(normalize(c)), 1, 8), "")
+
+
+def fingerprint(category: Column, title: Column, reason: Column, creator: Column, url: Column) -> Column:
+    """Category and hash of the first eight content tokens of title and creator.
+
+    Under two tokens the reason counts too; without any the normalised title, then the url, then the title as it is.
+    """
+    named = content_tokens(normalize(joined(title, creator)))
+    more = F.when(F.size(named) < 2, _compact(joined(title, reason, creator))).otherwise(F.array_join(F.slice(named, 1, 8), ""))
+    last = F.coalesce(F.nullif(url, F.lit("")), title, F.lit(""))
+    compact = F.coalesce(F.nullif(more, F.lit("")), F.nullif(normalize(title), F.lit("")), last)
+    return F.concat(category, F.lit(":"), stable_hash(compact, 16))
+
+
+def product_key(category: Column, title: Column) -> Column:
+    """Category and hash of the title's first eight content tokens, of the title's own hash where it has none."""
+    compact = F.coalesce(F.nullif(_compact(title), F.lit("")), stable_hash(F.coalesce(title, F.lit(""))))
+    return F.concat(category, F.lit(":"), stable_hash(compact, 16))
 
 
 def like_value(c: Column) -> Column:

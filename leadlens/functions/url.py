@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from leadlens.functions.text import unescape
 TRACKING = tuple(
     "utm_source utm_medium utm_campaign utm_term utm_content spm fbclid gclid xsec_token xsec_source share_from_user_hidden share_id share_sign timestamp".split()
 )
-# Query parameters of search pages, and path segments of listings.
+SHARED = ("share_token", "share_sign", "xsec_token")
+# Query parameters of search pages, hosts of search engines, and path segments of listings.
 SEARCH_KEYS = tuple("q query keyword keywords search s wd k".split())
+SEARCH_HOSTS = ("duckduckgo.com", "google.com", "bing.com", "baidu.com")
 LISTING_SEGMENTS = tuple(
     "search tag tags category categories collection collections topic topics explore discover feed archive page pages market".split()
 )
@@ -33,12 +37,25 @@ def parameters(c: Column) -> Column:
     return F.filter(pairs, lambda p: p.rlike("^[^=]+=.+"))
 
 
+def decoded(c: Column) -> Column:
+    """A form value as it was before encoding; one that cannot be decoded stays."""
+    return F.coalesce(F.try_url_decode(c), c)
+
+
+def encoded(c: Column) -> Column:
+    """A form value encoded, ``*`` and ``~`` as Python does it."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical(c: Column) -> Column:
-    """One spelling of a url: lower-case scheme and host, no trailing slashes, tracking parameters or fragment; '' for none."""
+    """One spelling of a url: lower-case scheme and host, no trailing slashes, tracking parameters or fragment, the query encoded anew; '' for none."""
     u = F.trim(unescape(F.coalesce(c, F.lit(""))))
     scheme = F.lower(F.regexp_extract(u, _SCHEME, 1))
-    kept = F.filter(parameters(u), lambda p: ~F.substring_index(p, "=", 1).isin(*TRACKING) & ~p.startswith("utm_"))
-    query = F.array_join(kept, "&")
+    pairs = F.transform(
+        parameters(u), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.substr(p, F.instr(p, "=") + 1)).alias("v"))
+    )
+    kept = F.filter(pairs, lambda p: ~p["k"].isin(*TRACKING) & ~p["k"].startswith("utm_"))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
     body = F.concat(
         F.when(scheme == "", "https").otherwise(scheme),
         F.lit("://"),
@@ -61,6 +78,23 @@ def is_listing(c: Column) -> Column:
     )
 
 
+def social(c: Column) -> Column:
+    """The url of a post on the web without what was added when it was shared; '' for other schemes."""
+    u = F.trim(F.coalesce(c, F.lit("")))
+    pairs = F.transform(parameters(u), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.substr(p, F.instr(p, "=") + 1)).alias("v")))
+    kept = F.filter(pairs, lambda p: ~p["k"].isin(*SHARED) & ~p["k"].startswith("utm_"))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
+    bare = F.concat(F.lower(F.regexp_extract(u, _SCHEME, 1)), F.lit("://"), host(u), F.regexp_replace(F.regexp_extract(u, _PATH, 1), "/+$", ""))
+    return F.when(u.rlike("(?i)^https?:"), F.concat(bare, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))).otherwise("")
+
+
+def direct(c: Column) -> Column:
+    """The canonical url if it is the page of an item on the web; '' for other schemes, search engines, search and listing pages."""
+    clean = canonical(c)
+    engine = reduce(lambda a, b: a | b, [host(clean).endswith(h) for h in SEARCH_HOSTS])
+    return F.when(clean.rlike("^https?://[^/?#]") & ~engine & ~is_listing(clean), clean).otherwise("")
+
+
 def suffixes(c: Column) -> Column:
     """A host and its parents with at least two labels, longest first: the keys of a domain look-up."""
     labels = F.split(c, r"\.")
@@ -93,6 +127,5 @@ def join(base: Column, ref: Column) -> Column:
 
 
 def search(site: Column, text: Column) -> Column:
-    """A search url of a site; ``*`` and ``~`` as Python encodes them."""
-    encoded = F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
-    return F.concat(site, encoded)
+    """A search url of a site."""
+    return F.concat(site, encoded(text))

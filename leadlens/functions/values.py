@@ -56,3 +56,9 @@ def week_range(c: Column) -> tuple[Column, Column]:
     """Monday and Sunday of a date's week."""
     monday = F.to_date(F.date_trunc("week", c))
     return monday, F.date_add(monday, 6)
+
+
+def map_update(old: Column, new: Column) -> Column:
+    """``old`` with the entries of ``new``, whose values win unless they are null."""
+    keys = F.array_union(F.map_keys(old), F.map_keys(new))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.try_element_at(new, k), F.try_element_at(old, k))))

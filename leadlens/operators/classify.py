@@ -36,3 +36,20 @@ def labels(text: Column, words: dict[str, list[str]], most: int, default: str) -
     """All classes with a hit, at most ``most`` in the table's order; the default if there is none."""
     found = F.slice(F.array_compact(F.array(*[F.when(hits(text, w) > 0, name) for name, w in words.items()])), 1, most)
     return F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
+
+
+def source_quality(tier: Column, group: Column, named: Column, kind: Column) -> Column:
+    """Quality of a source: its own tier, else by its group, else what is known by its name, else by its type."""
+    own, among = F.lower(F.trim(tier)), F.lower(group)
+    by_type = F.when(kind.isin("verified_official", "editorial_source", "packaging_source"), "premium").when(kind == "trend_source", "weak").otherwise("standard")
+    by_group = F.when(F.contains(among, F.lit("weak")), "weak").when(F.contains(among, F.lit("strong")), "standard")
+    return F.coalesce(F.when(own.isin("premium", "standard", "weak"), own), by_group, named, by_type)
+
+
+def source_family(kind: Column, quality: Column) -> Column:
+    """Family of a source by type and quality."""
+    simple = {"social_signal": "social", "verified_official": "award", "editorial_source": "media", "packaging_source": "packaging", "design_community": "community"}
+    out = F.when((kind == "market_reference") | (kind == "trend_source"), F.when(quality == "weak", "weak market").when(kind == "trend_source", "trend").otherwise("market"))
+    for name, family in simple.items():
+        out = out.when(kind == name, family)
+    return out.otherwise("other")

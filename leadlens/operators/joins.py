@@ -58,3 +58,15 @@ def snapshot_merge(previous: DataFrame, current: DataFrame, date: str, key: str,
 
     both = union_keep_first([previous.withColumn("_age", F.lit(0)), current.withColumn("_age", F.lit(1))], [date, key], [order])
     return top_k(both, [date], [F.col("_age"), order], target, "_nth").drop("_age", "_nth")
+
+
+def apply_decisions(products: DataFrame, rejected: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """Products, and rejected rows of other keys, with ``state``: kept or rejected as ``decisions.keep`` says, rescued if a rejected row is kept.
+
+    Without a decision a row stays where it is.
+    """
+    whole = products.withColumn("_new", F.lit(False)).unionByName(fresh(rejected, products, key).select(*products.columns).withColumn("_new", F.lit(True)))
+    joined = whole.join(decisions.select(key, "keep"), key, "left")
+    kept = F.coalesce("keep", ~F.col("_new"))
+    state = F.when(kept & F.col("_new"), "rescued").when(kept, "kept").otherwise("rejected")
+    return joined.withColumn("state", state).drop("_new", "keep")

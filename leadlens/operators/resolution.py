@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.session import materialise
+from leadlens.session import materialise, release
 
 
 def edges_from_keys(rows: DataFrame, identifier: str, keys: str) -> DataFrame:
@@ -34,14 +34,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(rows: DataFrame, identifier: str, keys: str, most_rounds: int = 60) -> DataFrame:
-    """``(identifier, component)``: the smallest identifier of each row's component; rows without keys are their own."""
-    edges = materialise(edges_from_keys(rows, identifier, keys), "edges")
-    before = None
+    """``(identifier, component)``: the smallest identifier of each row's component; rows without keys are their own.
+
+    Rounds go on until nothing changes; a graph that is not done after ``most_rounds`` is an error.
+    """
+    edges, before = materialise(edges_from_keys(rows, identifier, keys), "edges"), None
     for _ in range(most_rounds):
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        last, edges = edges, materialise(_star(_star(edges, True), False), "edges")
+        release(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components do not settle in {most_rounds} rounds")
     labels = edges.groupBy("a").agg(F.min("b").alias("_c"))
     return rows.select(identifier).join(labels, F.col(identifier) == F.col("a"), "left").select(identifier, F.coalesce("_c", F.col(identifier)).alias("component"))

@@ -40,3 +40,14 @@ def rate_limited(df: DataFrame, actor: str, at: str, order: list[Column], limit:
     """Rows within the first ``limit`` of their actor and period."""
     period = F.floor(F.unix_timestamp(at) / seconds)
     return top_k(df.withColumn("_period", period), [actor, "_period"], order, limit, "_nth").drop("_period", "_nth")
+
+
+def within_budget(df: DataFrame, period: Column, order: list[Column], amount: str, calls: int, most: float) -> DataFrame:
+    """Rows of each period until its calls or the sum of its amounts are used up: a row passes while both are below before it.
+
+    What follows a refused row is refused too, so the rows are the first of their period. At most ``calls`` rows of a
+    period are ever summed.
+    """
+    first = top_k(df.withColumn("_period", period), ["_period"], order, calls, "_nth")
+    before = Window.partitionBy("_period").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    return first.withColumn("_spent", F.coalesce(F.sum(amount).over(before), F.lit(0))).where(F.col("_spent") < most).drop("_period", "_nth", "_spent")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadlens.functions import identity, text, url, values
+from leadlens.functions import identity, text, unify, url, values
 from leadlens.operators import classify, joins
 from leadlens.plans.registry import query
-from leadlens.session import table
+from leadlens.session import small_rows, table
 
 #: Example keyword table, rules and words of the classification queries.
 KEYWORDS = {"drinkware": ["mug", "tumbler", "bottle", "杯", "壶"], "light": ["lamp", "lantern", "灯"], "gift": ["box", "礼盒"], "power": ["power bank", "charger", "充电宝"]}
@@ -32,8 +35,8 @@ pieces as (
   from parts),
 canon as (
   select ordinal, source, host, path, case when u = '' then '' else case when scheme = '' then 'https' else scheme end || '://' || host || path ||
-    case when len(kept) = 0 then '' else '?' || array_to_string(kept, '&') end end as url
-  from (select *, list_filter(pairs, lambda p: not starts_with(p, 'utm_') and split_part(p, '=', 1) not in
+    case when len(kept) = 0 then '' else '?' || array_to_string(list_transform(kept, lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') end end as url
+  from (select *, list_filter(list_transform(pairs, lambda p: {'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(p, instr(p, '=') + 1), '+', ' '))}), lambda p: not starts_with(p.k, 'utm_') and p.k not in
     ('spm', 'fbclid', 'gclid', 'xsec_token', 'xsec_source', 'share_from_user_hidden', 'share_id', 'share_sign', 'timestamp')) as kept from pieces))
 """
 
@@ -50,12 +53,11 @@ _SEG = ", ".join(f"'{s}'" for s in url.LISTING_SEGMENTS)
     "url_item_gate",
     rf"""with {_PARTS}, seg as (select ordinal, url, list_filter(string_split(lower(path), '/'), lambda s: s <> '') as s,
       list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+')), lambda p: lower(split_part(p, '=', 1))) as keys from canon)
-    select ordinal, url from seg where url <> '' and not (list_has_any(keys, ['q', 'query', 'keyword', 'keywords', 'search', 's', 'wd', 'k'])
+    select ordinal, url from seg where regexp_matches(url, '^https?://[^/?#]') and not regexp_matches(url, '^https?://[^/?#]*(duckduckgo|google|bing|baidu)\.com($|[/?#])') and not (list_has_any(keys, ['q', 'query', 'keyword', 'keywords', 'search', 's', 'wd', 'k'])
       or coalesce(s[-1] in ({_SEG}), false) or (list_has_any(s[1:2], [{_SEG}]) and len(s) <= 3))""",
 )
 def url_item_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "leads").select("ordinal", url.canonical(F.col("url")).alias("url"))
-    return rows.where((F.col("url") != "") & ~url.is_listing(F.col("url")))
+    return table(spark, d, "leads").select("ordinal", url.direct(F.col("url")).alias("url")).where("url <> ''")
 
 
 @query(
@@ -77,8 +79,34 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.strip_html(F.col("text")).alias("text"))
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+@functools.cache
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """(seen, meant) of single characters in compatibility form, and those that are spelled with several, as far as the tables hold them."""
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]}
+    single = {c: f for c, f in forms.items() if len(f) == 1 and f != c}
+    return "".join(single), "".join(single.values()), {c: forms[c] for c in [*unify.EXPANSIONS, *unify.UNIT_SIGNS]}
+
+
+def nfkc_sql(c: str) -> str:
+    seen, meant, several = _compatible()
+    for sign, spelled in several.items():
+        c = f"replace({c}, {_text(sign)}, {_text(spelled)})"
+    return f"nfc_normalize(translate({c}, {_text(seen)}, {_text(meant)}))"
+
+
+_PREFIXES = "|".join(p.replace("'", "''") for p in text.SITE_PREFIXES)
+
+
+def _clean_sql(c: str) -> str:
+    return rf"coalesce(nullif(trim(regexp_replace({_STRIP.format(c=c)}, '(?i)^(?:{_PREFIXES})[\s\p{{Z}}]*[·:\-|][\s\p{{Z}}]*', '')), ''), '{text.UNTITLED}')"
+
+
 def _norm_sql(c: str) -> str:
-    out = rf"regexp_replace(lower({_STRIP.format(c=c)}), 'https?://\S+', ' ', 'g')"
+    out = rf"regexp_replace({nfkc_sql(f'lower({_clean_sql(c)})')}, 'https?://\S+', ' ', 'g')"
     for w in text.NOISE:
         out = f"replace({out}, '{w}', ' ')"
     return rf"trim(regexp_replace(regexp_replace({out}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
@@ -103,7 +131,7 @@ def content_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NOISE = ", ".join(f"'{w}'" for w in text.TITLE_NOISE)
-_TITLE_TOKENS = rf"""list_filter(list_transform(list_filter(string_split(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9一-鿿]+', ' ', 'g')), ' '), lambda t: t <> '' and t not in ({_NOISE})),
+_TITLE_TOKENS = rf"""list_filter(list_transform(list_filter(string_split(trim(regexp_replace(lower({nfkc_sql("coalesce(title, '')")}), '[^a-z0-9一-鿿]+', ' ', 'g')), ' '), lambda t: t <> '' and t not in ({_NOISE})),
   lambda t: case when ends_with(t, 'ing') and length(t) > 5 then substr(t, 1, length(t) - 3) when ends_with(t, 'ies') and length(t) > 5 then substr(t, 1, length(t) - 3) || 'y'
     when ends_with(t, 's') and length(t) > 4 then substr(t, 1, length(t) - 1) else t end), lambda t: t <> '' and t not in ({_NOISE}))"""
 
@@ -113,15 +141,19 @@ def title_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "leads").select("ordinal", F.array_join(text.title_tokens(F.col("title")), " ").alias("tokens"))
 
 
-@query(
-    "content_fingerprint",
-    f"""select ordinal, category || ':' || substr(sha1(case when k = '' then t else k end), 1, 16) as fingerprint from (
-    select ordinal, coalesce(nullif(category, ''), 'none') as category, {_norm_sql('title')} as t,
-      array_to_string({_tokens_sql(_norm_sql('title'))}[1:8], '') as k from leads)""",
-)
+_FINGERPRINT = f"""norms as (select ordinal, coalesce(nullif(category, ''), 'none') as category, coalesce(nullif(url, ''), title, '') as last, coalesce(title, '') as title,
+      {_norm_sql('title')} as n1, {_norm_sql("(coalesce(title, '') || ' ' || coalesce(creator, ''))")} as n2,
+      {_norm_sql("(coalesce(title, '') || ' ' || coalesce(reason, '') || ' ' || coalesce(creator, ''))")} as n3 from leads),
+  tokens as (select *, {_tokens_sql('n1')} as t1, {_tokens_sql('n2')} as t2, {_tokens_sql('n3')} as t3 from norms),
+  prints as (select ordinal, category || ':' || substr(sha1(coalesce(nullif(array_to_string(case when len(t2) < 2 then t3[1:8] else t2[1:8] end, ''), ''), nullif(n1, ''), last)), 1, 16) as fingerprint,
+    category || ':' || substr(sha1(coalesce(nullif(array_to_string(t1[1:8], ''), ''), substr(sha1(title), 1, 12))), 1, 16) as product_key from tokens)"""
+
+
+@query("content_fingerprint", f"with {_FINGERPRINT} select ordinal, fingerprint, product_key from prints")
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    key = text.fingerprint(values.nz(F.col("category"), "none"), F.col("title"), text.normalize(F.col("title")))
-    return table(spark, d, "leads").select("ordinal", key.alias("fingerprint"))
+    category = values.nz(F.col("category"), "none")
+    key = text.fingerprint(category, F.col("title"), F.col("reason"), F.col("creator"), F.col("url"))
+    return table(spark, d, "leads").select("ordinal", key.alias("fingerprint"), text.product_key(category, F.col("title")).alias("product_key"))
 
 
 @query("stable_hash", "select ordinal, substr(sha1(coalesce(url, '') || '|' || coalesce(title, '')), 1, 12) as key from leads")
@@ -255,41 +287,68 @@ def iso_week(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ordinal", values.iso_week(F.col("added")).alias("week"), monday.alias("monday"), sunday.alias("sunday"))
 
 
-@query("job_matrix", """select c.category, s.source, row_number() over (order by s.source, c.category) as ordinal from (select distinct category from sample_targets) c, source_dim s""")
+JOBS_SQL = "select c.category, s.source, row_number() over (order by s.source, c.category) as ordinal from (select distinct category from sample_targets) c, source_dim s"
+
+
+@query("job_matrix", JOBS_SQL)
 def job_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Every listed category with every source: two fixed dimensions, joined on a constant."""
-    categories = table(spark, d, "sample_targets").select("category").distinct().withColumn("_k", F.lit(1))
-    sources = table(spark, d, "source_dim").select("source").withColumn("_k", F.lit(1))
-    return categories.join(sources, "_k").select("category", "source", F.row_number().over(Window.orderBy("source", "category")).cast("long").alias("ordinal"))
+    """Every listed category with every source: a cross join of two fixed dimensions, whose sizes are checked."""
+    categories = small_rows(table(spark, d, "sample_targets").select("category").distinct(), 1000)
+    sources = table(spark, d, "source_dim").select("source")
+    small_rows(sources, 1000)
+    pairs = sources.crossJoin(spark.createDataFrame(categories, "category string"))
+    return pairs.select("category", "source", F.row_number().over(Window.orderBy("source", "category")).cast("long").alias("ordinal"))
+
+
+#: Example tables of the identity keys: brands with concepts and their markers by category, and known names with their words.
+FAMILIES = {"手机壳": (["halden", "lumaro", "vesolt"], {"stand": ["tilt stand", "倾斜支架"]})}
+NAMED = {"halden-rasizaho": ["halden", "rasizaho"]}
+
+
+def _named_sql(c: str) -> str:
+    noise = ", ".join(repr(w) for w in identity.COMMON)
+    words = f"list_transform(regexp_extract_all(coalesce({c}, ''), '([A-Za-z][A-Za-z0-9-]{{2,}})', 1), lambda w: {{'raw': w, 'word': lower(replace(w, '-', ''))}})"
+    return f"list_filter({words}, lambda p: length(p.word) >= 3 and p.word not in ({noise}))"
+
+
+def _stylised_sql(r: str) -> str:
+    return f"(regexp_matches({r}, '[0-9]') or (regexp_matches({r}, '^.+[A-Z]') and {r} <> upper({r})) or {r} = upper({r}) or length({r}) >= 7)"
+
+
+_FAMILY_SQL = ", ".join(
+    f"case when category = '{c}' and brand in ({', '.join(map(repr, brands))}) and ({' or '.join(f'contains(lower(whole), {m!r})' for m in markers)}) then 'family:' || category || ':' || brand || ':{concept}' end"
+    for c, (brands, concepts) in FAMILIES.items() for concept, markers in concepts.items()
+)
+_NAMED_SQL = ", ".join(f"case when {' and '.join(f'list_contains(held, {w!r})' for w in words)} then 'named:' || category || ':{name}' end" for name, words in NAMED.items())
+_IDENTITY = f"""texts as (select ordinal, coalesce(nullif(category, ''), 'none') as category, product_identity as explicit, {_clean_sql('title')} as clean,
+      substr(regexp_replace(coalesce(reason, ''), '(?is)(页面证据|page evidence).*$', ''), 1, 320) as short from leads),
+  wholes as (select ordinal, category, explicit, {nfkc_sql('clean')} as clean, {nfkc_sql("trim(trim(coalesce(explicit, '')) || ' ' || clean || ' ' || short)")} as whole from texts),
+  found as (select ordinal, category, whole, {_named_sql('explicit')} as e, {_named_sql('clean')} as c, {_named_sql('whole')} as w from wholes),
+  branded as (select *, list_transform(e, lambda p: p.word) as g0, list_transform(w, lambda p: p.word) as h0,
+      coalesce(e[1].word, c[1].word, list_filter(w, lambda p: p.raw = upper(p.raw))[1].word, '') as brand from found),
+  modelled as (select *, list_filter(g0, lambda x, i: list_position(g0, x) = i) as g, list_filter(h0, lambda x, i: list_position(h0, x) = i)[1:14] as held,
+      list_filter(w, lambda p: p.word = brand)[1].raw as brand_raw, list_filter(w, lambda p: p.word <> brand)[1] as model from branded),
+  identities as (select ordinal, list_filter([case when len(g) >= 2 then 'explicit:' || category || ':' || array_to_string(g[1:4], ':') end,
+      case when len(g) >= 2 then 'explicit-core:' || category || ':' || array_to_string(g[1:3], ':') end,
+      case when brand <> '' and model is not null and (coalesce({_stylised_sql('brand_raw')} and brand_raw <> upper(brand_raw), false) or {_stylised_sql('model.raw')}) then 'identity:' || category || ':' || brand || ':' || model.word end,
+      {_FAMILY_SQL}, {_NAMED_SQL}], lambda k: k is not null) as keys from modelled)"""
 
 
-_NAMED = (
-    "list_filter(list_transform(regexp_extract_all(coalesce({c}, ''), '([A-Za-z][A-Za-z0-9-]{{2,}})', 1), lambda w: {{'raw': w, 'word': lower(replace(w, '-', ''))}}), "
-    f"lambda p: length(p.word) >= 3 and p.word not in ({', '.join(repr(w) for w in identity.COMMON)}))"
-)
-_STYLISED = "(regexp_matches({r}, '[0-9]') or (regexp_matches({r}, '^.+[A-Z]') and {r} <> upper({r})) or {r} = upper({r}) or length({r}) >= 7)"
+def with_entity_keys(leads: DataFrame, out: str = "keys") -> DataFrame:
+    """Leads with their identity keys."""
+    category = values.nz(F.col("category"), "none")
+    return identity.with_keys(leads, category, F.col("title"), F.col("product_identity"), F.col("reason"), out, FAMILIES, NAMED)
 
 
-@query(
-    "identity_keys",
-    f"""with n as (select ordinal, coalesce(nullif(category, ''), 'none') as category, {_NAMED.format(c='title')} as n, list_transform({_NAMED.format(c='product_identity')}, lambda p: p.word) as g0 from leads),
-    d as (select *, list_filter(g0, lambda x, i: list_position(g0, x) = i) as g from n),
-    m as (select *, n[1] as brand, list_filter(n, lambda p: p.word <> n[1].word)[1] as model from d)
-    select ordinal, array_to_string(list_filter([case when len(g) >= 2 then 'explicit:' || category || ':' || array_to_string(g[1:4], ':') end,
-      case when len(g) >= 2 then 'explicit-core:' || category || ':' || array_to_string(g[1:3], ':') end,
-      case when brand is not null and model is not null and (({_STYLISED.format(r='brand.raw')} and brand.raw <> upper(brand.raw)) or {_STYLISED.format(r='model.raw')}) then 'identity:' || category || ':' || brand.word || ':' || model.word end],
-      lambda k: k is not null), ' ') as keys from m""",
-)
+@query("identity_keys", f"with {_IDENTITY} select ordinal, array_to_string(keys, ' ') as keys from identities")
 def identity_keys(spark: SparkSession, d: str) -> DataFrame:
-    found = identity.keys(values.nz(F.col("category"), "none"), F.col("title"), F.col("product_identity"))
-    return table(spark, d, "leads").select("ordinal", F.array_join(found, " ").alias("keys"))
+    return with_entity_keys(table(spark, d, "leads")).select("ordinal", F.array_join("keys", " ").alias("keys"))
 
 
-@query("identity_groups")
+@query("identity_groups", f"with {_IDENTITY} select key, count(*) as n, min(ordinal) as first from (select ordinal, unnest(keys) as key from identities) group by key having count(*) > 1")
 def identity_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every identity key that several leads share, with their number and the first of them: an equi-join key, not pairs."""
-    found = identity.keys(values.nz(F.col("category"), "none"), F.col("title"), F.col("product_identity"))
-    each = table(spark, d, "leads").select("ordinal", F.explode(found).alias("key"))
+    each = with_entity_keys(table(spark, d, "leads")).select("ordinal", F.explode("keys").alias("key"))
     return each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first")).where("n > 1")
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlens.functions import text, url, values
 from leadlens.operators import aggregates, joins, neardup, resolution, selection, windows
 from leadlens.plans import catalog
 from leadlens.plans.registry import query
-from leadlens.session import materialise, table
+from leadlens.session import table
 from leadlens.streaming import changes, feedback
 
 
@@ -86,9 +86,6 @@ def distinct_by_coalesced_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "records").agg(F.count_distinct(values.first_nonempty(F.col("id"), F.col("url"), F.col("title"))).alias("n"))
 
 
-_VALID = """select event_id, actor_id, product_id, action, reason, at, received_at, ordinal from (select *, lower(trim(action)) as act, coalesce(created_at, received_at) as at from feedback_events)"""
-
-
 @query(
     "latest_decision",
     """select actor_id, product_id, action from (select coalesce(nullif(actor_id, ''), 'anonymous') as actor_id, product_id, lower(trim(action)) as action,
@@ -252,12 +249,12 @@ def upsert_by_id(spark: SparkSession, d: str) -> DataFrame:
     return joins.upsert(old, new, "id")
 
 
-@query(
-    "snapshot_merge",
-    """with p as (select first_seen as day, ordinal, title, 0 as age from records where is_backfill and title <> ''), c as (select first_seen as day, ordinal, title, 1 as age from records where not is_backfill and title <> ''),
+SNAPSHOT_SQL = """with p as (select first_seen as day, ordinal, title, 0 as age from records where is_backfill and title <> ''), c as (select first_seen as day, ordinal, title, 1 as age from records where not is_backfill and title <> ''),
     k as (select *, row_number() over (partition by day, title order by age, ordinal) as n from (from p union all from c))
-    select day, title, ordinal from (select *, row_number() over (partition by day order by age, ordinal) as m from k where n = 1) where m <= 10""",
-)
+    select day, title, ordinal from (select *, row_number() over (partition by day order by age, ordinal) as m from k where n = 1) where m <= 10"""
+
+
+@query("snapshot_merge", SNAPSHOT_SQL)
 def snapshot_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "records").where("title <> ''").select(F.col("first_seen").alias("day"), "ordinal", "title", "is_backfill")
     before, now = rows.where("is_backfill").drop("is_backfill"), rows.where("not is_backfill").drop("is_backfill")
@@ -307,18 +304,30 @@ def merged_products(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.merged_products(rows, "key").select("key", "sources", "score", "likes", "first_seen", "last_seen")
 
 
-@query(
-    "er_components",
-    f"""with recursive {catalog._PARTS}, keys as (select ordinal as id, 'u' || url as key from canon where url <> '' union all select ordinal, 'i' || id from leads where id <> ''),
-    e as (select k.id as a, m.id as b from keys k join (select key, min(id) as id from keys group by key) m using (key) where k.id <> m.id),
+_KEYS = f"""{catalog._PARTS}, {catalog._FINGERPRINT}, {catalog._IDENTITY},
+    keys as (select ordinal as id, 'u' || url as key from canon where url <> '' union all select ordinal, 'p' || product_key from prints union all select ordinal, 'f' || fingerprint from prints
+      union all select ordinal, 'k' || unnest(keys) from identities),
+    e as (select distinct k.id as a, m.id as b from keys k join (select key, min(id) as id from keys group by key) m using (key) where k.id <> m.id),
     both_ways as (select a, b from e union select b, a from e),
-    reach(id, c) as (select ordinal, ordinal from leads union select w.a, r.c from reach r join both_ways w on w.b = r.id where r.c < w.a)
-    select id as ordinal, min(c) as component from reach group by id""",
-)
+    reach(id, c) as (select ordinal, ordinal from leads union select w.a, r.c from reach r join both_ways w on w.b = r.id where r.c < w.a),
+    labels as (select id as ordinal, min(c) as component from reach group by id)"""
+
+
+def with_resolved_keys(leads: DataFrame) -> DataFrame:
+    """Leads with all keys by which they are one product: page, product key, content fingerprint and identity keys."""
+    category = values.nz(F.col("category"), "none")
+    keyed = catalog.with_entity_keys(leads, "_ik").withColumns({
+        "_pk": text.product_key(category, F.col("title")), "_fp": text.fingerprint(category, F.col("title"), F.col("reason"), F.col("creator"), F.col("url")),
+    })
+    page = url.canonical(F.col("url"))
+    own = F.array(F.when(page != "", F.concat(F.lit("u"), page)), F.concat(F.lit("p"), "_pk"), F.concat(F.lit("f"), "_fp"))
+    return keyed.withColumn("keys", F.array_compact(F.concat(own, F.transform("_ik", lambda k: F.concat(F.lit("k"), k))))).drop("_ik", "_pk", "_fp")
+
+
+@query("er_components", f"with recursive {_KEYS} select * from labels")
 def er_components(spark: SparkSession, d: str) -> DataFrame:
-    page, name = url.canonical(F.col("url")), F.when(F.col("id") != "", F.concat(F.lit("i"), F.col("id")))
-    keys = F.array_compact(F.array(F.when(page != "", F.concat(F.lit("u"), page)), name))
-    return resolution.components(table(spark, d, "leads").select("ordinal", keys.alias("keys")), "ordinal", "keys")
+    """Leads that share any key, over any number of steps, with the smallest ordinal of their component."""
+    return resolution.components(with_resolved_keys(table(spark, d, "leads")).select("ordinal", "keys"), "ordinal", "keys")
 
 
 _SETS = f"(select ordinal, category, list_sort(list_distinct({catalog._TITLE_TOKENS})) as t from leads where category <> '')"
@@ -416,17 +425,6 @@ def order_rollup(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("n_name", month.alias("month")).agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("c_custkey").alias("customers"))
 
 
-def resolved(spark: SparkSession, d: str) -> DataFrame:
-    """One row per component with the merged figures of its rows."""
-    found = materialise(er_components(spark, d), "components")
-    return aggregates.merged_products(table(spark, d, "leads").join(found, "ordinal"), "component")
-
-
-@query("er_merge")
-def er_merge(spark: SparkSession, d: str) -> DataFrame:
-    return resolved(spark, d)
-
-
 @query(
     "cap_violations",
     "select first_seen as day, category, count(*) as n from records where first_seen <> 'unknown' and category <> '' group by 1, 2 having count(*) > 5",
