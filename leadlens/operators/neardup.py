@@ -25,7 +25,16 @@ def classes(rows: DataFrame, identifier: str, block: str, tokens: Column) -> Dat
 def jaccard_pairs(rows: DataFrame, identifier: str, block: str, tokens: Column, threshold: float, least: int = 2) -> DataFrame:
     """``(a, b, similarity)`` between class representatives of one block, ``a < b``; sets under ``least`` tokens take no part."""
     sets = classes(rows, identifier, block, tokens).where(F.col(identifier) == F.col("rep")).where(F.size("tokens") >= least)
-    sets = materialise(sets.select(F.col("rep").alias("id"), block, "tokens"), "sets")
+    return _similar(sets.select(F.col("rep").alias("id"), block, "tokens"), block, threshold)
+
+
+def jaccard_texts(rows: DataFrame, identifier: str, block: str, tokens: Column, threshold: float) -> DataFrame:
+    """As ``jaccard_pairs``, between all rows: texts that differ though their token sets are equal are pairs too."""
+    return _similar(rows.select(F.col(identifier).alias("id"), block, F.array_distinct(tokens).alias("tokens")).where("size(tokens) > 0"), block, threshold)
+
+
+def _similar(sets: DataFrame, block: str, threshold: float) -> DataFrame:
+    sets = materialise(sets, "sets")
     each = sets.select("id", block, F.explode("tokens").alias("token"))
     rare = each.groupBy(block, "token").agg(F.count(F.lit(1)).alias("n"))
     ordered = each.join(rare, [block, "token"]).groupBy("id", block).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ordered"))

@@ -34,11 +34,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(rows: DataFrame, identifier: str, keys: str, most_rounds: int = 60) -> DataFrame:
-    """``(identifier, component)``: the smallest identifier of each row's component; rows without keys are their own.
+    """``(identifier, component)``: the smallest identifier of each row's component; rows without keys are their own."""
+    return from_edges(rows.select(identifier), identifier, edges_from_keys(rows, identifier, keys), most_rounds)
+
+
+def from_edges(rows: DataFrame, identifier: str, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """As ``components``, from edges ``(a, b)`` between identifiers.
 
     Rounds go on until nothing changes; a graph that is not done after ``most_rounds`` is an error.
     """
-    edges, before = materialise(edges_from_keys(rows, identifier, keys), "edges"), None
+    edges, before = materialise(edges, "edges"), None
     for _ in range(most_rounds):
         last, edges = edges, materialise(_star(_star(edges, True), False), "edges")
         release(last)

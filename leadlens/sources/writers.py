@@ -7,8 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.operators.joins import union_keep_first
-from leadlens.session import drop_path, scratch
+from leadlens.operators.joins import fresh, union_keep_first
+from leadlens.operators.windows import keep_first
+from leadlens.session import drop_path, materialise, scratch
 from leadlens.sources.readers import exists
 
 
@@ -26,6 +27,21 @@ def merge_append(new: DataFrame, path: str, key: list[str], order: list[Column])
     drop_path(spark, beside)
 
 
+def append_new(new: DataFrame, state: str, key: str, order: list[Column]) -> DataFrame:
+    """The first row of every key that the state has not; their keys are appended to the state, a folder."""
+    spark = new.sparkSession
+    first = keep_first(new, [key], order)
+    fresh_rows = materialise(fresh(first, spark.read.parquet(state), key) if exists(spark, state) else first, "new")
+    fresh_rows.select(key).write.mode("append").parquet(state)
+    return fresh_rows
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
+    """Write the tables of one set side by side, each in a folder of its name."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def append_audit(row: DataFrame, path: str) -> None:
     """Append one run's figures; totals are summed where the audit is read."""
     row.write.mode("append").parquet(path)

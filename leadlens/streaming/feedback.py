@@ -74,3 +74,36 @@ def first_seen(stream: DataFrame, key: str, at: str, out: str, checkpoint: str)
 def first_seen_table(spark: SparkSession, out: str, key: str, at: str) -> DataFrame:
     """The earliest time per key after all versions."""
     return spark.read.parquet(out).groupBy(key).agg(F.min(at).alias(at))
+
+
+def within_daily_budget(stream: DataFrame, component: str, at: str, calls: int) -> DataFrame:
+    """Calls that the budget of their component and day lets through, as they arrive; each day's state is its own, so it begins anew with the day."""
+    return rate_limited(stream, component, at, calls)
+
+
+def fault(action: Column, actor: Column, product: Column, snapshot: Column, largest: int) -> Column:
+    """The first constraint that an event breaks: "size" of its snapshot as JSON, "action" or "name"; null for a good one."""
+    size = F.length(F.coalesce(F.to_json(snapshot, {"ignoreNullFields": "false"}), F.lit("")))
+    named = (F.coalesce(actor, F.lit("")) != "") & (F.coalesce(product, F.lit("")) != "")
+    return F.when(size > largest, "size").when(~F.coalesce(F.lower(F.trim(action)).isin(*ACTIONS), F.lit(False)), "action").when(~named, "name")
+
+
+def run_append(stream: DataFrame, home: str) -> DataFrame:
+    """Run a stream that appends to its present end and return all it has written; called again with the same ``home`` it goes on."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{home}/out/run=none")
+    query = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{home}/state").foreachBatch(
+        lambda batch, n: batch.write.mode("overwrite").parquet(f"{home}/out/run={n}")
+    )
+    query.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/out").select(*stream.columns)
+
+
+def run_update(stream: DataFrame, home: str, key: list[str]) -> DataFrame:
+    """Run a stream of changed rows to its present end and return the latest row of every key."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{home}/out/version=-1")
+    write_versions(stream, f"{home}/out", f"{home}/state")
+    rows = spark.read.parquet(f"{home}/out")
+    whole = F.struct(*[c for c in stream.columns if c not in key])
+    return rows.groupBy(*key).agg(F.max_by(whole, "version").alias("_v")).select(*key, "_v.*")

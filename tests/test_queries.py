@@ -5,14 +5,14 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from leadlens.plans import catalog, decisions, general, projections, registry, rollups
+from leadlens.plans import catalog, decisions, files, general, projections, registry, rollups, selections, streams
 
 DATA = Path("/root/testdata/sf0.001")
 SQL = {**registry.SQL, **general.oracle_sql()}
 QUERIES = {**registry.QUERIES, **general.queries()}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-assert catalog and rollups and decisions and projections
+assert catalog and decisions and files and projections and rollups and selections and streams
 
 
 @pytest.fixture(scope="module")
