@@ -8,14 +8,15 @@ where it is read, so no document is shuffled. Hits are then extended: the senten
 a hit lies in is aligned with its place in the document.
 
 A sentence counts as held if most of its characters stand there in order and its names and figures
-do too; the same phrasing with other names and figures does not.
+do too; the same phrasing with other names and figures does not. Words that very many items have are no
+names; they are counted over all items first, so the blocks do not matter.
 """
 
 from __future__ import annotations
 
 import functools
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -23,12 +24,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leadlens.functions.unify import EXPANSIONS, look_pairs
+from leadlens.session import small_rows
 
 GRAM, WINDOW = 14, 8
 #: Least share of a sentence's characters in place, of its names and figures, and of the passage held.
 ALIGNED, ANCHORED, HELD = 0.7, 0.6, 0.45
+#: A capitalised word is no name if more than one of so many items has it, and more than ``FEW`` items.
+ONE_IN, FEW = 50, 2
 #: Evaluation items per block that is sent to the tasks.
 BLOCK = 20_000
 _SENTENCE = regex.compile(r"(?<=[.?!])\s+|(?<=[。？！])|\n+")
@@ -67,34 +72,41 @@ def fingerprints(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """The fingerprints and sentences of a block of evaluation items."""
+    """The fingerprints and sentences of a block of evaluation items; ``common`` words are no names."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], common: set[str] = frozenset()):
         self.ids = [i for i, _ in items]
-        self.sentences: list[list[tuple[str, list[str], int, int]]] = []
-        hashes, owners, places = [], [], []
-        capital = Counter(w for _, p in items for w in set(_ANCHOR.findall(p)))
-        common = max(2, len(items) // 50)
+        self.sentences: list[list[tuple[str, list[str]]]] = []
+        hashes, owners, places, ends, characters = [], [], [], [], []
+        base = 0
+        self.first: list[int] = []  # of each item its first sentence among all
         for n, (_, passage) in enumerate(items):
-            cut, begin = [], 0
+            cut: list[tuple[str, list[str]]] = []
             for sentence in _SENTENCE.split(passage):
                 plain = one_form(sentence)
                 if plain:
-                    anchors = [one_form(a) for a in _ANCHOR.findall(sentence) if capital[a] <= common or a[0].isdigit()]
-                    size = len(plain.encode())
-                    cut.append((plain, [a for a in anchors if a], begin, begin + size))
-                    begin += size
+                    anchors = [one_form(a) for a in _ANCHOR.findall(sentence) if a not in common or a[0].isdigit()]
+                    cut.append((plain, [a for a in anchors if a]))
+            self.first.append(len(ends))
             self.sentences.append(cut)
             h, at = fingerprints("".join(c[0] for c in cut).encode())
             hashes.append(h)
             owners.append(np.full(len(h), n))
-            places.append(at)
+            places.append(at + base)
+            for plain, _ in cut:
+                data = np.frombuffer(plain.encode(), np.uint8)
+                characters.append(np.cumsum((data & 0xC0) != 0x80) - 1)  # of every byte, its character in the sentence
+                base += len(data)
+                ends.append(base)
         joined = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.argsort(joined, kind="stable")
         self.hashes = joined[order]
-        self.owners = np.concatenate([np.zeros(0, np.int64), *owners])[order].astype(np.int64)
-        self.places = np.concatenate([np.zeros(0, np.int64), *places])[order].astype(np.int64)
-        self.ends = [np.array([c[3] for c in s]) for s in self.sentences]
+        owner = np.concatenate([np.zeros(0, np.int64), *owners])[order].astype(np.int64)
+        place = np.concatenate([np.zeros(0, np.int64), *places])[order].astype(np.int64)
+        at = np.searchsorted(np.array(ends, np.int64), place, "right")
+        inside = np.concatenate([np.zeros(0, np.int64), *characters])[place]
+        self.owner, self.inside = owner, inside
+        self.sentence = at - np.array([*self.first, 0], np.int64)[owner]
 
     def _holds(self, plain: str, sentence: str, anchors: list[str], places: set[int]) -> bool:
         if anchors:
@@ -129,21 +141,24 @@ class Items:
         if not len(hit):
             return []
         characters = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
+        # every pair of a hit and an item's fingerprint at once
+        many = count[hit]
+        pair = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        where = np.repeat(characters[at[hit]], many) - self.inside[pair]
         found: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for i in hit:
-            for j in range(low[i], low[i] + count[i]):
-                owner = int(self.owners[j])
-                place = int(self.places[j])
-                s = int(np.searchsorted(self.ends[owner], place, "right"))
-                sentence, _, begin, _ = self.sentences[owner][s]
-                inside = len(sentence.encode()[: place - begin].decode(errors="ignore"))
-                found[owner][s].add(int(characters[at[i]]) - inside)
+        for owner, s, place in zip(self.owner[pair].tolist(), self.sentence[pair].tolist(), where.tolist()):
+            found[owner][s].add(place)
         out = []
         for owner, by in found.items():
             sentences = self.sentences[owner]
             whole = sum(len(c[0]) for c in sentences)
+            # a sentence can only be held if most of its names stand in the text; an item whose sentences do not suffice is passed over
+            able = [s for s, (_, anchors) in enumerate(sentences) if (sum(a in plain for a in anchors) >= ANCHORED * len(anchors) if anchors else s in by)]
+            if max(sum(len(sentences[s][0]) for s in able) / whole, len(able) / len(sentences)) < HELD:
+                continue
             held = count_held = 0
-            for s, (sentence, anchors, _, _) in enumerate(sentences):
+            for s in able:
+                sentence, anchors = sentences[s]
                 places = by.get(s, set())
                 if (places or any(len(a) >= 5 for a in anchors)) and self._holds(plain, sentence, anchors, set(places)):
                     held += len(sentence)
@@ -153,6 +168,19 @@ class Items:
         return out
 
 
+def common_words(items: DataFrame, passage: str) -> set[str]:
+    """Capitalised words of more than one in ``ONE_IN`` items and more than ``FEW``; of an item's words only as many can be that common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for p in batch.column(0).to_pylist() for w in {*_ANCHOR.findall(p)}], pa.string())], names=["word"])
+
+    texts = items.select(F.col(f"`{passage}`").alias("p")).where("p is not null")
+    least = max(FEW, texts.count() // ONE_IN)
+    counts = texts.mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r.word for r in small_rows(counts.where(F.col("n") > least).select("word"))}
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item: str, passage: str) -> DataFrame:
     """``(key, item)``: documents that hold about half or more of an item's passage, sentence by sentence.
 
@@ -163,12 +191,13 @@ def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item: str
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     rows = items.select(item, passage).where(f"`{item}` is not null and `{passage}` is not null").toLocalIterator()
     parts, held = [], []
+    common = common_words(items.where(f"`{item}` is not null"), passage)
 
     def joined(block: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast((block, common))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Items(sent.value)
+            index = Items(*sent.value)
             for batch in batches:
                 docs, found = [], []
                 for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
