@@ -49,7 +49,10 @@ def _table() -> dict[int, str]:
 
 def one_form(text: str) -> str:
     """Letters and digits of a text, of one look, without case, blanks, marks and punctuation."""
-    folded = unicodedata.normalize("NFC", _DROPPED.sub("", text)).translate(_table())
+    bare = _DROPPED.sub("", text)
+    if bare.isascii():
+        return bare.lower()
+    folded = unicodedata.normalize("NFC", bare).translate(_table())
     return _DROPPED.sub("", folded).lower()
 
 

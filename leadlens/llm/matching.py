@@ -11,7 +11,7 @@ of characters. A token can name a product if it is seldom written in lower case,
 sources and keeps to one category; brands and dress words fail the last, plain words the first. These
 figures are counted over all listings. A word that only one source uses counts for a commoner one if
 it has a letter too many or too few, or two neighbours exchanged, and category and size are the same. A listing
-that no word names is told by its pairs of characters and the short words of its title: of n that can
+without a long word is told by its pairs of characters and the short words of its title: of n that can
 name a product (those that stand with different names are words for a kind), the combinations of n and
 of n - 1. Nothing is collected: each step is an aggregation or an equi-join, and pairs are only formed
 between listings of one product. Aggregations carry hashes where they can, so that they need no sort.
@@ -86,7 +86,9 @@ def read(title: str | None, reason: str | None, url: str | None, lower: list[str
                 signs[f"={form}"] = None
     for w in _SLUG.findall(url or ""):
         names[f"/{w}"] = None
-    if not head.isascii():
+    if names:
+        signs.clear()
+    elif not head.isascii():
         for run in _RUN.findall(listing.unmeasured(_DRESS.sub(" ", head))):
             signs |= dict.fromkeys(run[i : i + 2] for i in range(len(run) - 1))
     return list(names), kind, value, listing.is_accessory(low_head) or listing.is_accessory(body[:24].lower()), list(signs)
@@ -158,16 +160,12 @@ def spellings(names: DataFrame) -> DataFrame:
 
 def by_signs(main: DataFrame, voted: DataFrame, generic: DataFrame) -> DataFrame:
     """``(id, owner, kind, size, name)`` of the listings without a name (not in ``voted``) that share the combination of their pairs of characters, or all but one of them, with another source."""
-    rows = main.where("size(signs) > 0").select("row", "id", "owner", "category", "kind", "size", "signs", "names")
-    word = F.get(F.filter("names", lambda n: ~F.startswith(n, F.lit("/"))), F.lit(0))  # the first long word, if there is one
-    each = rows.select(F.xxhash64("owner").alias("owner"), "category", F.when(word.isNotNull(), F.xxhash64(word)).alias("word"), F.explode("signs").alias("sign"))
-    counts = each.groupBy("sign", "category").agg(
-        F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.min("word").alias("a"), F.max("word").alias("b")
-    )
-    whole = {"n": F.sum("n"), "top": F.max("n"), "low": F.min("low"), "high": F.max("high"), "a": F.min("a"), "b": F.max("b")}
-    kept = counts.groupBy("sign").agg(*[v.alias(k) for k, v in whole.items()]).where("low < high and (a is null or a = b)")
+    rows = main.where("size(signs) > 0").select("row", "id", "owner", "category", "kind", "size", "signs")
+    each = rows.select(F.xxhash64("owner").alias("owner"), "category", F.explode("signs").alias("sign"))
+    counts = each.groupBy("sign", "category").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"))
+    kept = counts.groupBy("sign").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     kept = kept.where(F.col("top") + 1 >= ONE_CATEGORY * F.col("n")).select("sign").join(generic.select(F.concat(F.lit("="), "plain").alias("sign")), "sign", "left_anti")
-    bare = rows.select("row", "id", "owner", "kind", "size", F.explode("signs").alias("sign")).join(materialise(kept, "kept"), "sign").join(voted.select("row"), "row", "left_anti")
+    bare = rows.select("row", "id", "owner", "kind", "size", F.explode("signs").alias("sign")).join(kept, "sign").join(voted.select("row"), "row", "left_anti")
     bare = bare.groupBy("row").agg(
         F.collect_set(F.xxhash64("sign")).alias("signs"), F.max(F.startswith("sign", F.lit("="))).alias("word"), *[F.first(c).alias(c) for c in ("id", "owner", "kind", "size")]
     ).where((F.size("signs") >= SIGNS) | F.col("word"))
