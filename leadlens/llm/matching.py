@@ -12,9 +12,9 @@ sources and keeps to one category; brands and dress words fail the last, plain w
 figures are counted over all listings. A word that only one source uses counts for a commoner one if
 it has a letter too many or too few, or two neighbours exchanged, and category and size are the same. A listing
 without a long word is told by its pairs of characters and the short words of its title: of n that can
-name a product (those that stand with different names are words for a kind), the combinations of n and
-of n - 1. Nothing is collected: each step is an aggregation or an equi-join, and pairs are only formed
-between listings of one product. Aggregations carry hashes where they can, so that they need no sort.
+name a product, the combinations of n and of n - 1. Nothing is collected: each step is an aggregation
+or an equi-join, and pairs are only formed between listings of one product. Aggregations carry hashes
+where they can, so that they need no sort.
 """
 
 from __future__ import annotations
