@@ -206,13 +206,13 @@ def clusters(rows: DataFrame) -> DataFrame:
     generic = materialise(generic.where(F.col("uses") > LOWER * F.col("raised")).select("plain"), "generic")
     step = F.floor(F.log(F.col("size")) / F.lit(math.log(STEP))) + F.crc32(F.col("kind"))
     bit = F.when(F.col("kind").isNotNull(), F.expr("shiftleft(1L, cast(pmod(_step, 63) as int))")).otherwise(F.lit(0).cast("long"))
-    words = main.withColumn("_step", step).select("row", "owner", "category", bit.alias("bit"), F.posexplode("names").alias("place", "name")).where("not startswith(name, '/')")
+    words = main.withColumn("_step", step).select("row", F.xxhash64("owner").alias("owner"), "category", bit.alias("bit"), F.posexplode("names").alias("place", "name")).where("not startswith(name, '/')")
     part = F.split("name", " ")
     words = words.withColumns({"_a": part[0], "_b": F.get(part, F.lit(1))})
     for c in ("_a", "_b"):
         words = words.join(generic.withColumnRenamed("plain", c), c, "left_anti")
     by_category = words.groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("name"), "category").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("owner")).alias("low"), F.max(F.xxhash64("owner")).alias("high"), F.sum("place").alias("places"), F.bit_or("bit").alias("bits"), F.max(~F.contains("name", F.lit(" "))).alias("alone")
+        F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.sum("place").alias("places"), F.bit_or("bit").alias("bits"), F.max(~F.contains("name", F.lit(" "))).alias("alone")
     )
     whole = {"n": F.sum("n"), "top": F.max("n"), "low": F.min("low"), "high": F.max("high"), "places": F.sum("places"), "bits": F.bit_or("bits"), "alone": F.max("alone")}
     # the commonest category by its count and 40 bits of its hash, in one number
@@ -226,13 +226,11 @@ def clusters(rows: DataFrame) -> DataFrame:
     known = materialise(known.where("as is not null").select("name", "as", "n", score.alias("score")), "known")
 
     # combinations of one name and the size, and of two names
-    sized = main.select("row", "id", "owner", "kind", "size", F.explode("names").alias("name"))
     alone = ~F.col("name").rlike("[ /]")  # two words and words of an address are taken as they stand
-    sized = sized.withColumns({"alone": alone, "name": F.translate("name", " /", "")}).join(known, "name").where("alone or `as` = name").select("row", "id", "owner", "kind", "size", F.col("as").alias("name"), "n", "score")
-    sized = materialise(sized, "sized")
-    best = F.max(F.struct("score", "n", "name")).alias("best")
-    voted = sized.groupBy("row").agg(best, F.collect_set("name").alias("all"), *[F.first(c).alias(c) for c in ("id", "owner", "kind", "size")])
-    voted = materialise(voted.withColumn("name", F.col("best.name")), "votes")
+    sized = main.select("row", F.explode("names").alias("name")).withColumns({"alone": alone, "name": F.translate("name", " /", "")})
+    sized = sized.join(known, "name").where("alone or `as` = name").select("row", F.col("as").alias("name"), "n", "score")
+    best = sized.groupBy("row").agg(F.max(F.struct("score", "n", "name"))["name"].alias("name"), F.collect_set("name").alias("all"))
+    voted = materialise(best.join(main.select("row", "id", "owner", "kind", "size"), "row"), "votes")
     signed = by_signs(main, voted, generic)
 
     # names that stand for each other: the rarer one takes the place of the commoner
@@ -245,7 +243,7 @@ def clusters(rows: DataFrame) -> DataFrame:
     alias = last_of(alias.groupBy("name").agg(F.max(F.struct("m", "n_other", "other"))["other"].alias("as")))
     placed = voted.join(alias, "name", "left").withColumn("name", F.coalesce("as", "name")).select("id", "owner", "kind", "size", "name")
     done, voted = voted, materialise(placed.union(signed), "voted")
-    release(parsed, generic, names, known, sized, done, alias)
+    release(parsed, generic, names, known, done, alias)
 
     # one size within the tolerance
     measures = voted.where("kind is not null").select("name", "kind", F.round("size", 1).alias("size")).distinct()
