@@ -1,10 +1,11 @@
 """Problem 8: encode the corpus with a public byte-level BPE.
 
 Method: the pieces of a batch of texts go into padded numpy matrices, bucketed by length; each
-round every row merges its leftmost pair of minimum rank, found by a hashed pair lookup, and rows
-without a pair that merges leave the matrix. In rows of over ``LONG`` bytes a round merges every
-occurrence of that pair from left to right, which gives the same ids, as a pair with the merged
-token ranks later. A text that is null or empty gives an empty list.
+round every row merges its pair of minimum rank, found by a hashed pair lookup, and rows without a
+pair that merges leave the matrix. All occurrences of the pair that do not overlap are merged in one
+round, from the left: a pair with the merged token ranks later, so the ids are those of one merge a
+round, and a long piece takes no more rounds than it has different pairs. A text that is null or empty
+gives an empty list.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG = 64
 #: Cells of one matrix, and pieces kept in a worker's memory.
 CELLS = 1 << 21
 KEPT = 1 << 18
@@ -84,58 +84,44 @@ class Bpe:
             todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out.reshape(left.shape)
 
-    def _short(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Ids of the rows of a padded matrix: one merge a row and round."""
+    def _merged(self, ids: np.ndarray) -> list[np.ndarray]:
+        """Ids of the rows of a padded matrix: all occurrences of a row's pair of minimum rank a round."""
         done: list[np.ndarray] = [None] * len(ids)  # type: ignore[list-item]
         rows = np.arange(len(ids))
-        ranks = self.rank(ids[:, :-1], ids[:, 1:])
+        ranks = np.full(ids.shape, _NONE, np.int32)  # of every token and the next one
+        ranks[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
         while len(rows):
-            at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(rows)), at]
+            best = ranks.min(axis=1)
             over = best == _NONE
-            for i in np.flatnonzero(over):
-                done[rows[i]] = ids[i][ids[i] >= 0]
             if over.any():
-                rows, ids, at, best, ranks = rows[~over], ids[~over], at[~over], best[~over], ranks[~over]
+                for i in np.flatnonzero(over):
+                    done[rows[i]] = ids[i][ids[i] >= 0]
+                rows, ids, best, ranks = rows[~over], ids[~over], best[~over], ranks[~over]
                 if not len(rows):
                     break
-                width = int((ids >= 0).sum(axis=1).max())
-                ids, ranks = ids[:, :width], ranks[:, : max(1, width - 1)]
-            every = np.arange(len(rows))
-            ids[every, at] = self.merged[best]
-            keep = np.arange(ids.shape[1] - 1)
-            after = keep[None, :] > at[:, None]
-            ids = np.where(after, ids[:, 1:], ids[:, :-1])
-            if ids.shape[1] == 1:
-                for i, row in enumerate(rows):
-                    done[row] = ids[i]
-                break
-            ranks = np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1])
-            for side in (at - 1, at):  # only the pairs beside the merge are new
-                on = (side >= 0) & (side < ids.shape[1] - 1)
-                ranks[every[on], side[on]] = self.rank(ids[every[on], side[on]], ids[every[on], side[on] + 1])
-            tail = ids.shape[1] - 2
-            ranks[ids[:, tail + 1] < 0, tail] = _NONE
+            place = np.arange(ids.shape[1])
+            hits = ranks == best[:, None]
+            begins = hits.copy()
+            begins[:, 1:] &= ~hits[:, :-1]
+            # of a run of hits that overlap every other one counts, from its begin
+            hits &= (place - np.maximum.accumulate(np.where(begins, place, 0), axis=1)) % 2 == 0
+            ids = np.where(hits, self.merged[best][:, None], ids)
+            keep = ids >= 0
+            keep[:, 1:] &= ~hits[:, :-1]
+            counts = keep.sum(axis=1)
+            to = (np.cumsum(keep, axis=1) - 1)[keep]
+            of = np.repeat(np.arange(len(rows)), counts)
+            shape = (len(rows), int(counts.max()))
+            moved, old, new = np.full(shape, -1, np.int32), np.full(shape, _NONE, np.int32), np.zeros(shape, bool)
+            moved[of, to], old[of, to], new[of, to] = ids[keep], ranks[keep], hits[keep]
+            ids, ranks = moved, old
+            new[:, :-1] |= new[:, 1:]  # only pairs with a merged token have another rank
+            new[:, -1] = False
+            ranks[:, -1] = _NONE
+            row, at = np.nonzero(new)
+            ranks[row, at] = self.rank(ids[row, at], ids[row, at + 1])
         return done
 
-    def _long(self, ids: np.ndarray) -> np.ndarray:
-        """Ids of one long row: all occurrences of the minimum-rank pair a round."""
-        ranks = self.rank(ids[:-1], ids[1:])
-        while len(ids) > 1:
-            best = ranks.min()
-            if best == _NONE:
-                break
-            hits = np.flatnonzero(ranks == best)
-            runs = np.concatenate([[0], np.cumsum(np.diff(hits) > 1)])
-            first = hits[np.concatenate([[0], np.flatnonzero(np.diff(runs)) + 1])]
-            hits = hits[(hits - first[runs]) % 2 == 0]  # of overlapping ones every other
-            ids[hits] = self.merged[best]
-            keep = np.ones(len(ids), bool)
-            keep[hits + 1] = False
-            ids = ids[keep]
-            ranks = self.rank(ids[:-1], ids[1:])
-        return ids
-
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of every piece; pieces should be distinct."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
@@ -143,9 +129,7 @@ class Bpe:
         out: list[np.ndarray] = [None] * len(raw)  # type: ignore[list-item]
         for i in np.flatnonzero(sizes == 1):
             out[i] = self.byte_ids[[raw[i][0]]]
-        for i in np.flatnonzero(sizes > LONG):
-            out[i] = self._long(self.byte_ids[np.frombuffer(raw[i], np.uint8)])
-        order = np.flatnonzero((sizes > 1) & (sizes <= LONG))
+        order = np.flatnonzero(sizes > 1)
         order = order[np.argsort(sizes[order], kind="stable")]
         low = 0
         while low < len(order):
@@ -157,7 +141,7 @@ class Bpe:
             matrix = np.full((len(chosen), width), -1, np.int32)
             inside = np.arange(width)[None, :] < sizes[chosen][:, None]
             matrix[inside] = self.byte_ids[np.frombuffer(b"".join(raw[i] for i in chosen), np.uint8)]
-            for i, ids in zip(chosen, self._short(matrix)):
+            for i, ids in zip(chosen, self._merged(matrix)):
                 out[i] = ids
             low = top
         return out
