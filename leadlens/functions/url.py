@@ -56,11 +56,12 @@ def canonical(c: Column) -> Column:
     )
     kept = F.filter(pairs, lambda p: ~p["k"].isin(*TRACKING) & ~p["k"].startswith("utm_"))
     query = F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
+    path = F.regexp_replace(F.regexp_extract(u, _PATH, 1), "/+$", "")
     body = F.concat(
         F.when(scheme == "", "https").otherwise(scheme),
-        F.lit("://"),
+        F.when((host(u) == "") & path.rlike("^[^/]"), ":").otherwise("://"),  # a path alone gets no authority
         host(u),
-        F.regexp_replace(F.regexp_extract(u, _PATH, 1), "/+$", ""),
+        path,
         F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
     )
     return F.when(u == "", "").otherwise(body)

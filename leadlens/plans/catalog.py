@@ -34,7 +34,7 @@ pieces as (
     list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+')) as pairs
   from parts),
 canon as (
-  select ordinal, source, host, path, case when u = '' then '' else case when scheme = '' then 'https' else scheme end || '://' || host || path ||
+  select ordinal, source, host, path, case when u = '' then '' else case when scheme = '' then 'https' else scheme end || case when host = '' and regexp_matches(path, '^[^/]') then ':' else '://' end || host || path ||
     case when len(kept) = 0 then '' else '?' || array_to_string(list_transform(kept, lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') end end as url
   from (select *, list_filter(list_transform(pairs, lambda p: {'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(p, instr(p, '=') + 1), '+', ' '))}), lambda p: not starts_with(p.k, 'utm_') and p.k not in
     ('spm', 'fbclid', 'gclid', 'xsec_token', 'xsec_source', 'share_from_user_hidden', 'share_id', 'share_sign', 'timestamp')) as kept from pieces))

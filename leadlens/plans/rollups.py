@@ -475,5 +475,6 @@ def rotated_by_day(spark: SparkSession, d: str) -> DataFrame:
 )
 def interleaved(spark: SparkSession, d: str) -> DataFrame:
     """The first five of every category in turns: a report of bounded size, numbered."""
-    turns = round_robin(spark, d).where("turn <= 5")
+    rows = table(spark, d, "records").where("category <> ''").select("ordinal", "category", "score")
+    turns = windows.top_k(rows, ["category"], [F.desc_nulls_last("score"), F.asc("ordinal")], 5, "turn")
     return turns.select("ordinal", "category", F.row_number().over(Window.orderBy("turn", "category")).cast("long").alias("place"))
