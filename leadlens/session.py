@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -120,6 +121,12 @@ def release(*written: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver drop what it no longer uses: shuffle files of finished jobs go with it, which else stay until it happens to be short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def together(*jobs: Callable[[], T]) -> list[T]:
     """The results of jobs that do not wait for each other, run at the same time."""
     own = inheritable_thread_target(SparkSession.active())
