@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlens.llm import listing
-from leadlens.session import drop_path, exists, make_dir, materialise, read_text, release, scratch, write_text
+from leadlens.session import drop_path, exists, let_go, make_dir, materialise, read_text, release, scratch, write_text
 
 #: Least words of a title, without the one left out, for a band; and words that a cut-off title may lack.
 BAND_WORDS, CUT_WORDS = 2, 4
@@ -282,6 +282,7 @@ def replay(spark: SparkSession, rows: DataFrame) -> DataFrame:
         chosen = F.col("batch").between(known[0], known[-1]) if known else F.lit(False)
         chosen = chosen | F.col("batch").isNull() if None in numbers else chosen
         found.append(index.accept(rows.where(chosen)))
+        let_go(spark)
     if not found:
         return rows.select("id").where("false")
     index.drop()
