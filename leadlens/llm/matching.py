@@ -145,22 +145,23 @@ def spellings(names: DataFrame) -> DataFrame:
     met = forms.groupBy("form").agg(F.min("_h").alias("a"), F.max("_h").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b")
     met = materialise(met, "forms")
     # mostly two names have a form; of more, and they are few, all are taken
-    several = forms.join(met.where("k > 2").select("form"), "form")
-    pairs = met.where("k = 2").select("a", "b").union(several.select("form", F.col("_h").alias("a")).join(several.select("form", F.col("_h").alias("b")), "form").where("a <> b").select("a", "b"))
-    pairs = pairs.union(pairs.select("b", "a")).distinct()
+    several = materialise(forms.join(met.where("k > 2").select("form"), "form"), "several")
+    more = several.select("form", F.col("_h").alias("a")).join(several.select("form", F.col("_h").alias("b")), "form").where("a < b").select("a", "b")
+    pairs = materialise(met.where("k = 2").select("a", "b").union(more).distinct(), "pairs")
+    pairs = pairs.union(pairs.select("b", "a"))
     full = names.select("name", "n", "shared", "bits", F.xxhash64("name").alias("_h"))
     one = pairs.join(full.where("not shared").withColumnRenamed("_h", "a"), "a").join(full.select(*[F.col(c).alias(f"_{c}") for c in ("name", "n", "shared", "bits")], F.col("_h").alias("b")), "b")
     sorted_ = lambda c: F.array_sort(F.split(c, ""))
     one = one.where("bits = 0 or _bits = 0 or (bits & _bits) <> 0").where((F.length("name") != F.length("_name")) | (sorted_("name") == sorted_("_name")))
     one = one.where(F.struct("_shared", "_n", "_name") > F.struct("shared", "n", "name"))
     found = materialise(one.groupBy("name").agg(F.max(F.struct("_shared", "_n", "_name"))["_name"].alias("as")), "spellings")
-    release(met)
+    release(met, several)
     return found
 
 
 def by_signs(main: DataFrame, voted: DataFrame, generic: DataFrame) -> DataFrame:
     """``(id, owner, kind, size, name)`` of the listings without a name (not in ``voted``) that share the combination of their pairs of characters, or all but one of them, with another source."""
-    rows = main.where("size(signs) > 0").select("row", "id", "owner", "category", "kind", "size", "signs")
+    rows = materialise(main.where("size(signs) > 0").select("row", "id", "owner", "category", "kind", "size", "signs"), "signed")
     each = rows.select(F.xxhash64("owner").alias("owner"), "category", F.explode("signs").alias("sign"))
     counts = each.groupBy("sign", "category").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"))
     kept = counts.groupBy("sign").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
@@ -207,14 +208,17 @@ def clusters(rows: DataFrame) -> DataFrame:
     step = F.floor(F.log(F.col("size")) / F.lit(math.log(STEP))) + F.crc32(F.col("kind"))
     bit = F.when(F.col("kind").isNotNull(), F.expr("shiftleft(1L, cast(pmod(_step, 63) as int))")).otherwise(F.lit(0).cast("long"))
     words = main.withColumn("_step", step).select("row", F.xxhash64("owner").alias("owner"), "category", bit.alias("bit"), F.posexplode("names").alias("place", "name")).where("not startswith(name, '/')")
+    figures = {"n": F.sum("n"), "low": F.min("low"), "high": F.max("high"), "places": F.sum("places"), "bits": F.bit_or("bits"), "alone": F.max("alone")}
+    counted = words.groupBy("name", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.sum("place").alias("places"), F.bit_or("bit").alias("bits")
+    )
+    # words as they are written, in two where there are two, are held against the plain ones after they are counted
     part = F.split("name", " ")
-    words = words.withColumns({"_a": part[0], "_b": F.get(part, F.lit(1))})
+    counted = counted.withColumns({"_a": part[0], "_b": F.get(part, F.lit(1)), "alone": ~F.contains("name", F.lit(" "))})
     for c in ("_a", "_b"):
-        words = words.join(generic.withColumnRenamed("plain", c), c, "left_anti")
-    by_category = words.groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("name"), "category").agg(
-        F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.sum("place").alias("places"), F.bit_or("bit").alias("bits"), F.max(~F.contains("name", F.lit(" "))).alias("alone")
-    )
-    whole = {"n": F.sum("n"), "top": F.max("n"), "low": F.min("low"), "high": F.max("high"), "places": F.sum("places"), "bits": F.bit_or("bits"), "alone": F.max("alone")}
+        counted = counted.join(generic.withColumnRenamed("plain", c), c, "left_anti")
+    by_category = counted.groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("name"), "category").agg(*[v.alias(k) for k, v in figures.items()])
+    whole = {**figures, "top": F.max("n")}
     # the commonest category by its count and 40 bits of its hash, in one number
     packed = F.shiftleft(F.least("n", F.lit((1 << 22) - 1)), 40) + F.xxhash64("category").bitwiseAND((1 << 40) - 1)
     names = by_category.groupBy("name").agg(*[v.alias(k) for k, v in whole.items()], F.max(packed).bitwiseAND((1 << 40) - 1).alias("category"))
