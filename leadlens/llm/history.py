@@ -82,8 +82,8 @@ class Keys:
             self.words[w] = _h("w" + w)
         return self.words[w]
 
-    def of(self, title: str | None, url: str | None, owner: str | None) -> tuple[list[int], int | None, list[str] | None, int, bool]:
-        """(exact keys, key of the title in its order, its words, hash of owner and kind of offer, whether it is cut off).
+    def of(self, title: str | None, url: str | None, owner: str | None) -> tuple[list[int], int | None, list[str] | None, int, bool, bool]:
+        """(exact keys, key of the title in its order, its words, hash of the owner, whether it is cut off, whether it offers an accessory).
 
         The title's key is one of the exact keys; it and the words are null where a title is too short to be compared but exactly."""
         exact: list[int] = []
@@ -91,52 +91,53 @@ class Keys:
         if page:
             exact.append(_signed(_h("p" + page)))
         if not title or not owner:
-            return exact, None, None, 0, False
+            return exact, None, None, 0, False, False
         bare, cut = listing.undressed(title, owner)
         words = listing.without_site(listing.tokens(bare), owner)
         if listing.only_site(words, bare, owner):
-            return exact, None, None, 0, False
+            return exact, None, None, 0, False, False
         base, known = self._word("\0" + owner), self.words
         hashes = [known[w] if w in known else self._word(w) for w in words]
         whole = base + sum(hashes)
         exact.append(_signed(whole * 2 + 1 if cut else whole))
         if len(words) <= BAND_WORDS + cut:
-            return exact, None, None, 0, False
-        # a title cut off before "lid only" names the whole product, so accessories begin otherwise
-        running = start = base + listing.is_accessory(bare)
+            return exact, None, None, 0, False, False
+        extra = listing.is_accessory(bare)
+        running = base + extra
         for h in hashes:
             running = (running * 0x100000001B3 + h) & _MASK
         key = _signed(running ^ cut ^ 0x9E3779B97F4A7C15)
         exact.append(key)
-        return exact, key, words, start & _SUMMED, cut
+        return exact, key, words, base & _SUMMED, cut, extra
 
 
 def keyed(rows: DataFrame, identifier: str, title: str, url: str, owner: str, domains: dict[str, str], batch: str | None = None) -> DataFrame:
-    """``(id, batch, exact, title, words, start, cut)`` of every row, as ``Keys.of`` gives them."""
+    """``(id, batch, exact, title, words, owner, cut, extra)`` of every row, as ``Keys.of`` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(domains)
         for part in batches:
-            found = list(zip(*[keys.of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))])) or [()] * 5
-            types = (pa.list_(pa.int64()), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.bool_())
+            found = list(zip(*[keys.of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))])) or [()] * 6
+            types = (pa.list_(pa.int64()), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.bool_())
             columns = [pa.array(c, t) for c, t in zip(found, types)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "batch", "exact", "title", "words", "start", "cut"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "batch", "exact", "title", "words", "owner", "cut", "extra"])
 
     number = F.col(batch).cast("long") if batch else F.lit(None).cast("long")
     wanted = rows.select(F.col(identifier).cast("long").alias("id"), number.alias("batch"), title, url, owner)
-    return wanted.mapInArrow(run, "id bigint, batch bigint, exact array<bigint>, title bigint, words array<string>, start bigint, cut boolean")
+    return wanted.mapInArrow(run, "id bigint, batch bigint, exact array<bigint>, title bigint, words array<string>, owner bigint, cut boolean, extra boolean")
 
 
 def parts_of(titles: DataFrame) -> DataFrame:
-    """``(id, key, kind, word)`` of titles with id, words, start and cut.
+    """``(id, key, kind, word)`` of titles with id, words, owner, cut and extra.
 
     A band is the sum of all words but one, with the word left out; words that begin with a digit are
     never left out, as another size is another post. A beginning goes up to some words before the
-    end, with the next word.
+    end, with the next word; a title cut off before "lid only" names the whole product, so accessories
+    begin otherwise.
     """
     count, word = F.size("words"), F.col("words")
     summed = titles.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit(_SUMMED))))
-    summed = summed.withColumn("whole", F.aggregate("hashes", F.col("start"), lambda a, h: a + h))
+    summed = summed.withColumn("whole", F.aggregate("hashes", F.col("owner"), lambda a, h: a + h))
     part = lambda key, kind, w: F.struct(key.alias("key"), kind.cast("int").alias("kind"), w.alias("word"))
     left_out = F.array_distinct(F.zip_with("words", "hashes", lambda w, h: part(F.col("whole") - h, F.lit(BAND), w)))
     bands = F.when(F.col("cut"), F.array().cast("array<struct<key:bigint,kind:int,word:string>>")).otherwise(F.filter(left_out, lambda p: ~p["word"].rlike("^[0-9]")))
@@ -144,7 +145,7 @@ def parts_of(titles: DataFrame) -> DataFrame:
     last = F.when(F.col("cut"), count - 1).otherwise(count)
     begun = F.transform(
         F.sequence(first, last),
-        lambda m: part(F.xxhash64("start", F.slice(word, F.lit(1), m)), F.when(F.col("cut"), CUT_OFF).otherwise(BEGINNING), F.coalesce(F.get(word, m), F.lit(""))),
+        lambda m: part(F.xxhash64("owner", "extra", F.slice(word, F.lit(1), m)), F.when(F.col("cut"), CUT_OFF).otherwise(BEGINNING), F.coalesce(F.get(word, m), F.lit(""))),
     )
     return summed.select("id", F.inline(F.concat(bands, begun)))
 
@@ -222,7 +223,7 @@ class History:
         first = self._bucketed(exact.groupBy("key").agg(F.min("id").alias("id"))).join(older, F.expr("key = _key and _id < id"), "left_anti")
         self._write("exact", first, step)
         added = self.spark.table(self.names["exact"]).where(F.col("step") == step).select(F.col("key").alias("title"), "id")
-        fresh = rows.where("title is not null").select("title", "id", "words", "start", "cut").repartition(self.state["buckets"], "title")
+        fresh = rows.where("title is not null").select("title", "id", "words", "owner", "cut", "extra").repartition(self.state["buckets"], "title")
         self._write("parts", self._bucketed(parts_of(fresh.join(added.hint("shuffle_hash"), ["title", "id"], "left_semi"))), step)
 
         known = self.spark.table(self.names["exact"]).where(F.col("step") <= step).select("key", F.col("id").alias("least"))

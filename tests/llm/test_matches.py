@@ -111,6 +111,14 @@ def test_titles_of_repeated_pages_stay_in_the_index(spark):
         assert found == {2, 3, 4, 6, 7, 9, 10}, calls
 
 
+def test_a_misspelled_word_may_be_the_one_that_tells_an_accessory(spark):
+    rows = [(1, "Replacement lid for Pellova GegaPuha 650 ml", None, SHOP), (2, "Relacement lid for Pellova GegaPuha 650 ml", None, SHOP), (3, "Pellova GegaPuha 650 ml: lid olny", None, SHOP), (4, "Pellova GegaPuha 650 ml: lid only", None, SHOP)]
+    keys = history.keyed(spark.createDataFrame(rows, "ordinal long, title string, url string, owner string"), "ordinal", "title", "url", "owner", {})
+    index = history.History(spark)
+    assert {r.id for r in index.accept(keys).collect()} == {2, 4}
+    index.drop()
+
+
 def test_within_one():
     assert all(listing.within_one(a, b) for a, b in [("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("ab", "axb"), ("abc", "axc")])
     assert not any(listing.within_one(a, b) for a, b in [("abcd", "badc"), ("abc", "a"), ("abc", "xyc")])
