@@ -214,7 +214,7 @@ class Consensus:
             self.posterior().withColumn("_pass", passed).withColumn("verdict", verdict)
             .select(
                 unpack_id(F.col("item")).alias("item"), "votes", "verdict", F.when(F.col("verdict") == "pass", named).alias("reason"),
-                F.greatest("_pass", F.col("p0").cast("double")).alias("confidence"),
+                F.least(F.greatest("_pass", F.col("p0").cast("double")), F.lit(1.0)).alias("confidence"),
                 (F.when(F.col("verdict") == "pass", F.col("passes")).otherwise(F.col("votes") - F.col("passes")) / F.col("votes")).alias("agreement"),
             )
         )
