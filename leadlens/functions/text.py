@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Named character references that are spelled out, in order.
@@ -142,26 +142,23 @@ def joined(*columns: Column) -> Column:
     return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
 
 
-def _compact(c: Column) -> Column:
-    return F.array_join(F.slice(content_tokens(normalize(c)), 1, 8), "")
+def with_fingerprints(rows: DataFrame, category: Column, title: Column, reason: Column, creator: Column, url: Column) -> DataFrame:
+    """``rows`` with ``fingerprint`` and ``product_key``: category and a hash of content tokens, the first eight.
 
-
-def fingerprint(category: Column, title: Column, reason: Column, creator: Column, url: Column) -> Column:
-    """Category and hash of the first eight content tokens of title and creator.
-
-    Under two tokens the reason counts too; without any the normalised title, then the url, then the title as it is.
+    The fingerprint takes title and creator; under two tokens the reason counts too; without any the normalised title, then the
+    url, then the title as it is. The product key takes the title, and the title's own hash where that has no token.
     """
-    named = content_tokens(normalize(joined(title, creator)))
-    more = F.when(F.size(named) < 2, _compact(joined(title, reason, creator))).otherwise(F.array_join(F.slice(named, 1, 8), ""))
+    own = rows.columns
+    staged = rows.withColumns({"_fc": category, "_ft": normalize(title), "_fn": normalize(joined(title, creator))})
+    staged = staged.withColumns({"_named": content_tokens(F.col("_fn")), "_titled": content_tokens(F.col("_ft"))})
+    first = lambda tokens: F.array_join(F.slice(tokens, 1, 8), "")
+    staged = staged.withColumn("_more", F.when(F.size("_named") < 2, normalize(joined(title, reason, creator))))
+    compact = F.when(F.size("_named") < 2, first(content_tokens(F.col("_more")))).otherwise(first(F.col("_named")))
     last = F.coalesce(F.nullif(url, F.lit("")), title, F.lit(""))
-    compact = F.coalesce(F.nullif(more, F.lit("")), F.nullif(normalize(title), F.lit("")), last)
-    return F.concat(category, F.lit(":"), stable_hash(compact, 16))
-
-
-def product_key(category: Column, title: Column) -> Column:
-    """Category and hash of the title's first eight content tokens, of the title's own hash where it has none."""
-    compact = F.coalesce(F.nullif(_compact(title), F.lit("")), stable_hash(F.coalesce(title, F.lit(""))))
-    return F.concat(category, F.lit(":"), stable_hash(compact, 16))
+    compact = F.coalesce(F.nullif(compact, F.lit("")), F.nullif(F.col("_ft"), F.lit("")), last)
+    by_title = F.coalesce(F.nullif(first(F.col("_titled")), F.lit("")), stable_hash(F.coalesce(title, F.lit(""))))
+    made = {"fingerprint": F.concat("_fc", F.lit(":"), stable_hash(compact, 16)), "product_key": F.concat("_fc", F.lit(":"), stable_hash(by_title, 16))}
+    return staged.withColumns(made).select(*[c for c in own if c not in made], *made)
 
 
 def like_value(c: Column) -> Column:

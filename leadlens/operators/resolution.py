@@ -16,7 +16,8 @@ from leadlens.session import materialise, release
 
 def edges_from_keys(rows: DataFrame, identifier: str, keys: str) -> DataFrame:
     """``(a, b)``: each row with the smallest row of every key it has; null and empty keys join nothing."""
-    each = rows.select(F.col(identifier).alias("id"), F.explode(keys).alias("key")).where("key <> ''")
+    # written, as keys may be dear to make and are read twice
+    each = materialise(rows.select(F.col(identifier).alias("id"), F.explode(keys).alias("key")).where("key <> ''"), "keys")
     least = each.groupBy("key").agg(F.min("id").alias("least"))
     return each.join(least, "key").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
 

@@ -151,9 +151,12 @@ _FINGERPRINT = f"""norms as (select ordinal, coalesce(nullif(category, ''), 'non
 
 @query("content_fingerprint", f"with {_FINGERPRINT} select ordinal, fingerprint, product_key from prints")
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    category = values.nz(F.col("category"), "none")
-    key = text.fingerprint(category, F.col("title"), F.col("reason"), F.col("creator"), F.col("url"))
-    return table(spark, d, "leads").select("ordinal", key.alias("fingerprint"), text.product_key(category, F.col("title")).alias("product_key"))
+    return with_fingerprints(table(spark, d, "leads")).select("ordinal", "fingerprint", "product_key")
+
+
+def with_fingerprints(leads: DataFrame) -> DataFrame:
+    """Leads with content fingerprint and product key."""
+    return text.with_fingerprints(leads, values.nz(F.col("category"), "none"), F.col("title"), F.col("reason"), F.col("creator"), F.col("url"))
 
 
 @query("stable_hash", "select ordinal, substr(sha1(coalesce(url, '') || '|' || coalesce(title, '')), 1, 12) as key from leads")

@@ -315,13 +315,10 @@ _KEYS = f"""{catalog._PARTS}, {catalog._FINGERPRINT}, {catalog._IDENTITY},
 
 def with_resolved_keys(leads: DataFrame) -> DataFrame:
     """Leads with all keys by which they are one product: page, product key, content fingerprint and identity keys."""
-    category = values.nz(F.col("category"), "none")
-    keyed = catalog.with_entity_keys(leads, "_ik").withColumns({
-        "_pk": text.product_key(category, F.col("title")), "_fp": text.fingerprint(category, F.col("title"), F.col("reason"), F.col("creator"), F.col("url")),
-    })
+    keyed = catalog.with_fingerprints(catalog.with_entity_keys(leads, "_ik"))
     page = url.canonical(F.col("url"))
-    own = F.array(F.when(page != "", F.concat(F.lit("u"), page)), F.concat(F.lit("p"), "_pk"), F.concat(F.lit("f"), "_fp"))
-    return keyed.withColumn("keys", F.array_compact(F.concat(own, F.transform("_ik", lambda k: F.concat(F.lit("k"), k))))).drop("_ik", "_pk", "_fp")
+    own = F.array(F.when(page != "", F.concat(F.lit("u"), page)), F.concat(F.lit("p"), "product_key"), F.concat(F.lit("f"), "fingerprint"))
+    return keyed.withColumn("keys", F.array_compact(F.concat(own, F.transform("_ik", lambda k: F.concat(F.lit("k"), k))))).drop("_ik", "product_key", "fingerprint")
 
 
 @query("er_components", f"with recursive {_KEYS} select * from labels")
