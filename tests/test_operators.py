@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadlens.functions import similarity, text, unify, url, values
@@ -128,6 +129,29 @@ def test_blank_blocks_and_classes_against_brute_force(spark):
         assert {(r.a, r.b) for r in neardup.blank_pairs(made, "id", "block", F.col("tokens"), threshold).collect()} == want
 
 
+@pytest.mark.parametrize("some", [False, True])
+def test_common_tokens_make_few_candidates_and_lose_no_pair(spark, monkeypatch, some):
+    monkeypatch.setattr(neardup, "COMMON", 4)
+    rng = random.Random(12)
+    rows = []
+    for i in range(500):
+        tokens = [f"{k}{rng.randrange(2)}" for k in rng.sample("abcdefgh", rng.randrange(2, 8))] + [f"own{rng.randrange(400)}" for _ in range(2)]
+        if i and rng.random() < 0.3:
+            tokens = rng.choice(rows)[2][1:] + [f"own{rng.randrange(400)}"]
+        rows.append((i, "" if some and rng.random() < 0.3 else "x", tokens))
+    reps = {}
+    for i, block, tokens in rows:
+        reps.setdefault((block, tuple(sorted(set(tokens)))), i)
+    sets = [(i, b, set(t)) for (b, t), i in reps.items()]
+    want = {(i, j) for i, b, s in sets for j, c, t in sets if i < j and (not (b and c) if some else b == c) and len(s & t) / len(s | t) >= 0.6}
+    made = spark.createDataFrame(rows, "id int, block string, tokens array<string>")
+    pairs = (neardup.blank_pairs if some else neardup.jaccard_pairs)(made, "id", "block", F.col("tokens"), 0.6)
+    assert len(want) > 20 and {(r.a, r.b) for r in pairs.collect()} == want
+    space = F.lit(0).cast("long").alias("space")
+    tried = neardup._candidates(neardup._representatives(made, "id", "block", F.col("tokens"), 2).select("id", space, (F.col("block") == "").alias("counted") if some else F.lit(True).alias("counted"), "tokens"), 0.6, some)
+    assert want <= {(r.a, r.b) for r in tried.collect()} and tried.count() < len(sets) * 4
+
+
 def test_gestalt_matches_against_brute_force(spark):
     rng = random.Random(6)
     texts = ["gegapuha tumbler", "gegapuhb tumbles", "tumbler gegapuha", "磁吸盖动态雕塑旋转环台灯", "磁吸盖动态雕塑旋转环桌灯", "aaaaaaaaaaaa", "aaaaaaaaaaab", "abababababab", "short", "", None]
