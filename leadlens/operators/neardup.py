@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlens.functions.similarity import gestalt, jaccard
-from leadlens.session import let_go, materialise
+from leadlens.session import let_go, materialise, release
 
 
 def classes(rows: DataFrame, identifier: str, block: str, tokens: Column) -> DataFrame:
@@ -111,12 +111,13 @@ def _candidates(sets: DataFrame, threshold: float, some: bool) -> DataFrame:
     second = f"concat({ended.format(d=1, key='cast(tokens[i - 1] as long)')}, if(i < least(n, n - greatest(need, 2) + 2), {second}, array()))"
     keyed = f"concat({single}, if(rare < n - need + 1, flatten(transform(sequence(rare + 1, n - need + 1), i -> {second})), array()))"
     made = ordered.select(*own, F.expr(f"inline({keyed})"))
-    parts, depth = [], 2
+    parts, written, depth = [], [], 2
     while True:
         group = Window.partitionBy("key", "done")
         made = made.withColumns({"held": F.count(F.lit(1)).over(group), "with": F.count(F.when(F.col("counted"), 1)).over(group)})
         made = materialise(made.where("held > 1 and with > 0").withColumn("done", F.col("done") | (F.col("with") <= COMMON)).drop("held", "with"), "keys")
         let_go(made.sparkSession)
+        written.append(made)
         parts.append(made.where("done").drop("rest", "done", "need", "n"))
         if made.where("not done").isEmpty():
             break
@@ -130,8 +131,10 @@ def _candidates(sets: DataFrame, threshold: float, some: bool) -> DataFrame:
     # tokens of one set only are at most this share of both sizes
     apart = f"(bit_count(_marksx ^ _marksy) + _lonex + _loney) * {1 + threshold!r}D <= (_sizex + _sizey) * {1 - threshold!r}D + 1e-6"
     pairs = x.where("_countedx").join(y, "key").where(f"(_idx < _idy or not _countedy) and {apart}")
-    # dealt by one side, as the next join wants them
-    return pairs.select(F.least("_idx", "_idy").alias("a"), F.greatest("_idx", "_idy").alias("b")).repartition("a").distinct()
+    found = materialise(pairs.select(F.least("_idx", "_idy").alias("a"), F.greatest("_idx", "_idy").alias("b")).distinct(), "candidates")
+    release(*written)
+    let_go(found.sparkSession)
+    return found
 
 
 def _verified(sets: DataFrame, threshold: float, some: bool) -> DataFrame:
