@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlens.functions.similarity import gestalt, jaccard
+from leadlens.operators.closeness import close_texts
 from leadlens.session import let_go, materialise, release
 
 
@@ -151,49 +152,11 @@ def gestalt_pairs(candidates: DataFrame, a: str, b: str, threshold: float, lengt
     return near.withColumn("ratio", gestalt(F.col(a), F.col(b))).where(F.col("ratio") >= threshold)
 
 
-#: Groups of characters that a text's characters are counted in; the sixteenth is all others.
-BAGS = ["e", "a", "i", "o", "t", "r", "n", "s", "l", "u", "dc", "mpg", "hkb", "0123456789", "fvwyzjxq"]
-
-
-def _bags(w: Column) -> list[Column]:
-    """Two numbers of eight bytes, each byte how many characters of a group the text has, 127 at most."""
-    counts = [F.length(w) - F.length(F.translate(w, g, "")) for g in BAGS]
-    counts.append(F.length(F.translate(w, "".join(BAGS), "")))
-    counts = [F.least(c, F.lit(127)).cast("long") for c in counts]
-    return [functools.reduce(lambda a, b: a + b, [F.shiftleft(c, 8 * k) for k, c in enumerate(counts[h : h + 8])]) for h in (0, 8)]
-
-
 def gestalt_matches(rows: DataFrame, identifier: str, block: str, words: str, lengths: float = 0.72, least: int = 8) -> DataFrame:
     """``(a, b, ratio)`` of all pairs of texts of one block with a gestalt ratio of 0.9 or more, ``a < b``; a null or empty block goes with any.
 
-    Equal texts of a block enter once, by their smallest identifier. No pair is lost to the candidates:
-    at ratio 0.9 the blocks that match hold m >= 0.45 (la + lb) characters, so at most 3 (la - m) + 2 (lb - m)
-    of the la - 2 trigrams of the first are not inside one block, and at least (la + lb) / 4 - 2 are shared;
-    with lb >= la * 9 / 11 at most 6 / 11 of la are not. Of a text's trigrams in one order, rarest first,
-    two such texts thus share one among the first floor(6 la / 11) + 1. As la + lb - 2 m characters are in
-    no block, counts of groups of characters differ by (la + lb) / 10 at most, all groups together.
+    Equal texts of a block enter once, by their smallest identifier. No pair is lost to the candidates, see ``closeness``.
     """
-    texts = rows.select(identifier, F.coalesce(block, F.lit("")).alias("block"), F.col(words).alias("w")).where(F.length("w") >= least)
-    texts = texts.groupBy("block", "w").agg(F.min(identifier).alias("id")).withColumn("n", F.length("w"))
-    # written, so that the next step does not make them anew for each place
-    texts = materialise(texts.withColumn("grams", F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substr("w", i, F.lit(3)))), "spelled")
-    # the second use of a trigram is another than the first, so that the shared ones can be counted as sets
-    used = F.transform("grams", lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice("grams", F.lit(1), i), lambda x: x == g))))
-    texts = materialise(texts.withColumn("grams", used), "texts")
-    each = texts.select("id", "block", "n", F.explode("grams").alias("gram"))
-    rare = each.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
-    ordered = each.join(rare, "gram").groupBy("id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("ordered"))
-    heads = ordered.select("id", "block", "n", F.explode(F.transform(F.slice("ordered", F.lit(1), F.floor(F.col("n") * 6 / 11 + 1e-9).cast("int") + 1), lambda x: x["gram"])).alias("gram"))
-    p, q = _bags(F.col("w"))
-    heads = materialise(heads.join(texts.select("id", p.alias("p"), q.alias("q")), "id"), "heads")
-    x, y = (heads.select("gram", "block", *[F.col(c).alias(f"_{c}{s}") for c in ("n", "p", "q")], F.col("id").alias(f"_{s}")) for s in "xy")
-    apart = " + ".join(f"abs((shiftright(_{c}x, {k}) & 255) - (shiftright(_{c}y, {k}) & 255))" for c in "pq" for k in range(0, 64, 8))
-    fit = f"11 * _nx >= 9 * _ny and 11 * _ny >= 9 * _nx and 10 * ({apart}) <= _nx + _ny"
-    same = x.join(y, ["gram", "block"]).where("_x < _y")
-    blank = x.where("block = ''").drop("block").join(y.where("block <> ''").drop("block"), "gram")
-    ends = [F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")]
-    candidates = same.where(fit).select(*ends).union(blank.where(fit).select(*ends)).distinct()
-    sides = [texts.select(F.col("id").alias(s), F.col("w").alias(f"_w{s}"), F.col("grams").alias(f"_g{s}")) for s in "ab"]
-    both = candidates.join(sides[0], "a").join(sides[1], "b")
-    both = both.where(F.size(F.array_intersect("_ga", "_gb")) >= (F.length("_wa") + F.length("_wb")) / 4 - 2 - 1e-9)
-    return gestalt_pairs(both, "_wa", "_wb", 0.9, lengths, least).select("a", "b", "ratio")
+    texts = rows.select(identifier, F.coalesce(block, F.lit("")).alias("block"), F.col(words).alias("w")).where(F.length("w") >= max(least, 1))
+    texts = materialise(texts.groupBy("block", "w").agg(F.min(identifier).alias("id")).select("id", "block", "w"), "texts")
+    return gestalt_pairs(close_texts(texts), "wa", "wb", 0.9, lengths, least).select("a", "b", "ratio")

@@ -1,7 +1,7 @@
 """Operators against brute force on small tables."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pytest
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions import similarity, text, unify, url, values
 from leadlens.functions.contributor import with_contributor
-from leadlens.operators import aggregates, joins, neardup, resolution, selection, windows
+from leadlens.operators import aggregates, closeness, joins, neardup, resolution, selection, windows
 
 
 def column(spark, values_, f, kind="string"):
@@ -174,6 +174,33 @@ def test_gestalt_matches_against_brute_force(spark):
     assert len(want) > 50 and sorted((r.a, r.b) for r in made.collect()) == sorted(want)
 
 
+def test_texts_of_one_template_make_few_candidates_in_any_number_of_tiles_and_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(closeness, "TILE", 40)
+    rng = random.Random(3)
+    syllables = ["ka", "lo", "mi", "ru", "te", "zo", "fa", "ni"]
+    coined = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    texts = []
+    for i in range(420):
+        base = [f"{coined(2)} {coined(3)} borosilicate glas water bottle", f"{coined(4)} 磁吸盖的高硼硅玻璃手提灯编号{i % 7}", f"{coined(6)} {'reusable sleeve '* 6}", f"{coined(4)} {'premium cork gift box '* 14}", f"{coined(2)}{'stand desk '* 60}"][(i % 25) // 12 if i % 40 else rng.randrange(5)]
+        texts.append(base)
+        if i % 6 == 0:
+            k = rng.randrange(len(base))
+            texts.append(base[:k] + rng.choice(["", "x", "灯", base[k] * 2]) + base[k + 1 :])
+    rows = [(i, rng.choice(["a", "a", "a", "b", ""]), t) for i, t in enumerate(texts)]
+    least = {}
+    for i, block, t in rows:
+        least.setdefault((block, t), i)
+    kept = sorted((i, b, t) for (b, t), i in least.items())
+    fits = lambda s, t: 11 * min(len(s), len(t)) >= 9 * max(len(s), len(t)) and sum(((c := Counter(s)) & Counter(t)).values()) * 20 >= 9 * (len(s) + len(t))
+    want = {(i, j): r for i, b, s in kept for j, c, t in kept if i < j and (b == c or not (b and c)) and fits(s, t) and (r := SequenceMatcher(None, s, t).ratio()) >= 0.9}
+    made = spark.createDataFrame(rows, "id int, block string, w string")
+    found = neardup.gestalt_matches(made, "id", "block", "w").collect()
+    assert len(want) > 100 and len(found) == len(want) and {(r.a, r.b): r.ratio for r in found} == want
+    tried = closeness.close_texts(made.groupBy("block", "w").agg(F.min("id").alias("id")).select("id", "block", "w")).collect()
+    assert all(r.a < r.b for r in tried) and want.keys() <= {(r.a, r.b) for r in tried} and len(tried) < 2 * len(want)
+    assert closeness.close_texts(made.where("false").select("id", "block", "w")).count() == 0
+
+
 def test_capped_selection_against_a_greedy_walk(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("de"), rng.choice("ABC"), rng.choice("xyz"), rng.choice([None, 1, 2, 3])) for i in range(200)]
