@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.session import materialise, release
+from leadlens.session import let_go, materialise, release
 
 
 def edges_from_keys(rows: DataFrame, identifier: str, keys: str) -> DataFrame:
@@ -48,6 +48,7 @@ def from_edges(rows: DataFrame, identifier: str, edges: DataFrame, most_rounds:
     for _ in range(most_rounds):
         last, edges = edges, materialise(_star(_star(edges, True), False), "edges")
         release(last)
+        let_go(edges.sparkSession)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

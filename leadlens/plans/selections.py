@@ -9,7 +9,7 @@ from leadlens.functions import text, times, values
 from leadlens.operators import neardup, resolution, selection
 from leadlens.plans import catalog
 from leadlens.plans.registry import query
-from leadlens.session import materialise, table
+from leadlens.session import let_go, materialise, release, table
 
 #: Example caps, minimums, quotas and lanes; all are parameters of the operators.
 CAPS = {"category": ({"创意厨具": 7, "水杯": 6, "日历": 6}, 5), "source_name": ({}, 5)}
@@ -95,15 +95,24 @@ def duplicate_links(spark: SparkSession, d: str) -> DataFrame:
     block, tokens = F.coalesce("category", F.lit("")), text.title_tokens(F.col("title"))
     rows = materialise(catalog.with_entity_keys(leads).select("ordinal", block.alias("category"), tokens.alias("tokens"), "keys"), "titles")
     words = rows.withColumn("w", F.array_join("tokens", " "))
-    equal = neardup.classes(rows, "ordinal", "category", F.col("tokens")).where("ordinal <> rep and size(tokens) >= 2").select(F.col("rep").alias("a"), F.col("ordinal").alias("b"))
+    sets = neardup.classes(rows, "ordinal", "category", F.col("tokens")).where("ordinal <> rep and size(tokens) >= 2").select(F.col("rep").alias("a"), F.col("ordinal").alias("b"))
     long = words.where("length(w) >= 8").select("ordinal", "category", "w")
     same = long.join(long.groupBy("category", "w").agg(F.min("ordinal").alias("a")), ["category", "w"]).where("ordinal <> a").select("a", F.col("ordinal").alias("b"))
-    near = neardup.jaccard_pairs(rows.where("category <> ''"), "ordinal", "category", F.col("tokens"), 0.6).select("a", "b")
-    blank = neardup.blank_pairs(rows, "ordinal", "category", F.col("tokens"), 0.6).select("a", "b")
-    strings = neardup.gestalt_matches(words, "ordinal", "category", "w").select("a", "b")
     each = rows.select("ordinal", F.explode("keys").alias("key"))
     shared = each.join(each.groupBy("key").agg(F.min("ordinal").alias("a")), "key").where("a <> ordinal").select("a", F.col("ordinal").alias("b"))
-    return equal.union(same).union(near).union(blank).union(strings).union(shared).distinct()
+    equal = _kept(sets.union(same).union(shared))
+    near = _kept(neardup.jaccard_pairs(rows.where("category <> ''"), "ordinal", "category", F.col("tokens"), 0.6).select("a", "b"))
+    blank = _kept(neardup.blank_pairs(rows, "ordinal", "category", F.col("tokens"), 0.6).select("a", "b"))
+    strings = _kept(neardup.gestalt_matches(words, "ordinal", "category", "w").select("a", "b"))
+    release(rows)
+    return equal.union(near).union(blank).union(strings).distinct()
+
+
+def _kept(links: DataFrame) -> DataFrame:
+    """Links of one kind, written, so that the shuffle files they were made with go before the next kind is looked for."""
+    kept = materialise(links, "links")
+    let_go(links.sparkSession)
+    return kept
 
 
 @query("duplicate_products")

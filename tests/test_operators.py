@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadlens.functions import similarity, text, unify, url, values
 from leadlens.functions.contributor import with_contributor
 from leadlens.operators import aggregates, closeness, joins, neardup, resolution, selection, windows
+from leadlens.plans import selections
 
 
 def column(spark, values_, f, kind="string"):
@@ -201,6 +202,15 @@ def test_texts_of_one_template_make_few_candidates_in_any_number_of_tiles_and_lo
     assert closeness.close_texts(made.where("false").select("id", "block", "w")).count() == 0
 
 
+def test_links_of_duplicates_are_written_kind_by_kind(spark):
+    d = "/root/testdata/sf0.001"
+    links = selections.duplicate_links(spark, d)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and links.where("a <> b").count() == links.count() > 0
+    made = {r.ordinal: r for r in selections.duplicate_products(spark, d).collect()}
+    assert all(made[r.a].component == made[r.b].component for r in links.collect())
+
+
 def test_capped_selection_against_a_greedy_walk(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("de"), rng.choice("ABC"), rng.choice("xyz"), rng.choice([None, 1, 2, 3])) for i in range(200)]
