@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -124,6 +125,11 @@ def release(*written: DataFrame) -> None:
 def let_go(spark: SparkSession) -> None:
     """Have the driver drop what it no longer uses: shuffle files of finished jobs go with it, which else stay until it happens to be short of memory."""
     gc.collect()
+    # Py4J tells the driver of objects that Python let go in a thread of its own, which looks once a second
+    told, until = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ()), time.monotonic() + 3
+    while told and time.monotonic() < until:
+        time.sleep(0.05)
+    time.sleep(0.05)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.session import drop_path, is_file, scratch
+from leadlens.session import drop_path, is_file, let_go, scratch
 
 #: Actions that change a vote; the last one withdraws it.
 ACTIONS = ("like", "pass", "clear")
@@ -137,4 +137,5 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> Dat
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     drop_path(spark, f"{home}/state")
+    let_go(spark)  # the stream's shuffle files, before reading the versions makes more
     return current_state(spark, f"{home}/out")

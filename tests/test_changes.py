@@ -1,6 +1,7 @@
 """The change feed: streamed in pieces and in any order, it equals a plain fold."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -74,6 +75,19 @@ def test_empty_feed(spark, tmp_path):
     assert changes.replay(spark, str(tmp_path / "in")).count() == 0
 
 
+def test_stream_leaves_no_shuffle_files(spark, tmp_path):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    spark.createDataFrame(feed(400, 7), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = shuffled()
+    votes = changes.replay(spark, str(tmp_path / "in"))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert votes.count() > 0
+
+
 def test_ids_survive_packing(spark):
     ids = ["", "a", "00d01b3f-8c5f-46b2-a312-46d3ec1c1b5b", "00D01B3F-8c5f-46b2-a312-46d3ec1c1b5b", "9d5d9137d9b3", "abc", "é水", "0" * 40]
     rows = spark.createDataFrame([(i,) for i in ids], "id string")
