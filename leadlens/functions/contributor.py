@@ -57,3 +57,22 @@ def with_contributor(leads: DataFrame, source_dim: DataFrame, domain_dim: DataFr
     by_key = names.withColumnsRenamed({"_k": "_ck", "_contributor": "_by_key"})
     by_domain = names.withColumnsRenamed({"_k": "_cd", "_contributor": "_by_domain"})
     return keyed.join(by_key, "_ck", "left").join(by_domain, "_cd", "left").select("_all.*", F.coalesce("_by_key", "_by_domain").alias(out))
+
+
+def with_contributor_of(leads: DataFrame, sources: DataFrame, source_dim: DataFrame, domain_dim: DataFrame, out: str = "contributor") -> DataFrame:
+    """``with_contributor`` for leads with few spellings of sources: ``sources`` has each of them once in its column ``source``.
+
+    Every spelling is looked up once instead of once a row, which pays if ``sources`` is written first, so that the planner
+    knows its size. Leads need no column of a name with a leading underscore.
+    """
+    names = name_map(source_dim, domain_dim)
+    keyed = sources.select(
+        F.col("source").alias("_source"), loose_key(F.col("source")).alias("_cs"), F.concat(F.lit("@"), domain_key(F.col("source"))).alias("_cd")
+    ).withColumn("_missing", F.col("_cs").isNull() | F.col("_cs").isin(*NO_SOURCE))
+    by_key = keyed.join(names.withColumnsRenamed({"_k": "_cs", "_contributor": "_by_key"}), "_cs", "left")
+    told = by_key.join(names.withColumnsRenamed({"_k": "_cd", "_contributor": "_by_domain"}), "_cd", "left")
+    told = told.select("_source", "_missing", F.when(~F.col("_missing"), F.coalesce("_by_key", "_by_domain")).alias("_told"))
+    found = leads.join(told, F.col("source").eqNullSafe(F.col("_source")), "left")
+    found = found.withColumn("_ch", F.when(F.col("_missing"), F.concat(F.lit("@"), host_of(F.col("url")))))
+    found = found.join(names.withColumnsRenamed({"_k": "_ch", "_contributor": "_by_host"}), "_ch", "left")
+    return found.select(*[F.col(f"`{c}`") for c in leads.columns if c != out], F.coalesce("_told", "_by_host").alias(out))

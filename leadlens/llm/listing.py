@@ -46,9 +46,24 @@ def _table() -> dict[int, str | None]:
     return table
 
 
+@functools.cache
+def _single() -> dict[str, str]:
+    """The part of the table that may be replaced a character at a time: what stands for it has no other look."""
+    table = _table()
+    return {chr(c): m or "" for c, m in table.items() if not any(ord(x) in table for x in m or "")}
+
+
 def plain(text: str) -> str:
     """The text in one look, without accents; letter case stays."""
-    return text if text.isascii() else text.translate(_table())
+    if text.isascii():
+        return text
+    single, table = _single(), _table()
+    for c in set(text):
+        if ord(c) in table:
+            if c not in single:
+                return text.translate(table)
+            text = text.replace(c, single[c])
+    return text
 
 
 def within_one(a: str, b: str) -> bool:
@@ -110,12 +125,12 @@ def tokens(title: str) -> list[str]:
     return _TOKEN.findall(title)
 
 
-_HINTS = ("repl", "spare", "access", "only", "配件", "专用", "替换", "备用", "备件", "仅为")
-
-
 def is_accessory(title: str) -> bool:
     """Whether a lower-case title offers an accessory or spare part."""
-    return any(h in title for h in _HINTS) and ACCESSORY.search(title) is not None
+    hint = "only" in title or "repl" in title or "spare" in title or "access" in title
+    if not hint and not title.isascii():
+        hint = "配件" in title or "专用" in title or "替换" in title or "备用" in title or "备件" in title or "仅为" in title
+    return hint and ACCESSORY.search(title) is not None
 
 
 @functools.lru_cache(4096)
@@ -183,17 +198,18 @@ _SIZE = re.compile(
 )
 
 
+@functools.lru_cache(1 << 14)
+def _measure(said: tuple[str, str]) -> tuple[str, float]:
+    value, unit = said
+    unit = re.sub(r"[\s.]", "", unit)
+    unit = {"m": "ml"}.get(unit, "ml" if unit.startswith("mil") else "l" if unit.startswith("lit") else unit)
+    kind, factor = UNITS[unit]
+    return kind, float(value.replace(",", "") if re.fullmatch(r"\d+,\d{3}", value) else value.replace(",", ".")) * factor
+
+
 def sizes(text: str) -> list[tuple[str, float]]:
     """(dimension, value) of every measure in a lower-case text, in order."""
-    out = []
-    for value, unit in _SIZE.findall(text):
-        unit = re.sub(r"[\s.]", "", unit)
-        unit = {"m": "ml"}.get(unit, "ml" if unit.startswith("mil") else "l" if unit.startswith("lit") else unit)
-        kind, factor = UNITS[unit]
-        number = float(value.replace(",", "") if re.fullmatch(r"\d+,\d{3}", value) else value.replace(",", "."))
-        if number > 0:
-            out.append((kind, number * factor))
-    return out
+    return [m for m in map(_measure, _SIZE.findall(text)) if m[1] > 0]
 
 
 def unmeasured(text: str) -> str:

@@ -50,21 +50,21 @@ _DRESS = re.compile(r"【[^】]*】|\[[^\]]*\]")
 _RUN = re.compile(r"[\u3041-\u30ff\u3400-\u9fff\uac00-\ud7a3]{2,}")
 
 
-_FORMS: dict[str, tuple[bool, str, bool]] = {}
+_FORMS: dict[str, str] = {}
 
 
-def _form(word: str) -> tuple[bool, str, bool]:
-    """(whether its initial is small, the word without hyphens and capitals, whether it is a long one)."""
+def _form(word: str) -> str:
+    """The word without hyphens and capitals."""
     if len(_FORMS) > 1 << 18:
         _FORMS.clear()
-    made = _FORMS[word] = (word[0].islower(), word.replace("-", "").lower(), len(word) >= LONG)
+    made = _FORMS[word] = word.replace("-", "").lower()
     return made
 
 
-def read(title: str | None, reason: str | None, url: str | None, lower: list[str], upper: list[str]) -> tuple[list[str], str | None, float | None, bool, list[str]]:
+def read(title: str | None, reason: str | None, url: str | None, words: list[str]) -> tuple[list[str], str | None, float | None, bool, list[str]]:
     """(words that may name the product, dimension, size, whether it is an accessory, pairs of characters).
 
-    Words with a small initial go to ``lower``, the others to ``upper``, one of each spelling; words of the address begin with "/".
+    All words, one of each spelling, go to ``words``; words of the address begin with "/".
     """
     head, body = listing.plain(title or ""), listing.plain(reason or "")
     low_head = head.lower()
@@ -74,15 +74,13 @@ def read(title: str | None, reason: str | None, url: str | None, lower: list[str
     names = dict.fromkeys([f"{a} {b}".lower() for a, b in _TWO.findall(text)])
     titled = dict.fromkeys(_WORD.findall(head))
     signs: dict[str, None] = {}
-    for w in titled | dict.fromkeys(_WORD.findall(body)):
-        small, form, long = _FORMS.get(w) or _form(w)
-        if small:
-            lower.append(form)
-        else:
-            upper.append(form)
-            if long:
-                names[form] = None
-            elif w in titled and len(form) > 1:
+    spelled = titled | dict.fromkeys(_WORD.findall(body))
+    words += spelled
+    for w in spelled:
+        if w < "a":  # its initial is no small one
+            if len(w) >= LONG:
+                names[_FORMS.get(w) or _form(w)] = None
+            elif w in titled and len(form := _FORMS.get(w) or _form(w)) > 1:
                 signs[f"={form}"] = None
     for w in _SLUG.findall(url or ""):
         names[f"/{w}"] = None
@@ -98,29 +96,29 @@ def _parsed(rows: DataFrame) -> DataFrame:
     """Columns row, id, owner, category and what ``read`` gives; rows without a row number count the uses of a word with a small initial and with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower: Counter[str] = Counter()
-        upper: Counter[str] = Counter()
+        spelled: Counter[str] = Counter()
         names = ["row", "id", "owner", "category", "names", "kind", "size", "accessory", "signs", "plain", "uses", "raised"]
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64()]
 
         def counts() -> pa.RecordBatch:
+            lower: Counter[str] = Counter()
+            upper: Counter[str] = Counter()
+            for w, n in spelled.items():
+                (upper if w < "a" else lower)[w.replace("-", "").lower()] += n
+            spelled.clear()
             # words that are never small here too: another task may have them small, and the sums are over all rows
             words = list(lower.keys() | upper.keys())
             uses = [pa.array(words, pa.string())] + [pa.array([c[w] for w in words], pa.int64()) for c in (lower, upper)]
             columns = [pa.nulls(len(words), t) for t in types[:9]] + uses
-            lower.clear()
-            upper.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            small: list[str] = []
-            big: list[str] = []
-            found = [read(*x, small, big) for x in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)))]
-            lower.update(small)
-            upper.update(big)
+            words: list[str] = []
+            found = [read(*x, words) for x in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)))]
+            spelled.update(words)
             columns = [batch.column(i) for i in range(4)] + [pa.array([f[i] for f in found], types[4 + i]) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(found), t) for t in types[9:])], names=names)
-            if len(lower) + len(upper) > 1 << 19:
+            if len(spelled) > 1 << 19:
                 yield counts()
         yield counts()
 
@@ -145,7 +143,8 @@ def spellings(names: DataFrame) -> DataFrame:
     met = forms.groupBy("form").agg(F.min("_h").alias("a"), F.max("_h").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b")
     met = materialise(met, "forms")
     # mostly two names have a form; of more, and they are few, all are taken
-    several = materialise(forms.join(met.where("k > 2").select("form"), "form"), "several")
+    crowded = materialise(met.where("k > 2").select("form"), "crowded")
+    several = materialise(forms.join(crowded, "form"), "several")
     more = several.select("form", F.col("_h").alias("a")).join(several.select("form", F.col("_h").alias("b")), "form").where("a < b").select("a", "b")
     pairs = materialise(met.where("k = 2").select("a", "b").union(more).distinct(), "pairs")
     pairs = pairs.union(pairs.select("b", "a"))
@@ -155,7 +154,7 @@ def spellings(names: DataFrame) -> DataFrame:
     one = one.where("bits = 0 or _bits = 0 or (bits & _bits) <> 0").where((F.length("name") != F.length("_name")) | (sorted_("name") == sorted_("_name")))
     one = one.where(F.struct("_shared", "_n", "_name") > F.struct("shared", "n", "name"))
     found = materialise(one.groupBy("name").agg(F.max(F.struct("_shared", "_n", "_name"))["_name"].alias("as")), "spellings")
-    release(met, several)
+    release(met, crowded, several)
     return found
 
 
@@ -217,7 +216,9 @@ def clusters(rows: DataFrame) -> DataFrame:
     counted = counted.withColumns({"_a": part[0], "_b": F.get(part, F.lit(1)), "alone": ~F.contains("name", F.lit(" "))})
     for c in ("_a", "_b"):
         counted = counted.join(generic.withColumnRenamed("plain", c), c, "left_anti")
-    by_category = counted.groupBy(F.replace("name", F.lit(" "), F.lit("")).alias("name"), "category").agg(*[v.alias(k) for k, v in figures.items()])
+    # in one place by name, for both of the next two
+    counted = counted.withColumn("name", F.replace("name", F.lit(" "), F.lit(""))).repartition("name")
+    by_category = counted.groupBy("name", "category").agg(*[v.alias(k) for k, v in figures.items()])
     whole = {**figures, "top": F.max("n")}
     # the commonest category by its count and 40 bits of its hash, in one number
     packed = F.shiftleft(F.least("n", F.lit((1 << 22) - 1)), 40) + F.xxhash64("category").bitwiseAND((1 << 40) - 1)
@@ -232,7 +233,7 @@ def clusters(rows: DataFrame) -> DataFrame:
     # combinations of one name and the size, and of two names
     alone = ~F.col("name").rlike("[ /]")  # two words and words of an address are taken as they stand
     sized = main.select("row", F.explode("names").alias("name")).withColumns({"alone": alone, "name": F.translate("name", " /", "")})
-    sized = sized.join(known, "name").where("alone or `as` = name").select("row", F.col("as").alias("name"), "n", "score")
+    sized = sized.join(known.hint("shuffle_hash"), "name").where("alone or `as` = name").select("row", F.col("as").alias("name"), "n", "score")
     best = sized.groupBy("row").agg(F.max(F.struct("score", "n", "name"))["name"].alias("name"), F.collect_set("name").alias("all"))
     voted = materialise(best.join(main.select("row", "id", "owner", "kind", "size"), "row"), "votes")
     signed = by_signs(main, voted, generic)

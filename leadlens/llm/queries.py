@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.functions.contributor import with_contributor
+from leadlens.functions.contributor import with_contributor, with_contributor_of
 from leadlens.llm import capping, consensus, history, leakage, lookalike, matching, oracle, sampling, sentences, tokenize
 from leadlens.session import materialise, release, small_rows, table
 from leadlens.streaming import changes
@@ -114,8 +114,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:
-    leads = titled(owned_leads(spark, d, "ordinal", "id", "source", "category", "title", "reason", "url"))
-    return matching.clusters(leads.select(F.col("ordinal").alias("row"), "id", F.col("contributor").alias("owner"), "category", "title", "reason", "url"))
+    leads = titled(table(spark, d, "leads").select("ordinal", "id", "source", "category", "title", "reason", "url"))
+    sources = materialise(leads.select("source").distinct(), "sources")
+    leads = with_contributor_of(leads, sources, table(spark, d, "source_dim"), table(spark, d, "domain_dim"))
+    found = matching.clusters(leads.select(F.col("ordinal").alias("row"), "id", F.col("contributor").alias("owner"), "category", "title", "reason", "url"))
+    release(sources)
+    return found
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

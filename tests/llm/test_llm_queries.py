@@ -148,3 +148,11 @@ def test_p10_units_hold_every_character_once(spark, database):
             assert not text[a].isspace() and not text[b - 1].isspace() and not any(held[a:b])
             held[a:b] = [True] * (b - a)
         assert all(h or c.isspace() for h, c in zip(held, text))
+
+
+def test_p7_looks_up_each_source_once(spark, monkeypatch):
+    def by_row(*_):
+        raise AssertionError("sources are looked up row by row")
+
+    monkeypatch.setattr(queries, "with_contributor", by_row)
+    assert queries.p7_products(spark, DATA).count() > 0

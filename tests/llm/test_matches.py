@@ -220,3 +220,13 @@ def test_names_in_other_scripts_and_misspelled_ones(spark):
 def test_aliases_are_followed_to_their_end(spark):
     chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "name string, as string")
     assert {(r.name, r["as"]) for r in matching.last_of(chain).collect()} == {("a", "d"), ("b", "d"), ("c", "d"), ("x", "y")}
+
+
+def test_reading_a_listing():
+    words = []
+    found = matching.read("Brölo-Kasi ＬＡＭＰ lamp, Caldini 1.1 kg", "an ABC lamp, spare", "https://x.example/p/kasibrolo-lamp-1", words)
+    assert found == (["brolokasi", "caldini", "/kasibrolo"], "amount", 1100.0, False, [])
+    assert sorted(words) == ["ABC", "Brolo-Kasi", "Caldini", "LAMP", "an", "kg", "lamp", "spare"]
+    table = listing._table()
+    assert all(listing.plain(f"水{c}é{c}") == f"水{c}é{c}".translate(table) for c in map(chr, [*table, 0x6C34, 0x1F600]))
+    assert listing.is_accessory("杯盖配件") and listing.is_accessory("lid only") and not listing.is_accessory("水杯 lonely")

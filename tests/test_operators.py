@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadlens.functions import similarity, text, unify, url, values
-from leadlens.functions.contributor import with_contributor
+from leadlens.functions.contributor import with_contributor, with_contributor_of
 from leadlens.operators import aggregates, closeness, joins, neardup, resolution, selection, windows
 from leadlens.plans import selections
 
@@ -64,6 +64,19 @@ def test_contributor(spark):
     assert [got[r[:2]] for r in rows] == ["Crowd Anvil"] * 4 + [None, "Werkstück", None, None]
 
 
+def test_contributor_by_spelling(spark):
+    sources = spark.createDataFrame([("Crowd Anvil",), ("Werkstück",)], "source string")
+    domains = spark.createDataFrame([("anvil.example", 1, "Crowd Anvil"), ("werk.example", None, "Werkstück")], "domain string, ord int, source string")
+    spelled = ["CROWD  ANVIL", "Ｃｒｏｗｄ Аnvіl", "www.anvil.example", "https://werk.example/x", "unknown", "Unknown ", "", " ", None, "Werkstück", "Other", "@anvil.example"]
+    urls = [None, "", "https://WWW.anvil.example:443/x", "http://else.example", "//werk.example"]
+    rows = spark.createDataFrame([(s, u, i) for i, s in enumerate(spelled) for u in urls] * 2, "source string, url string, n int")
+    by_row = with_contributor(rows, sources, domains)
+    by_spelling = with_contributor_of(rows, rows.select("source").distinct(), sources, domains)
+    assert by_spelling.columns == by_row.columns
+    told = lambda frame: Counter(tuple(r) for r in frame.collect())
+    assert told(by_spelling) == told(by_row)
+
+
 def test_values(spark):
     assert column(spark, [2.5, 3.5, 200.0, None], lambda c: values.clamp(c, 0, 100), "double") == [2, 4, 100, 0]
     assert column(spark, ["2026-12-31", "2026-08-21"], lambda c: values.iso_week(F.to_date(c))) == ["2026-W53", "2026-W34"]
